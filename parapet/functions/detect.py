@@ -49,9 +49,10 @@ def names_or_none(names):
 
 def screen(df, text="text", rules=S.PROMPT_RULES, max_chars=S.MAX_TEXT_CHARS):
     """Adds `hits` (rule names) and `verdict`. Each pattern runs once per row."""
-    return df.withColumn("hits", all_hits(F.col(text), rules)).withColumn(
+    screened = df.withColumn("hits", all_hits(F.col(text), rules)).withColumn(
         "verdict", screen_verdict(F.col("hits"), F.col(text), max_chars)
     )
+    return X.computed_once(screened, "hits", "verdict")
 
 
 def bad_links(text):

@@ -14,6 +14,10 @@ from parapet.functions import scalars as X
 ALL_WRAPPERS = ("inspectResult", "redactResult", "deidentifyResult")
 TEXT_WRAPPERS = ("inspectResult",)
 _MAP = "map<string,string>"
+_INNER_FIELDS = ("executionState", "matchState", "raiFilterTypeResults", "findings", "redactedImage")
+_INNER = ", ".join(f"{f} string" for f in _INNER_FIELDS)
+_INNER_STRUCT = ", ".join(f"{f}: string" for f in _INNER_FIELDS)
+_ENVELOPE = "filterMatchState string, invocationResult string, filterResults string"
 
 
 def parse_required(names):
@@ -38,27 +42,33 @@ def result_object(raw, accept_bare=False):
 
 
 def filter_entries(result, wrappers=ALL_WRAPPERS):
-    """Array of (name, inner JSON): first wrapper key, then the nested result if there is one.
+    """Array of (name, inner): first wrapper key, then the nested result if there is one.
 
-    A repeated filter name counts once, with its last value.
+    `inner` has the fields of _INNER, objects among them still as JSON text. A repeated
+    filter name counts once, with its last value. Each level is parsed once.
     """
-    raw = F.map_entries(F.from_json(F.get_json_object(result, "$.filterResults"), _MAP))
+    raw = F.map_entries(F.from_json(result, _MAP))
     last = F.filter(
         raw, lambda e, i: ~F.exists(F.slice(raw, i + 2, F.size(raw)), lambda later: later.key == e.key)
     )
-
-    def unwrap(entry):
-        wrapper = F.get(F.map_values(F.from_json(entry.value, _MAP)), F.lit(0))
-        nested = [_object(F.get_json_object(wrapper, f"$.{w}")) for w in wrappers]
-        return F.struct(entry.key.alias("name"), F.coalesce(*nested, _object(wrapper)).alias("inner"))
-
-    entries = F.filter(F.transform(last, unwrap), lambda e: e.inner.isNotNull())
-    return F.coalesce(entries, F.expr("cast(array() as array<struct<name:string,inner:string>>)"))
+    nested = ", ".join(f"{w} string" for w in wrappers)
+    fields = lambda p: F.struct(*[p[f].alias(f) for f in _INNER_FIELDS])
+    first = F.transform(last, lambda e: F.struct(
+        e.key.alias("name"), _object(F.get(F.map_values(F.from_json(e.value, _MAP)), F.lit(0))).alias("wrapper")
+    ))
+    parsed = F.transform(
+        F.filter(first, lambda e: e.wrapper.isNotNull()),
+        lambda e: F.struct(e["name"].alias("name"), F.from_json(e.wrapper, f"{_INNER}, {nested}").alias("p")),
+    )
+    return F.coalesce(F.transform(parsed, lambda e: F.struct(
+        e["name"].alias("name"),
+        F.coalesce(F.from_json(F.coalesce(*[_object(e.p[w]) for w in wrappers]), _INNER), fields(e.p)).alias("inner"),
+    )), F.expr(f"cast(array() as array<struct<name: string, inner: struct<{_INNER_STRUCT}>>>)"))
 
 
 def subtype_names(name, inner):
     """Matched sub-types as name:type, or the bare name when none is reported."""
-    types = F.map_entries(F.from_json(F.get_json_object(inner, "$.raiFilterTypeResults"), _MAP))
+    types = F.map_entries(F.from_json(inner.raiFilterTypeResults, _MAP))
     hit = F.transform(
         F.filter(types, lambda t: _field(t.value, "$.matchState") == S.MATCH),
         lambda t: F.concat(name, F.lit(":"), t.key),
@@ -68,7 +78,7 @@ def subtype_names(name, inner):
 
 def finding_names(inner):
     """Distinct info types in first-seen order; a type is a string or an object with a name."""
-    items = F.from_json(F.get_json_object(inner, "$.findings"), "array<struct<infoType:string>>")
+    items = F.from_json(inner.findings, "array<struct<infoType:string>>")
     names = F.transform(items, lambda f: F.coalesce(F.get_json_object(f.infoType, "$.name"), f.infoType))
     return F.array_distinct(F.filter(names, lambda n: n.isNotNull() & (n != "")))
 
@@ -84,15 +94,12 @@ def summarize(df, raw, required=S.REQUIRED_FILTERS, prefix="", wrappers=ALL_WRAP
     """
     c = lambda name: F.col(f"{prefix}{name}")
     obj, entries, matched = f"__{prefix}result", f"__{prefix}entries", f"__{prefix}matched"
-    df = df.withColumn(obj, result_object(F.col(raw), accept_bare)).withColumn(
-        entries, filter_entries(F.col(obj), wrappers)
-    )
-    match_state = _field(F.col(obj), "$.filterMatchState")
-    invocation = _field(F.col(obj), "$.invocationResult")
-    hit = F.filter(F.col(entries), lambda e: _field(e.inner, "$.matchState") == S.MATCH)
-    ran = F.transform(
-        F.filter(F.col(entries), lambda e: _field(e.inner, "$.executionState") == S.RAN), lambda e: e["name"]
-    )
+    df = df.withColumn(obj, F.from_json(result_object(F.col(raw), accept_bare), _ENVELOPE))
+    df = df.withColumn(entries, filter_entries(F.col(obj).filterResults, wrappers))
+    text = lambda value: F.coalesce(value, F.lit(""))
+    match_state, invocation = text(F.col(obj).filterMatchState), text(F.col(obj).invocationResult)
+    hit = F.filter(F.col(entries), lambda e: text(e.inner.matchState) == S.MATCH)
+    ran = F.transform(F.filter(F.col(entries), lambda e: text(e.inner.executionState) == S.RAN), lambda e: e["name"])
     names = F.flatten(F.transform(hit, lambda e: subtype_names(e["name"], e.inner)))
     if flat is not None:
         unread = F.col(obj).isNull()
@@ -123,15 +130,16 @@ def summarize(df, raw, required=S.REQUIRED_FILTERS, prefix="", wrappers=ALL_WRAP
         )
         .withColumn(
             f"{prefix}redacted_image",
-            F.nullif(F.get_json_object(F.get(sdp, F.lit(0)).inner, "$.redactedImage"), F.lit("")),
+            F.nullif(F.get(sdp, F.lit(0)).inner.redactedImage, F.lit("")),
         )
     )
-    return df.withColumn(
+    df = df.withColumn(
         f"{prefix}verdict",
         F.when((F.size(c("filters")) > 0) | (c("match_state") == S.MATCH) | fault, S.BLOCKED)
         .when((c("match_state") == S.NO_MATCH) & c("complete"), S.ALLOWED)
         .otherwise(S.INCOMPLETE),
     ).drop(obj, entries, matched, f"__{prefix}ran")
+    return X.computed_once(df, f"{prefix}filters", f"{prefix}complete", f"{prefix}verdict")
 
 
 def summarize_text(df, raw, required=S.REQUIRED_FILTERS, prefix="", filter_fault=None, flat=None):
@@ -152,14 +160,16 @@ def simple_verdict(raw):
 
 def explode_filters(df, raw, keep=()):
     """One row per item and reported filter: states and matched names."""
-    rows = df.select(*keep, F.inline(filter_entries(result_object(F.col(raw)))))
+    results = F.get_json_object(result_object(F.col(raw)), "$.filterResults")
+    rows = df.select(*keep, F.inline(filter_entries(results)))
+    inner = F.col("inner")
     return rows.select(
         *keep,
         F.col("name").alias("filter"),
-        _field(F.col("inner"), "$.executionState").alias("execution_state"),
-        _field(F.col("inner"), "$.matchState").alias("match_state"),
+        F.coalesce(inner.executionState, F.lit("")).alias("execution_state"),
+        F.coalesce(inner.matchState, F.lit("")).alias("match_state"),
         F.when(
-            _field(F.col("inner"), "$.matchState") == S.MATCH, subtype_names(F.col("name"), F.col("inner"))
+            inner.matchState == S.MATCH, subtype_names(F.col("name"), F.col("inner"))
         ).alias("names"),
     )
 

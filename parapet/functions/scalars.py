@@ -7,6 +7,17 @@ from parapet import settings as S
 EMPTY_STRINGS = "cast(array() as array<string>)"
 
 
+def computed_once(df, *names):
+    """The same rows, with the named columns fixed where they are.
+
+    A filter on a computed column is normally pushed below the computation and repeats
+    it. For columns that scan whole texts that doubles the work; behind a one-row
+    generator a filter stays above.
+    """
+    rest = [c for c in df.columns if c not in names]
+    return df.select(*rest, F.inline(F.array(F.struct(*names))))
+
+
 def empty_strings():
     return F.expr(EMPTY_STRINGS)
 
@@ -22,6 +33,11 @@ def is_blank(text):
     return ~text.rlike(r"[^\s\p{Z}\x{FEFF}]")
 
 
+def strip(text):
+    """Without leading and trailing white space of any kind."""
+    return F.regexp_replace(text, r"\A[\s\p{Z}\x{FEFF}]++|(?<![\s\p{Z}\x{FEFF}])[\s\p{Z}\x{FEFF}]++\z", "")
+
+
 def is_strict_base64(data):
     """Non-empty, length a multiple of four, standard alphabet, padding at the end.
 

@@ -77,7 +77,7 @@ def confusion(df, pairs):
 
 def hits_rollup(df, group="lang", filters="filters"):
     """Requests and hits by group and filter, with subtotals."""
-    rows = df.select(group, F.explode(filters).alias("filter"))
+    rows = X.computed_once(df.select(group, filters), filters).select(group, F.explode(filters).alias("filter"))
     return rows.rollup(group, "filter").agg(
         F.count(F.lit(1)).alias("n_hits"), F.grouping_id().cast("bigint").alias("level")
     )

@@ -37,7 +37,10 @@ def telemetry(header, body, requested_mode):
 
 def from_log(entries, fields=schemas.LOG_FIELDS):
     """Ledger rows from outside log entries (insertId, timestamp, jsonPayload as JSON text)."""
-    get = lambda name: F.get_json_object("jsonPayload", f"$.{fields[name]}")
+    # One parse per entry; a payload that is not an object reads as an empty one.
+    payload = ", ".join(f"`{name}` string" for name in fields.values())
+    entries = entries.withColumn("__payload", F.from_json("jsonPayload", payload))
+    get = lambda name: F.col("__payload")[fields[name]]
     or_null = lambda col: F.nullif(col, F.lit(""))
     status = F.coalesce(X.int_or(get("http_status")), F.lit(0)).cast("int")
     return entries.select(

@@ -150,7 +150,7 @@ def validate_single(df, mode, max_chars=S.MAX_TEXT_CHARS, max_file_b64=S.MAX_FIL
         .when(p.kind == "file", file_reason)
         .when(~text_ok, shape)
     )
-    df = df.withColumn("reason", reason).withColumn("ok", F.col("reason").isNull())
+    df = X.computed_once(df.withColumn("reason", reason), "reason").withColumn("ok", F.col("reason").isNull())
     is_file = F.col("ok") & (p.kind == "file")
     return df.withColumn(
         "input", F.when(is_file, F.concat(F.lit("file:"), X.lookup(kinds, p.mime))).otherwise("text")
@@ -192,13 +192,13 @@ def validate_multipart(df, max_chars=S.MAX_TEXT_CHARS, max_files=S.MAX_FILES, ma
     """One text and up to max_files files. Adds ok and reason."""
     facts = F.transform("parts", lambda p: part_facts(p.kind, p.text, p.mime, p.data))
     shape = F.lit(multi_shape_reason(max_chars, max_files))
-    df = df.withColumn("__facts", facts).withColumn(
+    df = X.computed_once(df.withColumn("__facts", facts), "__facts").withColumn(
         "reason",
         F.when((F.col("n_contents") != 1) | ~F.col("role_ok"), shape).otherwise(
             facts_reason(F.col("__facts"), max_chars, max_files, max_part, max_total)
         ),
     )
-    return df.withColumn("ok", F.col("reason").isNull()).drop("__facts")
+    return X.computed_once(df.withColumn("ok", F.col("reason").isNull()).drop("__facts"), "ok", "reason")
 
 
 def gather_facts(df, keys, pos, facts, max_parts):
@@ -301,7 +301,9 @@ def validate_attachments(df, files="files", max_files=S.MAX_FILES, max_bytes=S.M
     return (
         df.withColumn("reason", reason)
         .withColumn("ok", F.col("reason").isNull())
-        .withColumn("attachments", F.transform(metas, lambda m: F.struct(m["name"], m.mime, m.bytes)))
+        .withColumn("attachments", F.transform(
+            metas, lambda m: F.struct(m["name"].alias("name"), m.mime.alias("mime"), m.bytes.alias("bytes"))
+        ))
         .drop("__meta")
     )
 

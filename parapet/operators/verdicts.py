@@ -19,44 +19,33 @@ def _from_rank(rank):
 def fold_parts(df, keys, n="n", verdict="verdict", filters="filters", max_parts=1 + S.MAX_FILES):
     """Request verdict from its parts: blocked > incomplete > allowed; no parts is incomplete.
 
-    Rows without a part number keep a request in the result without adding a part.
-    `matched` lists p<n>:<filter> of blocked parts in part order.
+    `matched` lists p<n>:<filter> of blocked parts in part order. Rows without a part
+    number keep a request in the result without adding a part. A request with more than
+    max_parts parts is rejected as a whole, as it is before any screening.
 
-    With max_parts every part number has its own slot, so a task holds at most max_parts
-    strings per request; a request with more parts is reported as over_limit (such a
-    request is rejected before it is screened). max_parts=None takes any number of parts
-    and joins the lists in two steps, by range of part numbers and then by request.
+    Every part number has its own slot and each slot is a plain maximum, so a task holds
+    at most max_parts short strings per request, however many rows a request has.
     """
     n_col, is_part = F.col(n), F.col(n).isNotNull()
-    blocked = is_part & (F.col(verdict) == S.BLOCKED)
-    labels = F.array_join(
+    blocked = is_part & (F.col(verdict) == S.BLOCKED) & (F.size(filters) > 0)
+    label = F.array_join(
         F.transform(filters, lambda f: F.concat(F.lit("p"), n_col.cast("string"), F.lit(":"), f)), ","
     )
-    rank = F.max(F.when(is_part, _rank(F.col(verdict)))).alias("__rank")
-    count = F.count(n).alias("n_parts")
-    label = F.when(blocked & (F.size(filters) > 0), labels)
-    if max_parts is not None:
-        slots = [F.max(F.when(n_col == i, label)).alias(f"__p{i}") for i in range(1, max_parts + 1)]
-        folded = df.groupBy(*keys).agg(rank, count, F.max(n_col).alias("__max_n"), *slots)
-        joined = F.concat_ws(",", *[F.col(f"__p{i}") for i in range(1, max_parts + 1)])
-        over = (F.col("n_parts") > max_parts) | F.coalesce(F.col("__max_n") > max_parts, F.lit(False))
-    else:
-        ranges = df.withColumn("__range", F.floor(n_col / 4096)).withColumn("__label", label)
-        piece = F.array_sort(F.collect_list(F.when(F.col("__label").isNotNull(), F.struct(n_col.alias("n"), "__label"))))
-        ranged = ranges.groupBy(*keys, "__range").agg(rank, count, piece.alias("__piece"))
-        ranged = ranged.withColumn("__piece", F.array_join(F.transform("__piece", lambda x: x["__label"]), ","))
-        whole = F.array_sort(F.collect_list(F.when(F.col("__piece") != "", F.struct("__range", "__piece"))))
-        folded = ranged.groupBy(*keys).agg(
-            F.max("__rank").alias("__rank"), F.sum("n_parts").alias("n_parts"), whole.alias("__whole")
-        )
-        joined = F.array_join(F.transform("__whole", lambda x: x["__piece"]), ",")
-        over = F.lit(False)
-    return folded.select(
+    slots = [F.max(F.when(blocked & (n_col == i), label)).alias(f"__p{i}") for i in range(1, max_parts + 1)]
+    folded = df.groupBy(*keys).agg(
+        F.max(F.when(is_part, _rank(F.col(verdict)))).alias("__rank"),
+        F.count(n).alias("n_parts"),
+        F.max(n_col).alias("__max_n"),
+        *slots,
+    )
+    joined = F.concat_ws(",", *[F.col(f"__p{i}") for i in range(1, max_parts + 1)])
+    over = (F.col("n_parts") > max_parts) | F.coalesce(F.col("__max_n") > max_parts, F.lit(False))
+    return folded.withColumn("over_limit", over).select(
         *keys,
         "n_parts",
-        _from_rank(F.col("__rank")).alias("verdict"),
-        F.coalesce(F.nullif(joined, F.lit("")), F.lit("none")).alias("matched"),
-        over.alias("over_limit"),
+        F.when(F.col("over_limit"), S.ERROR).otherwise(_from_rank(F.col("__rank"))).alias("verdict"),
+        F.when(F.col("over_limit") | (joined == ""), "none").otherwise(joined).alias("matched"),
+        "over_limit",
     )
 
 

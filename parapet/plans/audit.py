@@ -6,7 +6,7 @@ from parapet import settings as S
 from parapet.functions import detect as D, scalars as X
 from parapet.operators import ledger as L, ordered, verdicts as V
 from parapet.plans.common import docs_sql, documents, query, screened_sql
-from parapet.sources.readers import read_table
+from parapet.sources.readers import read_table, spread
 
 # --- ledger built from screened documents -------------------------------------------
 
@@ -129,7 +129,7 @@ _EVENT_STATUS = {"view": "200", "click": "200", "purchase": "400", "signup": "50
 
 def _log_entries(spark, folder):
     """Every event as an entry of an outside log; entries of k = 0 lost their id."""
-    events = read_table(spark, folder, "events")
+    events = spread(read_table(spark, folder, "events"), "event_id")
     k = F.get_json_object("props", "$.k")
     payload = F.to_json(F.struct(
         F.concat(F.lit("user/"), "user_id").alias("scenarioId"),
@@ -221,7 +221,7 @@ SELECT user_id, event_id, CASE WHEN t >= prev THEN t - prev END AS ms FROM p
 """)
 def turn_latency(spark, folder):
     """Time between the steps of a user; the time of an error is not known."""
-    events = read_table(spark, folder, "events").select("user_id", "event_id", "event_type", "ts")
+    events = spread(read_table(spark, folder, "events"), "event_id").select("user_id", "event_id", "event_type", "ts")
     at = F.floor(X.epoch_micros(F.col("ts")) / 1000).cast("bigint")
     steps = events.select("user_id", "event_id", F.when(F.col("event_type") != "error", at).alias("t"))
     return ordered.part_latency(steps, ["user_id"], "event_id", "t").select("user_id", "event_id", "ms")
@@ -248,7 +248,7 @@ SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), {_SQL_FMT}) AS window_start, {
 FROM events GROUP BY time_bucket(INTERVAL 1 HOUR, ts)
 """)
 def events_tumbling(spark, folder):
-    return windowed(read_table(spark, folder, "events").select("ts", "event_type", "value"), "1 hour")
+    return windowed(spread(read_table(spark, folder, "events"), "event_id").select("ts", "event_type", "value"), "1 hour")
 
 
 @query(f"""
@@ -257,7 +257,7 @@ WITH s AS (
 SELECT strftime(w, {_SQL_FMT}) AS window_start, {_EVENT_AGGS} FROM s GROUP BY w
 """)
 def events_sliding(spark, folder):
-    return windowed(read_table(spark, folder, "events").select("ts", "event_type", "value"), "1 hour", "30 minutes")
+    return windowed(spread(read_table(spark, folder, "events"), "event_id").select("ts", "event_type", "value"), "1 hour", "30 minutes")
 
 
 _GAP = 30 * 60 * 1_000_000
@@ -270,7 +270,7 @@ s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY t) AS sid FROM g)
 SELECT user_id, min(t) AS session_start, max(t) + {_GAP} AS session_end, count(*) AS n_events FROM s GROUP BY user_id, sid
 """)
 def events_session(spark, folder):
-    events = read_table(spark, folder, "events").select("user_id", X.epoch_micros(F.col("ts")).alias("at"))
+    events = spread(read_table(spark, folder, "events"), "event_id").select("user_id", X.epoch_micros(F.col("ts")).alias("at"))
     return ordered.sessions(events, "user_id", "at", _GAP)
 
 
@@ -288,7 +288,7 @@ FROM p LEFT JOIN m USING (event_id)
 """)
 def late_results(spark, folder):
     """Views wait for the first click of their user; none in time leaves them incomplete."""
-    events = read_table(spark, folder, "events").select("event_id", "user_id", "event_type", X.epoch_micros(F.col("ts")).alias("at"))
+    events = spread(read_table(spark, folder, "events"), "event_id").select("event_id", "user_id", "event_type", X.epoch_micros(F.col("ts")).alias("at"))
     parts = events.where("event_type = 'view'").select("event_id", "user_id", "at")
     results = events.where("event_type = 'click'").select(F.col("event_id").alias("result_id"), "user_id", "at")
     found = ordered.first_result_within(parts, results, "user_id", "at", _WAIT)
@@ -311,7 +311,7 @@ SELECT doc_id, left(regexp_replace(text, '[^A-Za-z0-9_:,.\\- ]', '', 'g'), 40) A
 FROM documents
 """)
 def scalar_columns(spark, folder):
-    docs = read_table(spark, folder, "documents").select("doc_id", "text", "n_chars", "lang")
+    docs = spread(read_table(spark, folder, "documents").select("doc_id", "text", "n_chars", "lang"), "doc_id")
     digest = F.md5("text")
     return docs.select(
         "doc_id",

@@ -28,7 +28,11 @@ TYPE_SEEDS = [
 
 
 def seeds(spark, rows=SEEDS):
-    return spark.createDataFrame(rows, "doc_id bigint, scenario_id string, text string")
+    structs = [
+        F.struct(F.lit(i).cast("bigint").alias("doc_id"), F.lit(s).alias("scenario_id"), F.lit(t).alias("text"))
+        for i, s, t in rows
+    ]
+    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*structs)))
 
 
 def documents(spark, folder, rows=SEEDS, columns=("text", "lang", "source", "n_chars")):
@@ -41,7 +45,7 @@ def documents(spark, folder, rows=SEEDS, columns=("text", "lang", "source", "n_c
 
 def conversations(spark, folder):
     """All turns plus one single-turn conversation per scenario."""
-    turns = spread(read_table(spark, folder, "conversations"), "conv_id").withColumn("scenario_id", F.lit(None).cast("string"))
+    turns = spread(read_table(spark, folder, "conversations"), "conv_id", "turn").withColumn("scenario_id", F.lit(None).cast("string"))
     base = seeds(spark).select(
         F.col("doc_id").alias("conv_id"), F.lit(0).cast("bigint").alias("turn"), F.lit("user").alias("role"),
         "text", "scenario_id",

@@ -147,7 +147,7 @@ def validate_uploads(spark, folder):
 
 def _user_parts(turns, columns):
     """User turns numbered 1.. within their conversation."""
-    user = turns.where(F.col("role") == "user").select("conv_id", "turn", *columns)
+    user = turns.select("conv_id", "turn", *columns)
     return ordered.number_rows(user, ["conv_id"], "turn")
 
 
@@ -158,7 +158,7 @@ SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS
 FROM turns WHERE role = 'user'
 """)
 def conversation_parts(spark, folder):
-    turns = conversations(spark, folder)
+    turns = conversations(spark, folder).where(F.col("role") == "user")
     numbered = _user_parts(turns, [F.length("text").cast("bigint").alias("bytes")])
     return numbered.select(
         "conv_id", "turn", "n", F.lit("text").alias("kind"), F.lit("text/plain").alias("mime"), "bytes", F.lit(True).alias("forwarded")
@@ -186,7 +186,8 @@ def request_parts(spark, folder):
     file = F.struct(F.lit(None).cast("string").alias("text"), inline.alias("inlineData"))
     ask = F.struct(F.lit("Summarise this file.").alias("text"), F.lit(None).cast("struct<mimeType:string,data:string>").alias("inlineData"))
     contents = F.array(F.struct(F.lit("user").alias("role"), F.array(file, ask).alias("parts")))
-    requests = validate.shape_columns(docs.select("doc_id", contents.alias("contents")), "contents")
+    requests = X.computed_once(docs.select("doc_id", contents.alias("contents")), "contents")
+    requests = X.computed_once(validate.shape_columns(requests, "contents"), "parts")
     accepted = validate.validate_multipart(requests).where("ok")
     rows = P.split_parts(accepted, ["doc_id"])
     return rows.select("doc_id", F.col("n").cast("bigint").alias("n"), "kind", "mime", "bytes", "forwarded")
@@ -229,11 +230,17 @@ def part_names(spark, folder):
 
 
 def _screened_parts(spark, folder):
-    """(conv_id, n, verdict, filters) of every turn; only user turns have a part number."""
-    turns = D.screen(conversations(spark, folder)).withColumnRenamed("hits", "filters")
-    users = _user_parts(turns, ["verdict", "filters"]).select("conv_id", "n", "verdict", "filters")
-    others = turns.where(F.col("role") != "user").select("conv_id", F.lit(None).cast("bigint").alias("n"), "verdict", "filters")
-    return users.unionByName(others)
+    """(conv_id, n, verdict, filters) of every turn; only user turns have a part number.
+
+    Turns are screened where they are read; from then on only names travel.
+    """
+    turns = conversations(spark, folder)
+    users = _user_parts(D.screen(turns.where(F.col("role") == "user")).withColumnRenamed("hits", "filters"), ["verdict", "filters"])
+    null = lambda kind: F.lit(None).cast(kind)
+    others = turns.where(F.col("role") != "user").select(
+        "conv_id", null("bigint").alias("n"), null("string").alias("verdict"), X.empty_strings().alias("filters")
+    )
+    return users.select("conv_id", "n", "verdict", "filters").unionByName(others)
 
 
 _PART_ROWS = f"""
@@ -241,17 +248,18 @@ _PART_ROWS = f"""
   FROM {screened_sql('turns', 'conv_id, turn, role')}"""
 _FOLDED = """
   SELECT conv_id, count(*) FILTER (role = 'user') AS n_parts,
-         CASE WHEN bool_or(verdict = 'blocked') FILTER (role = 'user') THEN 'blocked'
+         CASE WHEN count(*) FILTER (role = 'user') > 4 THEN 'error'
+              WHEN bool_or(verdict = 'blocked') FILTER (role = 'user') THEN 'blocked'
               WHEN bool_and(verdict = 'allowed') FILTER (role = 'user') THEN 'allowed' ELSE 'incomplete' END AS verdict,
+         CASE WHEN count(*) FILTER (role = 'user') > 4 THEN 'none' ELSE
          coalesce(string_agg('p' || n || ':' || replace(filters, ',', ',p' || n || ':'), ',' ORDER BY n)
-                  FILTER (role = 'user' AND verdict = 'blocked'), 'none') AS matched
+                  FILTER (role = 'user' AND verdict = 'blocked'), 'none') END AS matched
   FROM parts GROUP BY conv_id"""
 
 
 @query(f"WITH {TURNS_SQL}, parts AS ({_PART_ROWS}) {_FOLDED}")
 def screen_conversations(spark, folder):
-    folded = V.fold_parts(_screened_parts(spark, folder), ["conv_id"], max_parts=None)
-    return folded.drop("over_limit")
+    return V.fold_parts(_screened_parts(spark, folder), ["conv_id"]).drop("over_limit")
 
 
 @query(f"""
@@ -294,7 +302,7 @@ SELECT conv_id, turn,
 FROM turns WHERE role = 'user' AND conv_id IN (SELECT conv_id FROM f WHERE verdict = 'allowed')
 """)
 def forwarded_payload(spark, folder):
-    verdicts = V.fold_parts(_screened_parts(spark, folder), ["conv_id"], max_parts=None)
+    verdicts = V.fold_parts(_screened_parts(spark, folder), ["conv_id"])
     turns = conversations(spark, folder).where(F.col("role") == "user").select("conv_id", "turn", "text")
     passed = allowed_only(turns, verdicts, ["conv_id"])
     return passed.select("conv_id", "turn", P.text_payload(F.col("text")).alias("payload"))
@@ -325,9 +333,10 @@ def forwarded_files(spark, folder):
         part("text", F.lit("Summarise this file."), null, null),
         part("file", null, mime, X.encode_base64(F.encode("text", "UTF-8"))),
     )
-    passed = docs.where(mime.isin(list(S.MIME_TYPES)) & (F.size(D.all_hits(F.col("text"))) == 0))
+    passed = D.screen(docs.where(mime.isin(list(S.MIME_TYPES))), max_chars=S.MAX_UPLOAD_BYTES).where(F.col("verdict") == S.ALLOWED)
     flow = validate.route_flow(F.when(F.col("source").endswith("1"), "/generate-image").otherwise("/generate"))
-    return passed.select("doc_id", P.multipart_payload(parts, F.lit("callout"), flow).alias("payload"))
+    built = X.computed_once(passed.select("doc_id", flow.alias("flow"), parts.alias("parts")), "parts")
+    return built.select("doc_id", P.multipart_payload(F.col("parts"), F.lit("callout"), F.col("flow")).alias("payload"))
 
 
 # --- answers --------------------------------------------------------------------------------
@@ -335,7 +344,7 @@ def forwarded_files(spark, folder):
 
 def _answers(spark, folder):
     """Assistant turns as model answers: reasoning, the text, a tool call, sometimes an image."""
-    turns = spread(read_table(spark, folder, "conversations"), "conv_id").where(F.col("role") == "assistant")
+    turns = spread(read_table(spark, folder, "conversations"), "conv_id", "turn").where(F.col("role") == "assistant")
     text = F.to_json(F.struct("text"))
     mime = F.when(F.col("conv_id") % 5 == 0, "image/webp").otherwise("image/png")
     image = F.to_json(F.struct(F.struct(mime.alias("mimeType"), F.lit("iVBORw0KGgo=").alias("data")).alias("inlineData")))
@@ -458,15 +467,15 @@ x AS (SELECT *, CASE WHEN prompt_verdict = 'allowed' THEN answer_verdict ELSE pr
              replace(regexp_replace(matched, 'p[0-9]+:', '', 'g'), ',', ', ') AS f FROM o)
 SELECT conv_id, outcome, CASE WHEN prompt_verdict = 'allowed' THEN 'response' ELSE 'prompt' END AS stage,
        prompt_verdict, answer_verdict,
-       CAST(CASE outcome WHEN 'allowed' THEN 200 WHEN 'blocked' THEN 400 ELSE 503 END AS BIGINT) AS http_status,
-       CASE outcome WHEN 'allowed' THEN 'OK' WHEN 'blocked' THEN 'BLOCKED_BY_SCREENING' ELSE 'SCREENING_UNAVAILABLE' END AS code,
+       CAST(CASE outcome WHEN 'allowed' THEN 200 WHEN 'blocked' THEN 400 WHEN 'error' THEN 400 ELSE 503 END AS BIGINT) AS http_status,
+       CASE outcome WHEN 'allowed' THEN 'OK' WHEN 'blocked' THEN 'BLOCKED_BY_SCREENING' WHEN 'error' THEN 'INVALID_ARGUMENT' ELSE 'SCREENING_UNAVAILABLE' END AS code,
        CASE outcome WHEN 'allowed' THEN 'Clean: screening found nothing.' WHEN 'blocked' THEN 'Blocked: ' || {_LABEL_SQL}
-            ELSE 'Held back: screening could not finish (fail closed).' END AS message,
+            WHEN 'error' THEN 'Request rejected: unsupported shape.' ELSE 'Held back: screening could not finish (fail closed).' END AS message,
        outcome = 'blocked' AND prompt_verdict = 'blocked' AND answer_verdict = 'none' AS like_h2
 FROM x
 """)
 def outcome_records(spark, folder):
-    folded = V.fold_parts(_screened_parts(spark, folder), ["conv_id"], max_parts=None)
+    folded = V.fold_parts(_screened_parts(spark, folder), ["conv_id"])
     answers = conversations(spark, folder).where(F.col("role") == "assistant")
     # An answer counts as screened only if each of its texts fits; without one nothing came back.
     longest = answers.groupBy("conv_id").agg(F.max(F.length("text")).alias("longest"))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from parapet import settings as S
 from parapet.functions import detect as D, results as R, scalars as X
-from parapet.operators import compare, pages, validate, verdicts as V
+from parapet.operators import compare, documents as documents_text, pages, validate, verdicts as V
 from parapet.plans.common import (
     SEEDS, TYPE_SEEDS, docs_sql, documents, filters_sql, n_hits_sql, normalize_sql, query, quote, replace_all_sql,
     screened_sql,
@@ -117,6 +117,45 @@ def screen_pages(spark, folder):
     )
 
 
+_LATIN = r"[^\x20-\x7E\n\x{A0}-\x{FF}]"
+
+
+@query(f"""
+WITH f AS (
+  SELECT doc_id, n_chars % 2 = 0 AS pdf, n_chars % 13 = 1 AS broken,
+         {normalize_sql(f"regexp_replace(text, {quote(_LATIN)}, '?', 'g')")} AS pdf_text,
+         regexp_replace(regexp_replace(text, '^[\\s\\p{{Z}}]+', ''), '[\\s\\p{{Z}}]+$', '') AS plain FROM documents),
+t AS (SELECT doc_id, CASE WHEN pdf THEN pdf_text WHEN broken THEN '' ELSE plain END AS text,
+             CASE WHEN broken AND NOT pdf THEN 'Text files must be UTF-8' ELSE 'none' END AS note FROM f)
+SELECT doc_id, text, note, CASE WHEN text = '' THEN 'incomplete' ELSE verdict END AS verdict, filters
+FROM {screened_sql('t', 'doc_id, text, note')}
+""")
+def extract_documents(spark, folder):
+    """Documents written as PDF or text files, read back from their bytes, then screened."""
+    docs = spread(read_table(spark, folder, "documents").select("doc_id", "text", "n_chars"), "doc_id")
+    latin = F.regexp_replace("text", _LATIN, "?")
+    escaped = F.regexp_replace(latin, r"([\\()])", r"\\$1")
+    shown = F.concat(F.lit("BT /F1 11 Tf 50 700 Td ("), F.replace(escaped, F.lit("\n"), F.lit(") Tj T* (")), F.lit(") Tj ET"))
+    pdf = F.concat(
+        F.lit("%PDF-1.4\n1 0 obj\n<</Type /Page /Contents 2 0 R>>\nendobj\n2 0 obj\n<</Length "),
+        F.length(shown).cast("string"), F.lit(">>\nstream\n"), shown, F.lit("\nendstream\nendobj\n%%EOF"),
+    )
+    is_pdf = F.col("n_chars") % 2 == 0
+    plain = F.concat(F.unhex(F.when(F.col("n_chars") % 13 == 1, "FF").otherwise("EFBBBF")), F.encode("text", "UTF-8"))
+    files = docs.select(
+        "doc_id",
+        F.concat(F.lit("file-"), "doc_id", F.when(is_pdf, ".pdf").otherwise(".txt")).alias("name"),
+        F.when(is_pdf, F.encode(pdf, "ISO-8859-1")).otherwise(plain).alias("content"),
+    )
+    # No text means there was nothing to screen, which is not the same as clean.
+    texts = documents_text.extract_documents(files)
+    screened = D.screen(texts.withColumn("screened", F.nullif("text", F.lit(""))), "screened")
+    return screened.select(
+        "doc_id", "text", F.coalesce("note", F.lit("none")).alias("note"), "verdict",
+        D.names_or_none(F.col("hits")).alias("filters"),
+    )
+
+
 # --- screening results -------------------------------------------------------------
 
 # German documents come back with one required filter not run.

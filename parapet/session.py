@@ -10,6 +10,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Call-site capture costs several gateway calls per column expression.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # Documents are up to a few MB each: keep Arrow batches small.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "64",
 }

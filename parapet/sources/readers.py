@@ -3,7 +3,7 @@
 import os
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from parapet import schemas, settings as S
 from parapet.operators import ledger, validate
@@ -13,14 +13,14 @@ def read_table(spark, folder, name):
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
 
 
-def spread(df, key):
+def spread(df, *key):
     """Give a small input to all cores.
 
     A scan of a large table has more splits than cores and is left alone; one file with a
     single row group is one task and is dealt out by key.
     """
     wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted, key)
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted, *key)
 
 
 def read_requests(spark, path):
@@ -59,24 +59,25 @@ def _rows_or_none(spark, read):
         raise
 
 
-def read_ledger(spark, path, form="parquet"):
-    """Stored ledger; no file yet is an empty ledger. JSON rows that do not parse are kept apart."""
-    if form == "parquet":
-        read = lambda: spark.read.schema(schemas.LEDGER).parquet(path)
-        found = _rows_or_none(spark, read)
-        return found if found is not None else spark.createDataFrame([], schemas.LEDGER)
-    rows, _ = read_json_ledger(spark, path)
-    return rows
+def read_ledger(spark, path, without_run=None):
+    """Stored ledger (run folders of parquet); no file yet is an empty ledger."""
+    found = _rows_or_none(spark, lambda: spark.read.schema(schemas.LEDGER).parquet(path))
+    if found is None:
+        return spark.createDataFrame([], schemas.LEDGER)
+    if without_run is not None:
+        found = found.where(F.col("run") != without_run)
+    return found.select([f.name for f in schemas.LEDGER.fields])
 
 
 def read_json_ledger(spark, path):
     """(good rows, unreadable lines) of a ledger stored as JSON lines."""
-    schema = type(schemas.LEDGER)(list(schemas.LEDGER.fields)).add("bad_line", "string")
-    read = lambda: spark.read.schema(schema).option("columnNameOfCorruptRecord", "bad_line").json(path)
-    found = _rows_or_none(spark, read)
+    found = _rows_or_none(spark, lambda: spark.read.text(path))
     if found is None:
-        found = spark.createDataFrame([], schema)
-    return found.where("bad_line is null").drop("bad_line"), found.where("bad_line is not null").select("bad_line")
+        return spark.createDataFrame([], schemas.LEDGER), spark.createDataFrame([], "bad_line string")
+    schema = T.StructType([*schemas.LEDGER.fields, T.StructField("bad_line", T.StringType())])
+    parsed = F.from_json("value", schema, {"columnNameOfCorruptRecord": "bad_line"})
+    rows = found.where(F.trim("value") != "").select(parsed.alias("row")).select("row.*")
+    return rows.where("bad_line is null").drop("bad_line"), rows.where("bad_line is not null").select("bad_line")
 
 
 def read_gateway_log(spark, path, limit=S.LOG_PULL, fields=schemas.LOG_FIELDS):

@@ -1,13 +1,19 @@
 """Writers. Only what passed screening is forwarded, only names are recorded."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from parapet import schemas, settings as S
 
 
-def append_ledger(df, path):
-    """Append ledger rows; the committed write replaces nothing and is atomic per job."""
-    df.select([f.name for f in schemas.LEDGER.fields]).write.mode("append").parquet(path)
+def append_ledger(df, path, run=None):
+    """Add ledger rows as a run folder of their own; writing the same run again replaces it.
+
+    The committer publishes a run as a whole, so readers see all of it or nothing.
+    """
+    run = run or f"write-{uuid.uuid4()}"
+    df.select([f.name for f in schemas.LEDGER.fields]).write.mode("overwrite").parquet(f"{path}/run={run}")
 
 
 def allowed_only(items, verdicts, keys):

@@ -90,7 +90,7 @@ def _staged(items, *steps):
 
 def _objects(whole):
     """num, head (dictionary) and raw (undecoded stream or null) of every object."""
-    found = F.regexp_extract_all(whole, F.lit(r"(?s)(?<!\d)\d++\s++\d++\s++obj\b.*?\bendobj"), F.lit(0))
+    found = F.regexp_extract_all(whole, F.lit(r"(?s)(?<!\d)\d++\s++\d++\s++obj\b.*?(?=endobj)\bendobj"), F.lit(0))
     num = lambda o: F.regexp_extract(o, r"\A(\d+)", 1).try_cast("int").alias("num")
     objects = _staged(
         found,

@@ -22,7 +22,7 @@ _ENVELOPE = "filterMatchState string, invocationResult string, filterResults str
 
 def parse_required(names):
     """Comma list to array: trimmed, empties dropped."""
-    return F.filter(F.transform(F.split(names, ","), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(names, ","), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def _object(text):

@@ -23,7 +23,7 @@ def telemetry(header, body, requested_mode):
     get = lambda name: F.nullif(F.try_element_at(header, F.lit(name)), F.lit(""))
     in_body = lambda field: F.nullif(F.get_json_object(body, f"$.error.screening.{field}"), F.lit(""))
     raw = F.try_element_at(header, F.lit("x-filters"))
-    listed = F.filter(F.transform(F.split(raw, ","), F.trim), lambda f: (f != "") & (f != "none"))
+    listed = F.filter(F.transform(F.split(raw, ","), lambda s: F.trim(s)), lambda f: (f != "") & (f != "none"))
     filters = F.when(raw.isNotNull(), listed).otherwise(X.string_list(in_body("matchedFilters")))
     label = lambda name, field: F.nullif(X.clean_label(F.coalesce(get(name), in_body(field)), 16), F.lit(""))
     return F.struct(

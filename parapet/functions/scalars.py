@@ -83,9 +83,10 @@ def mask_secret_ends(key):
 
 
 def fmt_bytes(n):
+    """KB with one decimal below 1 MiB, else MB with two; exact halves round to even."""
     kib = 1024.0
-    return F.when(n < 1024 * 1024, F.format_string("%.1f KB", n / kib)).otherwise(
-        F.format_string("%.2f MB", n / (kib * kib))
+    return F.when(n < 1024 * 1024, F.format_string("%.1f KB", F.bround(n / kib, 1))).otherwise(
+        F.format_string("%.2f MB", F.bround(n / (kib * kib), 2))
     )
 
 

@@ -29,6 +29,18 @@ def split_parts(df, keys, parts="parts"):
     )
 
 
+def part_records(parts, metadata, keys):
+    """Screened parts with what is known about them, and the name a part is shown under.
+
+    `metadata` has one row per part with a file_name, null where none is on record.
+    """
+    known = parts.join(metadata, [*keys, "n"], "left")
+    name = F.when(F.col("n") == 1, "Prompt text").otherwise(
+        F.coalesce("file_name", F.concat(F.lit("part "), F.col("n").cast("string")))
+    )
+    return known.withColumn("name", name).drop("file_name")
+
+
 def last_part_text(contents):
     """Text of the last part of the last content."""
     return F.try_element_at(F.try_element_at(contents, F.lit(-1)).parts, F.lit(-1)).text

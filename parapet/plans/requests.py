@@ -219,11 +219,46 @@ def part_names(spark, folder):
     files = keyed.where((F.col("n") >= 2) & (F.col("lang") == "en")).select(
         "request_id", "n", F.concat(F.concat_ws("-", "source", "doc_id"), F.lit(".txt")).alias("file_name")
     )
-    named = keyed.select("request_id", "n").join(files, ["request_id", "n"], "left")
-    name = F.when(F.col("n") == 1, "Prompt text").otherwise(
-        F.coalesce("file_name", F.concat(F.lit("part "), F.col("n").cast("string")))
+    return P.part_records(keyed.select("request_id", "n"), files, ["request_id"])
+
+
+_ATT_LIMITS = dict(max_bytes=9_000, max_total=15_000)
+_ATT_EXTS = [".png", ".PDF", ".csv", ".gif", ".docx"]
+_ATT_EXT_SQL = "CASE n_chars % 5 " + " ".join(f"WHEN {i} THEN {quote(e)}" for i, e in enumerate(_ATT_EXTS)) + " END"
+
+
+@query(f"""
+WITH a AS (
+  SELECT doc_id, n_chars % 4 + 1 AS n, octet_length(encode(text)) AS bytes, {_ATT_EXT_SQL} AS ext, n_chars % 17 = 0 AS broken
+  FROM documents)
+SELECT doc_id, n AS n_files,
+       CASE WHEN n > 3 THEN 'At most 3 files.'
+            WHEN ext = '.gif' THEN 'Unsupported file type ''.gif''. Allowed: {', '.join(sorted(S.ATTACHMENT_TYPES))}.'
+            WHEN broken THEN 'f_1' || ext || ': dataBase64 is not valid base64.'
+            WHEN bytes > {_ATT_LIMITS['max_bytes']} THEN 'f_1' || ext || ' is over 4 MB.'
+            WHEN bytes * n > {_ATT_LIMITS['max_total']} THEN 'Files are over 5 MB together.' ELSE 'none' END AS reason,
+       CASE WHEN broken OR n > 3 OR ext = '.gif' THEN 0 ELSE CAST(bytes * n AS BIGINT) END AS total_bytes
+FROM a
+""")
+def validate_attachments(spark, folder):
+    """Each document attached one to four times."""
+    docs = spread(read_table(spark, folder, "documents").select("doc_id", "text", "n_chars"), "doc_id")
+    whole = X.encode_base64(F.encode("text", "UTF-8"))
+    docs = docs.withColumn("n", F.col("n_chars") % 4 + 1).withColumn(
+        "data", F.when(F.col("n_chars") % 17 == 0, F.concat(whole, F.lit("*"))).otherwise(whole)
+    )
+    docs = X.computed_once(docs, "data")
+    ext = F.get(F.array(*[F.lit(e) for e in _ATT_EXTS]), (F.col("n_chars") % len(_ATT_EXTS)).cast("int"))
+    files = F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), lambda i: F.struct(
+        F.concat(F.lit("dir\\f#"), i.cast("string"), ext).alias("name"), F.col("data").alias("dataBase64")
+    ))
+    checked = validate.validate_attachments(docs.withColumn("files", files), **_ATT_LIMITS)
+    sizes = F.aggregate("attachments", F.lit(0).cast("bigint"), lambda a, f: a + F.coalesce(f.bytes, F.lit(0)))
+    known = F.size(F.filter("attachments", lambda f: f.mime.isNotNull())) == F.col("n")
+    return checked.select(
+        "doc_id", F.col("n").alias("n_files"), F.coalesce("reason", F.lit("none")).alias("reason"),
+        F.when(known & (F.col("n") <= 3), sizes).otherwise(F.lit(0).cast("bigint")).alias("total_bytes"),
     )
-    return named.select("request_id", "n", name.alias("name"))
 
 
 # --- screening conversations ---------------------------------------------------------------
@@ -262,6 +297,42 @@ def screen_conversations(spark, folder):
     return V.fold_parts(_screened_parts(spark, folder), ["conv_id"]).drop("over_limit")
 
 
+@query(f"""
+WITH {TURNS_SQL}, parts AS ({_PART_ROWS}), u AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, length(text) AS bytes FROM turns WHERE role = 'user')
+SELECT conv_id, n, CASE WHEN n = 1 THEN 'Prompt text' ELSE 'part ' || n END AS name, 'text' AS kind, bytes, verdict, filters
+FROM u JOIN (SELECT conv_id, n, verdict, filters FROM parts WHERE role = 'user') USING (conv_id, n)
+""")
+def part_records(spark, folder):
+    """One names-only record per part: its verdict beside its size and kind."""
+    screened = _screened_parts(spark, folder).where(F.col("n").isNotNull())
+    turns = conversations(spark, folder).where(F.col("role") == "user")
+    meta = _user_parts(turns, [F.length("text").cast("bigint").alias("bytes")]).select(
+        "conv_id", "n", "bytes", F.lit("text").alias("kind"), F.lit(None).cast("string").alias("file_name")
+    )
+    records = P.part_records(screened, meta, ["conv_id"])
+    return records.select("conv_id", "n", "name", "kind", "bytes", "verdict", D.names_or_none(F.col("filters")).alias("filters"))
+
+
+@query(f"""
+WITH {TURNS_SQL}, parts AS ({_PART_ROWS}), f AS ({_FOLDED})
+SELECT conv_id, '{{"error":{{"code":' || CASE verdict WHEN 'incomplete' THEN '503' ELSE '400' END || ',"status":"' ||
+         CASE verdict WHEN 'blocked' THEN 'BLOCKED_BY_SCREENING' WHEN 'error' THEN 'INVALID_ARGUMENT' ELSE 'SCREENING_UNAVAILABLE' END
+         || '","stage":"prompt","message":"' || verdict || '","screening":{{"mode":"callout","matched":"' || matched ||
+         '","latencyMs":0}},"requestId":"req-' || conv_id || '"}}}}' AS body
+FROM f WHERE verdict <> 'allowed'
+""")
+def error_records(spark, folder):
+    """The error body of every conversation that is not forwarded."""
+    folded = V.fold_parts(_screened_parts(spark, folder), ["conv_id"]).where(F.col("verdict") != S.ALLOWED)
+    status = V.outcome_status(F.col("verdict"))
+    body = V.error_record(
+        status.http_status, status.code, F.lit("prompt"), F.col("verdict"), F.lit("callout"), F.col("matched"), F.lit(0),
+        F.concat(F.lit("req-"), "conv_id"),
+    )
+    return folded.select("conv_id", body.alias("body"))
+
+
 @query(f"""
 WITH {TURNS_SQL}, parts AS ({_PART_ROWS}), f AS ({_FOLDED})
 SELECT conv_id, n_parts, n_parts > 3 AS over_limit,
@@ -280,19 +351,31 @@ def bounded_requests(spark, folder):
 WITH {TURNS_SQL}, ends AS (
   SELECT conv_id, arg_max(text, turn) FILTER (role = 'user') AS last_prompt,
          arg_max(text, turn) FILTER (role = 'assistant') AS last_answer, count(*) AS n_turns FROM turns GROUP BY conv_id)
-SELECT conv_id, last_prompt, last_answer, n_turns,
+SELECT conv_id, n_turns, length(last_prompt) AS prompt_chars, length(last_answer) AS answer_chars,
+       CASE WHEN last_prompt IS NULL THEN 'none' ELSE {filters_sql('last_prompt')} END AS filters,
        CASE WHEN last_prompt IS NULL THEN 'incomplete' WHEN {filters_sql('last_prompt')} <> 'none' THEN 'blocked'
             WHEN length(last_prompt) > {S.MAX_TEXT_CHARS} THEN 'incomplete' ELSE 'allowed' END AS verdict
 FROM ends
 """)
 def last_turn_prompt(spark, folder):
-    """Only the last prompt of a conversation is screened; one running value per conversation and task."""
-    turns = conversations(spark, folder)
-    of = lambda role: F.max_by("text", F.when(F.col("role") == role, F.col("turn")))
+    """A mode in which only the last prompt of a conversation counts.
+
+    Turns are screened where they are read, so what is aggregated and shuffled is one
+    small record per conversation and task, not its texts.
+    """
+    turns = D.screen(conversations(spark, folder)).select(
+        "conv_id", "turn", "role",
+        F.struct(F.length("text").cast("bigint").alias("chars"), "verdict", D.names_or_none(F.col("hits")).alias("filters")).alias("seen"),
+    )
+    last = lambda role: F.max_by("seen", F.when(F.col("role") == role, F.col("turn")))
     ends = turns.groupBy("conv_id").agg(
-        of("user").alias("last_prompt"), of("assistant").alias("last_answer"), F.count(F.lit(1)).alias("n_turns")
+        F.count(F.lit(1)).alias("n_turns"), last("user").alias("prompt"), last("assistant").alias("answer")
+    )
+    return ends.select(
+        "conv_id", "n_turns", F.col("prompt.chars").alias("prompt_chars"), F.col("answer.chars").alias("answer_chars"),
+        F.coalesce("prompt.filters", F.lit("none")).alias("filters"),
+        F.coalesce("prompt.verdict", F.lit(S.INCOMPLETE)).alias("verdict"),
     )
-    return D.screen(ends, "last_prompt").select("conv_id", "last_prompt", "last_answer", "n_turns", "verdict")
 
 
 @query(f"""

@@ -12,8 +12,9 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Call-site capture costs several gateway calls per column expression.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
-    # Documents are up to a few MB each: keep Arrow batches small.
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "64",
+    # Documents are up to a few MB each: Arrow batches are bounded by bytes.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
 }
 
 

@@ -13,14 +13,16 @@ def read_table(spark, folder, name):
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
 
 
-def spread(df, *key):
-    """Give a small input to all cores.
+def spread(df, *key, small=64):
+    """Deal a small input out to all cores.
 
-    A scan of a large table has more splits than cores and is left alone; one file with a
-    single row group is one task and is dealt out by key.
+    One file with a single row group is one task, whatever its size in rows. Only inputs
+    of at most `small` scan tasks are dealt out; anything larger keeps its splits and
+    pays no shuffle.
     """
     wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted, *key)
+    tasks = df.rdd.getNumPartitions()
+    return df.repartition(wanted, *key) if tasks < wanted and tasks <= small else df
 
 
 def read_requests(spark, path):

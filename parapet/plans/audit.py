@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from parapet import settings as S
 from parapet.functions import detect as D, scalars as X
 from parapet.operators import ledger as L, ordered, verdicts as V
-from parapet.plans.common import docs_sql, documents, query, screened_sql
+from parapet.plans.common import docs_sql, documents, or_minus_one, query, screened_sql
 from parapet.sources.readers import read_table, spread
 
 # --- ledger built from screened documents -------------------------------------------
@@ -52,7 +52,7 @@ SELECT request_id, scenario_id, 'mm-' || mode AS mode, 'text' AS input, verdict
        CASE verdict WHEN 'error' THEN 'incomplete' ELSE verdict END AS multipart_verdict,
        CASE verdict WHEN 'error' THEN 'error' ELSE verdict END AS ledger_verdict,
        coalesce(filters, 'none') AS filters, CAST(http_status AS BIGINT) AS http_status,
-       CAST(latency_ms AS BIGINT) AS latency_ms,
+       CAST(coalesce(latency_ms, -1) AS BIGINT) AS latency_ms,
        CASE WHEN verdict = 'error' THEN 'error' WHEN http_status = 400 THEN 'error' ELSE 'allowed' END AS rejected_verdict
 FROM ledger
 """)
@@ -72,7 +72,7 @@ def audit_messages(spark, folder):
         request_id=F.col("request_id"), scenario_id=F.col("scenario_id"), mode=F.col("t.mode"), input=F.col("t.input"),
         caller_verdict=V.status_verdict(F.col("http_status")), multipart_verdict=multipart,
         ledger_verdict=V.ledger_verdict(multipart), filters=D.names_or_none(F.col("t.filters")),
-        http_status=F.col("http_status").cast("bigint"), latency_ms=F.col("t.latency_ms"),
+        http_status=F.col("http_status").cast("bigint"), latency_ms=or_minus_one("t.latency_ms"),
         rejected_verdict=V.status_verdict(F.col("http_status"), F.when(F.col("http_status") == 400, "INVALID_ARGUMENT")),
     )
 
@@ -217,14 +217,14 @@ def audit_sync_newest(spark, folder):
 WITH e AS (SELECT user_id, event_id, CASE WHEN event_type <> 'error' THEN epoch_us(ts) // 1000 END AS t FROM events),
 p AS (SELECT *, last_value(t IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id
                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM e)
-SELECT user_id, event_id, CASE WHEN t >= prev THEN t - prev END AS ms FROM p
+SELECT user_id, event_id, CASE WHEN t >= prev THEN t - prev ELSE -1 END AS ms FROM p
 """)
 def turn_latency(spark, folder):
     """Time between the steps of a user; the time of an error is not known."""
     events = spread(read_table(spark, folder, "events"), "event_id").select("user_id", "event_id", "event_type", "ts")
     at = F.floor(X.epoch_micros(F.col("ts")) / 1000).cast("bigint")
     steps = events.select("user_id", "event_id", F.when(F.col("event_type") != "error", at).alias("t"))
-    return ordered.part_latency(steps, ["user_id"], "event_id", "t").select("user_id", "event_id", "ms")
+    return ordered.part_latency(steps, ["user_id"], "event_id", "t").select("user_id", "event_id", or_minus_one("ms"))
 
 
 def _event_kpis(*by):
@@ -282,7 +282,7 @@ WITH p AS (SELECT event_id, user_id, epoch_us(ts) AS t FROM events WHERE event_t
 r AS (SELECT event_id AS result_id, user_id, epoch_us(ts) AS t FROM events WHERE event_type = 'click'),
 m AS (SELECT p.event_id, min(r.t) AS at, arg_min(r.result_id, r.t) AS result_id
       FROM p JOIN r ON p.user_id = r.user_id AND r.t >= p.t AND r.t <= p.t + {_WAIT} GROUP BY p.event_id)
-SELECT p.event_id, p.user_id, m.result_id, m.at - p.t AS waited,
+SELECT p.event_id, p.user_id, coalesce(m.result_id, -1) AS result_id, coalesce(m.at - p.t, -1) AS waited,
        CASE WHEN m.at IS NULL THEN 'incomplete' ELSE 'allowed' END AS verdict
 FROM p LEFT JOIN m USING (event_id)
 """)
@@ -293,7 +293,8 @@ def late_results(spark, folder):
     results = events.where("event_type = 'click'").select(F.col("event_id").alias("result_id"), "user_id", "at")
     found = ordered.first_result_within(parts, results, "user_id", "at", _WAIT)
     return found.select(
-        "event_id", "user_id", "result_id", (F.col("result_at") - F.col("at")).alias("waited"),
+        "event_id", "user_id", or_minus_one("result_id"),
+        F.coalesce(F.col("result_at") - F.col("at"), F.lit(-1)).alias("waited"),
         F.when(F.col("result_at").isNull(), S.INCOMPLETE).otherwise(S.ALLOWED).alias("verdict"),
     )
 
@@ -306,7 +307,7 @@ SELECT doc_id, left(regexp_replace(text, '[^A-Za-z0-9_:,.\\- ]', '', 'g'), 40) A
        '••••' || right(md5(text), 4) AS masked, left(md5(text), 4) || '…' || right(md5(text), 4) AS masked_ends,
        CASE WHEN n_chars * 300 < 1048576 THEN printf('%.1f', n_chars * 300 / 1024.0) || ' KB'
             ELSE printf('%.2f', n_chars * 300 / 1048576.0) || ' MB' END AS size_text,
-       format('{{:,}}', n_chars) AS chars_text, nullif(n_chars % 5, 0) AS int_or_null, regexp_matches(text, '\\S') AS filled,
+       format('{{:,}}', n_chars) AS chars_text, coalesce(nullif(n_chars % 5, 0), -1) AS int_or_null, regexp_matches(text, '\\S') AS filled,
        CASE WHEN n_chars % 3 = 0 THEN 'n/a' WHEN lang = 'de' THEN 'note only' ELSE 'yes' END AS forwarded
 FROM documents
 """)
@@ -320,7 +321,7 @@ def scalar_columns(spark, folder):
         X.mask_secret_ends(digest).alias("masked_ends"),
         X.fmt_bytes(F.col("n_chars") * 300).alias("size_text"),
         X.fmt_thousands(F.col("n_chars")).alias("chars_text"),
-        X.int_or_null((F.col("n_chars") % 5).cast("string")).alias("int_or_null"),
+        F.coalesce(X.int_or_null((F.col("n_chars") % 5).cast("string")), F.lit(-1)).alias("int_or_null"),
         (~X.is_blank(F.col("text"))).alias("filled"),
         X.forwarded_state(F.when(F.col("n_chars") % 3 != 0, 1), F.col("lang") != "de").alias("forwarded"),
     )

@@ -53,6 +53,11 @@ def conversations(spark, folder):
     return turns.unionByName(base)
 
 
+def or_minus_one(name):
+    """A number for a report: unknown is -1, so that no tool turns the column into floats."""
+    return F.coalesce(F.col(name), F.lit(-1)).alias(name.split(".")[-1])
+
+
 # --- the same as SQL -----------------------------------------------------------
 
 

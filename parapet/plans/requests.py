@@ -6,7 +6,7 @@ from parapet import settings as S
 from parapet.functions import detect as D, results as R, scalars as X
 from parapet.operators import compare, ordered, parts as P, validate, verdicts as V
 from parapet.plans.common import (
-    TURNS_SQL, conversations, filters_sql, query, quote, screened_sql,
+    TURNS_SQL, conversations, filters_sql, or_minus_one, query, quote, screened_sql,
 )
 from parapet.sources.readers import read_table, spread
 from parapet.sources.writers import allowed_only
@@ -119,8 +119,8 @@ r AS (SELECT *, CASE
     WHEN broken THEN 'dataBase64 is not valid base64'
     WHEN bytes > {_UPLOAD_LIMIT} THEN 'File exceeds ' || printf('%.1f', {_UPLOAD_LIMIT} / 1024.0) || ' KB'
     WHEN ext = '.pdf' THEN 'This is not a valid PDF file' END AS reason FROM u)
-SELECT doc_id, safe_name, ext, {_MIME_OF} AS mime, {_KIND_OF} AS kind,
-       CASE WHEN ext IN ({_EXT_OK}) AND NOT broken THEN CAST(bytes AS BIGINT) END AS bytes,
+SELECT doc_id, safe_name, ext, coalesce({_MIME_OF}, 'none') AS mime, coalesce({_KIND_OF}, 'none') AS kind,
+       CASE WHEN ext IN ({_EXT_OK}) AND NOT broken THEN CAST(bytes AS BIGINT) ELSE -1 END AS bytes,
        CAST(CASE WHEN reason IS NULL THEN 200 WHEN reason LIKE 'File exceeds%' THEN 413 ELSE 400 END AS BIGINT) AS status,
        coalesce(reason, 'none') AS reason
 FROM r
@@ -137,7 +137,8 @@ def validate_uploads(spark, folder):
     )
     checked = validate.validate_upload(uploads, max_bytes=_UPLOAD_LIMIT)
     return checked.select(
-        "doc_id", "safe_name", "ext", "mime", "kind", "bytes", F.col("status").cast("bigint").alias("status"),
+        "doc_id", "safe_name", "ext", F.coalesce("mime", F.lit("none")).alias("mime"),
+        F.coalesce("kind", F.lit("none")).alias("kind"), or_minus_one("bytes"), F.col("status").cast("bigint").alias("status"),
         F.coalesce("reason", F.lit("none")).alias("reason"),
     )
 
@@ -351,7 +352,7 @@ def bounded_requests(spark, folder):
 WITH {TURNS_SQL}, ends AS (
   SELECT conv_id, arg_max(text, turn) FILTER (role = 'user') AS last_prompt,
          arg_max(text, turn) FILTER (role = 'assistant') AS last_answer, count(*) AS n_turns FROM turns GROUP BY conv_id)
-SELECT conv_id, n_turns, length(last_prompt) AS prompt_chars, length(last_answer) AS answer_chars,
+SELECT conv_id, n_turns, coalesce(length(last_prompt), -1) AS prompt_chars, coalesce(length(last_answer), -1) AS answer_chars,
        CASE WHEN last_prompt IS NULL THEN 'none' ELSE {filters_sql('last_prompt')} END AS filters,
        CASE WHEN last_prompt IS NULL THEN 'incomplete' WHEN {filters_sql('last_prompt')} <> 'none' THEN 'blocked'
             WHEN length(last_prompt) > {S.MAX_TEXT_CHARS} THEN 'incomplete' ELSE 'allowed' END AS verdict
@@ -372,7 +373,7 @@ def last_turn_prompt(spark, folder):
         F.count(F.lit(1)).alias("n_turns"), last("user").alias("prompt"), last("assistant").alias("answer")
     )
     return ends.select(
-        "conv_id", "n_turns", F.col("prompt.chars").alias("prompt_chars"), F.col("answer.chars").alias("answer_chars"),
+        "conv_id", "n_turns", F.coalesce("prompt.chars", F.lit(-1)).alias("prompt_chars"), F.coalesce("answer.chars", F.lit(-1)).alias("answer_chars"),
         F.coalesce("prompt.filters", F.lit("none")).alias("filters"),
         F.coalesce("prompt.verdict", F.lit(S.INCOMPLETE)).alias("verdict"),
     )
@@ -451,9 +452,9 @@ _ANSWERS = "SELECT *, conv_id % 2 = 0 AS img, conv_id % 5 = 0 AS webp FROM conve
 @query(f"""
 WITH a AS ({_ANSWERS})
 SELECT conv_id, turn, NOT (img AND webp) AS shape_ok, true AS has_text, img AND NOT webp AS has_image,
-       CAST(CASE WHEN img AND NOT webp THEN 1 END AS BIGINT) AS image_index,
+       CAST(CASE WHEN img AND NOT webp THEN 1 ELSE -1 END AS BIGINT) AS image_index,
        CAST(CASE WHEN img THEN 2 ELSE 1 END AS BIGINT) AS kept_parts, text AS screen_text, text AS shown_text,
-       CASE WHEN img THEN CASE WHEN webp THEN 'image/webp' ELSE 'image/png' END END AS shown_image,
+       CASE WHEN img THEN CASE WHEN webp THEN 'image/webp' ELSE 'image/png' END ELSE 'none' END AS shown_image,
        length(text) AS total_tokens, false AS still_dirty
 FROM a
 """)
@@ -470,9 +471,9 @@ def answer_parts(spark, folder):
     all_parts = F.size(F.try_variant_get(F.try_parse_json("stripped"), "$.candidates[0].content.parts", "array<variant>"))
     return stripped.select(
         "conv_id", "turn", F.col("first_shape_ok").alias("shape_ok"), F.col("first_has_text").alias("has_text"),
-        F.col("first_has_image").alias("has_image"), F.col("first_image_index").cast("bigint").alias("image_index"),
+        F.col("first_has_image").alias("has_image"), F.coalesce(F.col("first_image_index").cast("bigint"), F.lit(-1)).alias("image_index"),
         F.col("first_kept_parts").cast("bigint").alias("kept_parts"), F.col("first_screen_text").alias("screen_text"),
-        F.col("shown.text").alias("shown_text"), F.col("shown.image.mimeType").alias("shown_image"),
+        F.col("shown.text").alias("shown_text"), F.coalesce("shown.image.mimeType", F.lit("none")).alias("shown_image"),
         P.usage_tokens(F.col("stripped")).total.alias("total_tokens"),
         (all_parts != F.col("kept_parts")).alias("still_dirty"),
     )
@@ -487,13 +488,12 @@ _IMAGE_CASE = "conv_id % 6"
 @query(f"""
 WITH a AS (SELECT *, length(text) AS chars FROM ({_ANSWERS})),
 v AS (SELECT conv_id, turn, NOT (img AND webp) AS shape_ok, img AND NOT webp AS has_image, {_TEXT_VERDICT} AS text_verdict,
-             CASE WHEN NOT (img AND NOT webp) THEN NULL WHEN conv_id % 6 = 0 OR conv_id % 6 = 2 THEN 'blocked'
-                  ELSE 'blocked' END AS image_verdict,
+             CASE WHEN img AND NOT webp THEN 'blocked' END AS image_verdict,
              CASE WHEN conv_id % 8 < 4 THEN 'redact' ELSE 'block' END AS action,
              conv_id % 6 AS c FROM a),
 s AS (SELECT *, CASE WHEN NOT has_image THEN 'none' WHEN c = 2 OR action = 'block' THEN 'blocked'
                      WHEN c = 4 THEN 'incomplete' ELSE 'redacted' END AS state FROM v)
-SELECT conv_id, turn, action, text_verdict, image_verdict, state AS image_state,
+SELECT conv_id, turn, action, text_verdict, coalesce(image_verdict, 'none') AS image_verdict, state AS image_state,
        CASE WHEN text_verdict = 'blocked' OR state = 'blocked' THEN 'blocked'
             WHEN NOT shape_ok OR text_verdict = 'incomplete' OR state = 'incomplete' THEN 'incomplete'
             WHEN state = 'redacted' THEN 'redacted' ELSE 'allowed' END AS verdict,
@@ -527,7 +527,7 @@ def answer_verdicts(spark, folder):
     )
     rows = rows.withColumn("image_state", state)
     return rows.select(
-        "conv_id", "turn", "action", "text_verdict", "image_verdict", "image_state",
+        "conv_id", "turn", "action", "text_verdict", F.coalesce("image_verdict", F.lit("none")).alias("image_verdict"), "image_state",
         V.answer_verdict(F.col("shape_ok"), F.col("text_verdict"), F.col("image_verdict"), F.col("image_state")).alias("verdict"),
         V.answer_matched(item("has_text", "t_filters"), item("has_image", "i_filters")).alias("matched"),
         F.array_join(F.coalesce(item("has_image", "i_findings"), X.empty_strings()), ",").alias("findings"),

@@ -6,7 +6,7 @@ from parapet import settings as S
 from parapet.functions import detect as D, results as R, scalars as X
 from parapet.operators import compare, documents as documents_text, pages, validate, verdicts as V
 from parapet.plans.common import (
-    SEEDS, TYPE_SEEDS, docs_sql, documents, filters_sql, n_hits_sql, normalize_sql, query, quote, replace_all_sql,
+    SEEDS, TYPE_SEEDS, docs_sql, documents, filters_sql, n_hits_sql, normalize_sql, or_minus_one, query, quote, replace_all_sql,
     screened_sql,
 )
 from parapet.sources.readers import read_table, spread
@@ -287,7 +287,7 @@ SELECT doc_id, n.verdict AS native_verdict, c.verdict AS callout_verdict, n.verd
          AND list_sort(list_transform(string_split(n.filters, ','), lambda x: split_part(x, ':', 1)))
           <> list_sort(list_transform(string_split(c.filters, ','), lambda x: split_part(x, ':', 1))) AS filters_differ,
        CASE WHEN n.verdict = c.verdict AND n.verdict IN ('blocked', 'allowed') THEN n.verdict ELSE 'mixed' END AS combined,
-       CAST(CASE WHEN n_chars % 90 > 0 THEN 20 + n_chars % 40 END AS BIGINT) AS latency_delta
+       CAST(CASE WHEN n_chars % 90 > 0 THEN 20 + n_chars % 40 ELSE -1 END AS BIGINT) AS latency_delta
 FROM n JOIN c USING (doc_id)
 """)
 def compare_modes(spark, folder):
@@ -312,7 +312,7 @@ def compare_modes(spark, folder):
         F.when(F.size("filters") > 0, S.BLOCKED).when(F.col("chars") > F.col("limit"), S.INCOMPLETE).otherwise(S.ALLOWED)
     )
     rows = modes.select("doc_id", "mode", "filters", "latency_ms", verdict.alias("verdict"))
-    return compare.compare_modes(rows, ["doc_id"])
+    return compare.compare_modes(rows, ["doc_id"]).withColumn("latency_delta", or_minus_one("latency_delta"))
 
 
 @query(f"""

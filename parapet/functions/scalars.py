@@ -63,7 +63,7 @@ def base64_bytes(data):
 
 def clean_label(value, n=120):
     """Short printable label for values taken from headers and logs."""
-    return F.left(F.regexp_replace(F.coalesce(value, F.lit("")), r"[^A-Za-z0-9_:,.\- ]", ""), F.lit(n))
+    return F.left(F.regexp_replace(F.coalesce(value, F.lit("")), r"[^A-Za-z0-9_:,.\- ]+", ""), F.lit(n))
 
 
 def mask_secret(key):
@@ -188,7 +188,7 @@ def normalize_lines(text, max_chars=None):
     # The look-behinds start a match only where a blank run starts: linear on long runs.
     text = F.regexp_replace(text, r"(?<![\s\p{Z}])[\s\p{Z}]*\n[\s\p{Z}]*", "\n")
     text = F.regexp_replace(text, r"\A[\s\p{Z}]++|(?<![\s\p{Z}])[\s\p{Z}]++\z", "")
-    text = F.regexp_replace(text, r"[\p{C}\p{Z}&&[^\n ]]", "")
+    text = F.regexp_replace(text, r"[\p{C}\p{Z}&&[^\n ]]+", "")
     return text if max_chars is None else F.left(text, F.lit(max_chars))
 
 

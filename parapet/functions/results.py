@@ -100,7 +100,7 @@ def summarize(df, raw, required=S.REQUIRED_FILTERS, prefix="", wrappers=ALL_WRAP
     match_state, invocation = text(F.col(obj).filterMatchState), text(F.col(obj).invocationResult)
     hit = F.filter(F.col(entries), lambda e: text(e.inner.matchState) == S.MATCH)
     ran = F.transform(F.filter(F.col(entries), lambda e: text(e.inner.executionState) == S.RAN), lambda e: e["name"])
-    names = F.flatten(F.transform(hit, lambda e: subtype_names(e["name"], e.inner)))
+    names = F.flatten(F.transform(matched, lambda e: subtype_names(e["name"], e.inner)))
     if flat is not None:
         unread = F.col(obj).isNull()
         wrapped = {k: w + (".inspectResult" if k == "sdp" else "") for k, w in S.RESULT_WRAPPERS.items()}
@@ -117,22 +117,17 @@ def summarize(df, raw, required=S.REQUIRED_FILTERS, prefix="", wrappers=ALL_WRAP
         lambda a, b: a & b, [F.array_contains(F.col(f"__{prefix}ran"), r) for r in required], F.lit(len(required) > 0)
     )
     fault = F.lit(False) if filter_fault is None else F.coalesce(filter_fault, F.lit(False))
-    df = (
-        df.withColumn(matched, hit)
-        .withColumn(f"__{prefix}ran", ran)
-        .withColumn(f"{prefix}match_state", match_state)
-        .withColumn(f"{prefix}invocation", invocation)
-        .withColumn(f"{prefix}filters", names)
-        .withColumn(f"{prefix}complete", required_ok & c("invocation").isin("", "SUCCESS"))
-        .withColumn(
-            f"{prefix}findings",
-            F.coalesce(F.array_distinct(F.flatten(F.transform(sdp, lambda e: finding_names(e.inner)))), X.empty_strings()),
-        )
-        .withColumn(
-            f"{prefix}redacted_image",
-            F.nullif(F.get(sdp, F.lit(0)).inner.redactedImage, F.lit("")),
-        )
-    )
+    df = df.withColumns({
+        matched: hit, f"__{prefix}ran": ran, f"{prefix}match_state": match_state, f"{prefix}invocation": invocation,
+    })
+    df = df.withColumns({
+        f"{prefix}filters": names,
+        f"{prefix}complete": required_ok & c("invocation").isin("", "SUCCESS"),
+        f"{prefix}findings": F.coalesce(
+            F.array_distinct(F.flatten(F.transform(sdp, lambda e: finding_names(e.inner)))), X.empty_strings()
+        ),
+        f"{prefix}redacted_image": F.nullif(F.get(sdp, F.lit(0)).inner.redactedImage, F.lit("")),
+    })
     df = df.withColumn(
         f"{prefix}verdict",
         F.when((F.size(c("filters")) > 0) | (c("match_state") == S.MATCH) | fault, S.BLOCKED)

@@ -7,15 +7,16 @@ from parapet import settings as S
 EMPTY_STRINGS = "cast(array() as array<string>)"
 
 
-def computed_once(df, *names):
-    """The same rows, with the named columns fixed where they are.
+def computed_once(df, *names, **values):
+    """The same rows, with the named columns (or new values) fixed where they are.
 
     A filter on a computed column is normally pushed below the computation and repeats
     it. For columns that scan whole texts that doubles the work; behind a one-row
     generator a filter stays above.
     """
-    rest = [c for c in df.columns if c not in names]
-    return df.select(*rest, F.inline(F.array(F.struct(*names))))
+    rest = [c for c in df.columns if c not in names and c not in values]
+    fixed = [*names, *[value.alias(name) for name, value in values.items()]]
+    return df.select(*rest, F.inline(F.array(F.struct(*fixed))))
 
 
 def empty_strings():

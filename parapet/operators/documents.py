@@ -40,21 +40,20 @@ def extract_pdf(df, content, text="text", note="note", max_chars=S.PDF_MAX_CHARS
     refused = F.when(~X.has_pdf_magic(F.col(content)), "not a PDF file").when(
         whole.rlike(r"/Encrypt\s"), "encrypted PDFs are not supported"
     )
-    step = lambda name, value: X.computed_once(df.withColumn(name, value), name)
-    df = step("__refused", refused)
-    df = step("__objects", F.when(F.col("__refused").isNull(), _objects(whole)))
-    df = step("__inflated", inflate(F.transform("__objects", _compressed)))
-    df = step("__objects", F.transform("__objects", lambda o, i: F.struct(
+    df = X.computed_once(df, __refused=refused)
+    df = X.computed_once(df, __objects=F.when(F.col("__refused").isNull(), _objects(whole)))
+    df = X.computed_once(df.withColumn("__inflated", inflate(F.transform("__objects", _compressed))), "__inflated")
+    df = X.computed_once(df, __objects=F.transform("__objects", lambda o, i: F.struct(
         o.num.alias("num"), i.alias("rank"), o.head.alias("head"),
         F.coalesce(F.when(o.raw.isNotNull() & ~F.contains(o.head, F.lit("/Filter")), o.raw),
                    F.decode(F.get(F.col("__inflated.streams"), i), LATIN)).alias("stream"),
     )))
-    df = step("__objects", F.array_sort(F.concat("__objects", _packed(F.col("__objects")))))
-    df = step("__objects", _latest(F.col("__objects")))
-    df = step("__by_num", F.map_from_entries(F.transform("__objects", lambda o: F.struct(o.num, o))))
-    df = step("__fonts", _fonts(F.col("__objects"), F.col("__by_num")))
-    df = step("__fonts", _named_fonts(F.col("__objects"), F.col("__by_num"), F.col("__fonts")))
-    df = step("__order", _content_order(F.col("__objects")))
+    df = X.computed_once(df, __objects=F.array_sort(F.concat("__objects", _packed(F.col("__objects")))))
+    df = X.computed_once(df, __objects=_latest(F.col("__objects")))
+    df = X.computed_once(df, __by_num=F.map_from_entries(F.transform("__objects", lambda o: F.struct(o.num, o))))
+    df = X.computed_once(df, __fonts=_fonts(F.col("__objects"), F.col("__by_num")))
+    df = X.computed_once(df, __fonts=_named_fonts(F.col("__objects"), F.col("__by_num"), F.col("__fonts")))
+    df = X.computed_once(df, __order=_content_order(F.col("__objects")))
     df = df.withColumn("__map_size", F.aggregate(
         "__fonts", F.lit(0).cast("bigint"), lambda n, f: n + F.coalesce(F.size(f.codes), F.lit(0)).cast("bigint")
     ))

@@ -148,31 +148,28 @@ def split_answer(df, body):
             _inline(p, "data").alias("data"),
         ),
     )
-    df = df.withColumn("__kept", kept).withColumn("__read", parsed.isNotNull())
+    df = df.withColumns({"__kept": kept, "__read": parsed.isNotNull()})
     indexed = F.transform("__kept", lambda p, i: F.struct(i.alias("i"), p.alias("p")))
     images = F.filter(indexed, lambda x: x.p.inline & x.p.data.isNotNull())
     texts = F.filter(
         F.transform("__kept", lambda p: p.text), lambda t: t.isNotNull() & ~F.coalesce(X.is_blank(t), F.lit(True))
     )
-    df = df.withColumn("__images", images).withColumn("__texts", texts)
+    df = df.withColumns({"__images": images, "__texts": texts})
     first = F.get(F.col("__images"), F.lit(0))
     one_ok = (F.size("__images") == 1) & first.p.mime.isin(S.ANSWER_IMAGE_MIMES)
     no_bytes = F.exists("__kept", lambda p: p.inline & p.data.isNull())
     joined = F.array_join("__texts", "\n")
-    return (
-        df.withColumn("kept_parts", F.size("__kept"))
-        .withColumn("has_text", F.size("__texts") > 0)
-        .withColumn("screen_text", F.when(F.col("has_text"), joined))
-        .withColumn("has_image", F.coalesce(one_ok, F.lit(False)))
-        .withColumn(
-            "shape_ok",
-            F.col("__read") & ~no_bytes & ((F.size("__images") == 0) | F.col("has_image")),
-        )
-        .withColumn("image_index", F.when(F.col("has_image"), first.i))
-        .withColumn("image_mime", F.when(F.col("has_image"), first.p.mime))
-        .withColumn("image_data", F.when(F.col("has_image"), first.p.data))
-        .drop("__kept", "__read", "__images", "__texts")
-    )
+    has_text, has_image = F.size("__texts") > 0, F.coalesce(one_ok, F.lit(False))
+    return df.withColumns({
+        "kept_parts": F.size("__kept"),
+        "has_text": has_text,
+        "screen_text": F.when(has_text, joined),
+        "has_image": has_image,
+        "shape_ok": F.col("__read") & ~no_bytes & ((F.size("__images") == 0) | has_image),
+        "image_index": F.when(has_image, first.i),
+        "image_mime": F.when(has_image, first.p.mime),
+        "image_data": F.when(has_image, first.p.data),
+    }).drop("__kept", "__read", "__images", "__texts")
 
 
 def answer_text_and_image(body):

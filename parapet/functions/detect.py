@@ -5,10 +5,15 @@ from pyspark.sql import functions as F
 from parapet import settings as S
 from parapet.functions import scalars as X
 
-# Same matches as the plain e-mail pattern, in linear time: a local part is only
-# tried where a run of its characters starts (or right behind the last match), and
-# the run is never given back. The plain form is quadratic on long unbroken runs.
+# Same matches as the plain pattern, in linear time; the plain forms are quadratic on long
+# unbroken runs. E-mail: a local part is only tried where a run of its characters starts
+# (or right behind the last match), and the run is never given back. Link: a run without
+# blanks is read once from its start, and only its first address is looked at, as every
+# later one is part of what follows the first.
+_LINK_START = r"(?i)(?<!\S)(?>\S*?(?=https?://))"
+_LINK_REST = r"https?://\S*?(?:testsafebrowsing|malware|phishing)"
 _LINEAR_FORMS = {
+    "malicious_uris": _LINK_START + _LINK_REST,
     "EMAIL_ADDRESS": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
 }
 # What a match must start with or contain. Looking for that first is several times
@@ -24,6 +29,8 @@ _CONTAINS = {S.PROMPT_RULES[1]: "://", S.INFO_TYPES[4]: "@"}
 
 
 def _guarded(rule):
+    if rule == S.PROMPT_RULES[1]:
+        return _LINEAR_FORMS["malicious_uris"]
     starts, (_, pattern) = _STARTS.get(rule), rule
     if starts is None:
         return pattern
@@ -80,7 +87,8 @@ def screen(df, text="text", rules=S.PROMPT_RULES, max_chars=S.MAX_TEXT_CHARS):
 
 
 def bad_links(text):
-    return F.regexp_extract_all(text, F.lit(dict(S.PROMPT_RULES)["malicious_uris"]), F.lit(0))
+    """The links the rule matches, whole."""
+    return F.regexp_extract_all(text, F.lit(f"{_LINK_START}({_LINK_REST}\\S*)"), F.lit(1))
 
 
 def type_counts(text, info_types=S.INFO_TYPES):

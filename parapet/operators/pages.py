@@ -13,14 +13,21 @@ STEPS = [
      "\n"),
     (r"<[A-Za-z/!][^>]*>", ""),
 ]
+# What each step's match ends with. Behind the last such end nothing can match, and
+# looking there would cost a scan to the end of the page for every opening.
+ENDS = [r"(?is)\A.*</(script|style)\s*>", r"(?s)\A.*-->", r"(?s)\A.*>", r"(?s)\A.*>"]
 # The ampersand is last, so that an escaped entity is unescaped once.
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
 
 
 def html_text(html):
-    text = html
-    for pattern, to in STEPS:
-        text = F.regexp_replace(text, pattern, to)
+    pages = F.array(html)
+    for (pattern, to), end in zip(STEPS, ENDS):
+        halves = F.transform(pages, lambda t: F.struct(t.alias("whole"), F.regexp_extract(t, end, 0).alias("front")))
+        pages = F.transform(halves, lambda h: F.concat(
+            F.regexp_replace(h.front, pattern, to), F.substr(h.whole, F.length(h.front) + 1)
+        ))
+    text = F.get(pages, F.lit(0))
     for entity, char in ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(char))
     return X.normalize_lines(text)

@@ -70,3 +70,9 @@ def test_pages(spark):
     got = by(pages.extract_pages(df), "id", "text", "truncated")
     assert got[1] == ("hidden\na &lt; b&nbsp;1 < 2\nxy", False) and got[2][0] is None
     assert df.select(F.length(pages.html_text(F.col("html")))).first()[0] > 0
+
+
+def test_unclosed_markup_stays_linear(spark):
+    html = "<p>start</p><script>x</script>" + "<script " * 50_000 + "<!-- " * 50_000 + "<b " * 50_000
+    text = spark.createDataFrame([(html,)], "h string").select(pages.html_text(F.col("h"))).first()[0]
+    assert text.startswith("start\n<script") and len(text) > 700_000

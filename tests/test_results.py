@@ -150,6 +150,20 @@ def test_fast_patterns_equal_the_plain_ones(spark):
         assert plain == {i: next(x.n for x in c if x.info_type == name) for i, c in counts.items()}, name
 
 
+def test_long_unbroken_runs_stay_linear(spark):
+    runs = ["http://a" * 100_000, "a" * 800_000, "http://a" * 100_000 + "phishing", "x" * 9 + "http://b" * 50_000 + " malware"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(runs)], "id int, text string")
+    got = df.select("id", D.matches(F.col("text"), S.PROMPT_RULES[1]).alias("link"), F.size(D.bad_links(F.col("text"))).alias("n"),
+                    D.redact_text(F.concat("text", F.lit("@"))).alias("r"), D.type_counts(F.concat("text", F.lit("@"))).alias("c"))
+    assert by(got, "id", "link", "n") == {0: (False, 0), 1: (False, 0), 2: (True, 1), 3: (False, 0)}
+
+
+def test_links_are_whole(spark):
+    text = "see (https://a.b/http://c.malware.d/x?y) and http://ok.org and HTTP://PHISHING.z end"
+    row = spark.createDataFrame([(text,)], "t string").select(D.bad_links(F.col("t"))).first()[0]
+    assert row == ["https://a.b/http://c.malware.d/x?y)", "HTTP://PHISHING.z"]
+
+
 def test_redacted_text_has_no_finding_left(spark):
     text = "Card 4111 1111 1111 1111, mail a.b@c.org, call +1 555 123 4567, 078-05-1120, GB82WEST12345698765432"
     df = spark.createDataFrame([(text,)], "text string").select(D.redact_text(F.col("text")).alias("text"))

@@ -88,7 +88,8 @@ def screen(df, text="text", rules=S.PROMPT_RULES, max_chars=S.MAX_TEXT_CHARS):
 
 def bad_links(text):
     """The links the rule matches, whole."""
-    return F.regexp_extract_all(text, F.lit(f"{_LINK_START}({_LINK_REST}\\S*)"), F.lit(1))
+    links = F.regexp_extract_all(text, F.lit(f"{_LINK_START}({_LINK_REST}\\S*)"), F.lit(1))
+    return F.when(F.contains(text, F.lit("://")), links).otherwise(X.empty_strings())
 
 
 def type_counts(text, info_types=S.INFO_TYPES):

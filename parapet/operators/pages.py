@@ -35,7 +35,7 @@ def html_text(html):
 
 def extract_pages(df, html="html"):
     """Adds the whole text, its display preview and whether the preview is shortened."""
-    df = df.withColumn("text", html_text(F.col(html)))
+    df = X.computed_once(df, text=html_text(F.col(html)))
     return df.withColumn("preview", F.left("text", F.lit(S.PREVIEW_CHARS))).withColumn(
         "truncated", F.length("text") > S.PREVIEW_CHARS
     )

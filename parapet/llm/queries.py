@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from parapet.llm import chat, mixing, packing, sharding
+from parapet.llm import chat, mixing, packing, sharding, simhash, vectors
 from parapet.llm.common import table
 
 REGISTRY = {}
@@ -55,6 +55,13 @@ def op2_chat(spark, folder):
     return chat.digest(chat.format_conversations(turns.unionByName(tricky)))
 
 
+@query()
+def op7_simhash(spark, folder):
+    """SimHash fingerprints of all documents and the components of their links."""
+    found = simhash.near_duplicates(table(spark, folder, "documents"))
+    return found.select("doc_id", simhash.hex_print("fp").alias("fingerprint"), "component_id")
+
+
 @query()
 def op8_mix(spark, folder):
     """All documents mixed to the target weights."""
@@ -62,6 +69,12 @@ def op8_mix(spark, folder):
     return taken.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query()
+def op9_vectors(spark, folder):
+    """Links, components and kept rows of all embeddings."""
+    return vectors.near_duplicates(table(spark, folder, "embeddings"))
+
+
 @query()
 def op10_shard(spark, folder):
     """All documents put into shards 0 to 15, and where they were with one more."""

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from parapet.llm import chat, mixing, packing, sharding, simhash, vectors
+from parapet.llm import chat, merkle, mixing, packing, sharding, simhash, toxicity, vectors
 from parapet.llm.common import table
 
 REGISTRY = {}
@@ -55,6 +55,21 @@ def op2_chat(spark, folder):
     return chat.digest(chat.format_conversations(turns.unionByName(tricky)))
 
 
+@query()
+def op3_fingerprint(spark, folder):
+    """Merkle fingerprints of all documents and of their edited texts."""
+    return merkle.fingerprints(table(spark, folder, "documents"))
+
+
+@query()
+def op4_toxicity(spark, folder):
+    """Toxicity scores of all documents; three quarters of the labels may be learned from."""
+    docs = table(spark, folder, "documents")
+    model = toxicity.train(toxicity.labelled_sample(docs, table(spark, folder, "labels")))
+    scored = toxicity.score(docs, model).withColumn("n_offending", F.size("offending").cast("bigint"))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "n_offending")
+
+
 @query()
 def op7_simhash(spark, folder):
     """SimHash fingerprints of all documents and the components of their links."""

@@ -10,12 +10,34 @@ from parapet.llm.common import stored, uniform
 
 SAMPLE_ROWS = 20_000
 WORDS = 2_000
-LEAST_Z = 6.0
-LEAST_DOCS = 4
+LEAST_Z = 5.0
+LEAST_DOCS = 3
 THRESHOLD = 0.3
 TOKEN = re.compile(r"\w+|[.!?\n]")
 BREAKS = frozenset(".!?\n")
 STEPS = 400
+STEMS = range(4, 9)
+REMEMBERED = 200_000
+
+
+def parts(word):
+    """What is learned of a word: itself and its beginnings, so that inflected forms share weights."""
+    return [word, *(word[:k] + "*" for k in STEMS if k < len(word))]
+
+
+class _Features(dict):
+    """Numbers of a word's telling parts, looked up once for each word; emptied when full."""
+
+    def __init__(self, words):
+        super().__init__()
+        self.index = {w: i for i, w in enumerate(words)}
+
+    def __missing__(self, word):
+        found = tuple(self.index[p] for p in parts(word) if p in self.index)
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[word] = found
+        return found
 
 
 def held_out(doc_id):
@@ -40,14 +62,14 @@ def _distinct_words(batches):
     for batch in batches:
         words, toxic = [], []
         for t, y in zip(batch.column(0), batch.column(1).to_pylist()):
-            found = set(TOKEN.findall(t.as_py().lower())) - BREAKS
+            found = {p for w in set(TOKEN.findall(t.as_py().lower())) - BREAKS for p in parts(w)}
             words += found
             toxic += [y] * len(found)
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(toxic, pa.float64())], ["word", "toxic"])
 
 
 def telling_words(sample):
-    """Words whose share of the toxic and of the other documents differs most surely (z at least LEAST_Z)."""
+    """Words and word beginnings whose share of the toxic and of the other documents differs most surely (z at least LEAST_Z)."""
     n, n1 = sample.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     n1 = n1 or 0.0
     n0 = n - n1
@@ -62,7 +84,7 @@ def telling_words(sample):
     return [r["word"] for r in chosen.orderBy(F.abs("z").desc(), "word").limit(WORDS).collect()]
 
 
-def sentence_words(text, index):
+def sentence_words(text, features):
     """Number of sentences (at least one), and the indexed words of those that have any."""
     plain, telling, words, seen = 0, [], [], False
     for token in TOKEN.findall(text.lower()):
@@ -75,9 +97,7 @@ def sentence_words(text, index):
             seen = False
         else:
             seen = True
-            at = index.get(token)
-            if at is not None:
-                words.append(at)
+            words += features[token]
     if words:
         telling.append(words)
     elif seen:
@@ -85,9 +105,9 @@ def sentence_words(text, index):
     return max(1, plain + len(telling)), telling
 
 
-def _bags(batches, index):
+def _bags(batches, features):
     for batch in batches:
-        n, bags = zip(*(sentence_words(t.as_py(), index) for t in batch.column(0))) if batch.num_rows else ((), ())
+        n, bags = zip(*(sentence_words(t.as_py(), features) for t in batch.column(0))) if batch.num_rows else ((), ())
         kind = pa.list_(pa.list_(pa.int32()))
         yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(n, pa.int32()), pa.array(bags, kind)], ["toxic", "n", "bags"])
 
@@ -101,8 +121,8 @@ def train(sample):
     model is the bias of the labels' rate.
     """
     words = telling_words(sample)
-    index = {w: i for i, w in enumerate(words)}
-    rows = sample.mapInArrow(lambda it: _bags(it, index), "toxic double, n int, bags array<array<int>>").collect()
+    features = _Features(words)
+    rows = sample.mapInArrow(lambda it: _bags(it, features), "toxic double, n int, bags array<array<int>>").collect()
     y = np.array([r["toxic"] for r in rows])
     bags = [(d, b) for d, r in enumerate(rows) for b in r["bags"]]
     doc = np.array([d for d, _ in bags], dtype=np.int64)
@@ -124,36 +144,36 @@ def train(sample):
     return words, [float(x) for x in theta[:-1]], float(theta[-1])
 
 
-def _clean_chance(text, index, weights, bias):
+def _clean_chance(text, features, weights, bias):
     """-log of the chance that no sentence is toxic."""
-    n, bags = sentence_words(text, index)
+    n, bags = sentence_words(text, features)
     return (n - len(bags)) * np.logaddexp(0, bias) + sum(np.logaddexp(0, bias + sum(weights[w] for w in b)) for b in bags)
 
 
 def _scored(batches, model, threshold):
     words, weights, bias = model
-    index = {w: i for i, w in enumerate(words)}
+    features = _Features(words)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
     for batch in batches:
         scores, spans = [], []
         for t in batch.column(0):
             text = t.as_py() or ""
-            score = float(-np.expm1(-_clean_chance(text, index, weights, bias)))
+            score = float(-np.expm1(-_clean_chance(text, features, weights, bias)))
             scores.append(score)
-            spans.append(list(offending(text, model, index, threshold)) if score >= threshold else [])
+            spans.append(list(offending(text, model, features, threshold)) if score >= threshold else [])
         rest = [batch.column(i) for i in range(1, batch.num_columns)]
         yield pa.RecordBatch.from_arrays(
             [*rest, pa.array(scores, pa.float64()), pa.array(spans, kind)], [*batch.schema.names[1:], "score", "offending"]
         )
 
 
-def offending(text, model, index, threshold=THRESHOLD):
+def offending(text, model, features, threshold=THRESHOLD):
     """(start, end, score) of the sentences at the threshold or above, in code points."""
     _, weights, bias = model
     start = 0
     for m in [*re.finditer(r"[.!?\n]", text), None]:
         end = m.end() if m else len(text)
-        bag = [index[w] for w in TOKEN.findall(text[start:end].lower()) if w in index]
+        bag = [i for w in TOKEN.findall(text[start:end].lower()) if w not in BREAKS for i in features[w]]
         score = float(1 / (1 + np.exp(-(bias + sum(weights[w] for w in bag)))))
         if score >= threshold and end > start:
             yield {"start": start, "end": end, "score": score}
@@ -176,9 +196,9 @@ def score(docs, model, keep=("doc_id",), threshold=THRESHOLD):
 
 def _clean(batches, model, threshold, text):
     words, weights, bias = model
-    index = {w: i for i, w in enumerate(words)}
+    features = _Features(words)
     for batch in batches:
-        none = [_clean_chance(t.as_py() or "", index, weights, bias) for t in batch.column(text)]
+        none = [_clean_chance(t.as_py() or "", features, weights, bias) for t in batch.column(text)]
         yield batch.filter(pa.array(-np.expm1(-np.array(none, dtype=float)) < threshold, pa.bool_()))
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from parapet.llm import chat, merkle, mixing, packing, sharding, simhash, toxicity, vectors
+from parapet.llm import chat, merkle, mixing, packing, pii, sharding, simhash, toxicity, vectors
 from parapet.llm.common import table
 
 REGISTRY = {}
@@ -70,6 +70,16 @@ def op4_toxicity(spark, folder):
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "n_offending")
 
 
+@query()
+def op6_pii(spark, folder):
+    """Personal data of all documents: counts and hash of the base spans, and all spans."""
+    found = pii.find(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id", *[pii.count_of("base", k).alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(pii.spans_text("base"), 256).alias("base_sha256"), pii.spans_text("spans").alias("spans"),
+    )
+
+
 @query()
 def op7_simhash(spark, folder):
     """SimHash fingerprints of all documents and the components of their links."""

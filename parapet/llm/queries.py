@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from parapet.llm import chat, merkle, mixing, packing, pii, sharding, simhash, toxicity, vectors
+from parapet.llm import chat, merkle, mixing, packing, pii, sharding, simhash, suffixes, toxicity, vectors
 from parapet.llm.common import table
 
 REGISTRY = {}
@@ -70,6 +70,12 @@ def op4_toxicity(spark, folder):
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "n_offending")
 
 
+@query()
+def op5_suffixes(spark, folder):
+    """All documents without the 50-byte strings that an earlier one has."""
+    return suffixes.remove_repeats(table(spark, folder, "documents"))
+
+
 @query()
 def op6_pii(spark, folder):
     """Personal data of all documents: counts and hash of the base spans, and all spans."""

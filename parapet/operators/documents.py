@@ -1,24 +1,14 @@
 """Text of uploaded files. One row in, one row out; failures give less text and a note.
 
 Hidden text (white, tiny, off the page) is kept on purpose: a model reads it too.
-
-A PDF is taken apart with expressions: objects, dictionaries, streams, packed objects,
-fonts with their character maps, and the order of the pages. Bytes are handled as
-Latin-1 text, one character per byte. Python does only what expressions cannot:
-inflating streams, and running the text-showing operators of a content stream.
+A note means that something was not read: such a document is never clean.
 """
 
 from pyspark.sql import functions as F
 
 from parapet import settings as S
 from parapet.functions import scalars as X
-from parapet.functions.pdf_bytes import inflate, show_text
-
-LATIN = "ISO-8859-1"
-# A reference to another object, and everything up to it in a dictionary entry.
-_REF = r"(\d+)\s+\d+\s+R"
-_CODES = r"<([0-9A-Fa-f\s]+)>\s*<([0-9A-Fa-f\s]*)>"
-_RANGES = r"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*(<[0-9A-Fa-f\s]*>|\[[^\]]*\])"
+from parapet.functions.pdf_reader import read_pdf
 
 
 def extract_documents(df, name="name", content="content"):
@@ -34,221 +24,16 @@ def extract_documents(df, name="name", content="content"):
 
 
 def extract_pdf(df, content, text="text", note="note", max_chars=S.PDF_MAX_CHARS):
-    """Adds the text of PDF bytes and, where it is missing or cut, a note on why."""
+    """Adds the text of PDF bytes and, where anything is not read or is cut, a note on what."""
     keep = df.columns
-    whole = F.decode(F.col(content), LATIN)
-    refused = F.when(~X.has_pdf_magic(F.col(content)), "not a PDF file").when(
-        whole.rlike(r"/Encrypt\s"), "encrypted PDFs are not supported"
-    )
-    df = X.computed_once(df, __refused=refused)
-    df = X.computed_once(df, __objects=F.when(F.col("__refused").isNull(), _objects(whole)))
-    df = X.computed_once(df.withColumn("__inflated", inflate(F.transform("__objects", _compressed))), "__inflated")
-    df = X.computed_once(df, __objects=F.transform("__objects", lambda o, i: F.struct(
-        o.num.alias("num"), i.alias("rank"), o.head.alias("head"),
-        F.coalesce(F.when(o.raw.isNotNull() & ~F.contains(o.head, F.lit("/Filter")), o.raw),
-                   F.decode(F.get(F.col("__inflated.streams"), i), LATIN)).alias("stream"),
-    )))
-    df = X.computed_once(df, __objects=F.array_sort(F.concat("__objects", _packed(F.col("__objects")))))
-    df = X.computed_once(df, __objects=_latest(F.col("__objects")))
-    df = X.computed_once(df, __by_num=F.map_from_entries(F.transform("__objects", lambda o: F.struct(o.num, o))))
-    df = X.computed_once(df, __fonts=_fonts(F.col("__objects"), F.col("__by_num")))
-    df = X.computed_once(df, __fonts=_named_fonts(F.col("__objects"), F.col("__by_num"), F.col("__fonts")))
-    df = X.computed_once(df, __order=_content_order(F.col("__objects")))
-    df = df.withColumn("__map_size", F.aggregate(
-        "__fonts", F.lit(0).cast("bigint"), lambda n, f: n + F.coalesce(F.size(f.codes), F.lit(0)).cast("bigint")
-    ))
-    streams = F.transform("__order", lambda n: F.encode(F.try_element_at(F.col("__by_num"), n).stream, LATIN))
-    problem = F.coalesce(
-        F.col("__refused"),
-        F.col("__inflated.note"),
-        F.when(F.size("__objects") == 0, "no PDF objects found"),
-        F.when(F.col("__map_size") > S.PDF_MAX_MAP_ENTRIES, "the PDF's font maps are too large"),
-    )
-    usable = problem.isNull()
-    shown = show_text(
-        F.when(usable, F.filter(streams, lambda s: s.isNotNull())), F.when(usable, F.col("__fonts"))
-    )
-    df = df.withColumn(note, problem).withColumn("__shown", shown)
-    df = X.computed_once(df, "__shown", note).withColumn("__shown", F.coalesce("__shown", F.lit("")))
-    whole_text = X.normalize_lines(F.col("__shown"))
-    too_long = F.when(F.length(whole_text) > max_chars, f"only the first {max_chars:,} characters were read")
-    return df.select(
-        *keep, F.left(whole_text, F.lit(max_chars)).alias(text), F.coalesce(note, too_long).alias(note)
-    )
-
-
-# --- expressions ---------------------------------------------------------------------
-
-
-def _staged(items, *steps):
-    """One transform per step: a value that later steps use is computed once per item."""
-    for step in steps:
-        items = F.transform(items, step)
-    return items
-
-
-def _objects(whole):
-    """num, head (dictionary) and raw (undecoded stream or null) of every object."""
-    found = F.regexp_extract_all(whole, F.lit(r"(?s)(?<!\d)\d++\s++\d++\s++obj\b.*?(?=endobj)\bendobj"), F.lit(0))
-    num = lambda o: F.regexp_extract(o, r"\A(\d+)", 1).try_cast("int").alias("num")
-    objects = _staged(
-        found,
-        lambda o: F.struct(num(o), F.regexp_replace(o, r"(?s)\A\d++\s++\d++\s++obj\b|endobj\z", "").alias("body")),
-        lambda o: F.struct(o.num, o.body, F.locate("stream", o.body).alias("at")),
-        lambda o: F.struct(
-            o.num, o.body, F.when(o.at > 0, F.left(o.body, o.at - 1)).alias("head"),
-            F.when(o.at > 0, F.regexp_replace(F.substr(o.body, o.at + 6), r"\A(\r\n|\n|\r)", "")).alias("rest"),
-        ),
-        lambda o: F.struct(
-            o.num, o.body, o.head, o.rest, F.contains(o.rest, F.lit("endstream")).alias("has_stream"),
-            F.regexp_extract(o.head, r"/Length\s+(\d++)(?!\s+\d+\s+R)", 1).try_cast("int").alias("declared"),
-        ),
-        lambda o: F.struct(
-            o.num.alias("num"),
-            F.when(o.has_stream, o.head).otherwise(o.body).alias("head"),
-            F.when(o.has_stream, F.when(o.declared <= F.length(o.rest), F.left(o.rest, o.declared)).otherwise(
-                F.regexp_extract(o.rest, r"(?s)\A(.*?)[\r\n]*endstream(?!.*endstream)", 1)
-            )).alias("raw"),
-        ),
-    )
-    return F.filter(objects, lambda o: o.num.isNotNull())
-
-
-def _compressed(o):
-    """Bytes to inflate: streams whose only filters are Flate, null for the rest."""
-    filters = F.regexp_extract_all(o.head, F.lit(
-        r"/(FlateDecode|Fl|DCTDecode|JPXDecode|ASCIIHexDecode|ASCII85Decode|LZWDecode|CCITTFaxDecode|JBIG2Decode"
-        r"|RunLengthDecode)\b"))
-    flate = (F.size(filters) > 0) & F.forall(filters, lambda f: f.isin("FlateDecode", "Fl"))
-    return F.when(flate, F.encode(o.raw, LATIN))
-
-
-def _packed(objects):
-    """Objects inside object streams; they rank below every plain object, earlier ones first."""
-    number = lambda o, key: F.regexp_extract(o.head, rf"/{key}\s+(\d+)", 1).try_cast("int")
-    holders = F.filter(objects, lambda o: o.stream.isNotNull() & F.contains(o.head, F.lit("/ObjStm")))
-
-    def entry(o, k):
-        begin = o.first + F.get(o.numbers, k * 2 + 1)
-        end = F.when(k + 1 < o.pairs, o.first + F.get(o.numbers, k * 2 + 3)).otherwise(F.length(o.stream))
-        return F.struct(
-            F.get(o.numbers, k * 2).alias("num"),
-            (-1 - k - o["rank"] * 100_000).alias("rank"),
-            F.substr(o.stream, begin + 1, F.greatest(end - begin, F.lit(0))).alias("head"),
-            F.lit(None).cast("string").alias("stream"),
-        )
-
-    unpacked = _staged(
-        holders,
-        lambda o: F.struct(o["rank"].alias("rank"), o.stream, number(o, "N").alias("n"), number(o, "First").alias("first")),
-        lambda o: F.struct(o["rank"].alias("rank"), o.stream, o.n, o.first, F.transform(
-            F.filter(F.split(F.left(o.stream, o.first), r"[\s\x00]+"), lambda w: w != ""), lambda w: w.try_cast("int")
-        ).alias("numbers")),
-        lambda o: F.struct(o["rank"].alias("rank"), o.stream, o.first, o.numbers,
-                           F.least(o.n, F.floor(F.size(o.numbers) / 2).cast("int")).alias("pairs")),
-        lambda o: F.when(o.pairs > 0, F.transform(F.sequence(F.lit(0), o.pairs - 1), lambda k: entry(o, k))),
-    )
-    return F.filter(F.flatten(F.filter(unpacked, lambda a: a.isNotNull())), lambda o: o.num.isNotNull())
-
-
-def _latest(ordered):
-    """One object per number: of objects sorted by number and rank, the last of each number."""
-    return F.filter(ordered, lambda o, i: F.coalesce(F.get(ordered, i + 1).num != o.num, F.lit(True)))
-
-
-def _utf16(hex_text):
-    """Text of UTF-16 code units written in hex; unreadable ones are empty."""
-    clean = F.regexp_replace(hex_text, r"\s", "")
-    clean = F.when(F.length(clean) % 2 == 1, F.concat(clean, F.lit("0"))).otherwise(clean)
-    broken = (F.length(clean) % 4 != 0) | clean.rlike(r"(?i)\A([0-9A-F]{4})*?(D[89AB]..(?!D[C-F])|D[C-F]..\z)")
-    return F.when(broken, "").otherwise(F.decode(F.unhex(clean), "UTF-16BE"))
-
-
-def _char_map(stream):
-    """(code in hex, text) pairs of a ToUnicode map."""
-    both = lambda text, pattern, n: [F.regexp_extract_all(text, F.lit(pattern), F.lit(i)) for i in range(1, n + 1)]
-    blocks = lambda word: F.array_join(
-        F.regexp_extract_all(stream, F.lit(rf"(?s)begin{word}(.*?)end{word}"), F.lit(1)), "\n"
-    )
-    code = lambda value, digits: F.lpad(F.hex(value), digits, "0")
-    src, dst = both(blocks("bfchar"), _CODES, 2)
-    even = lambda h: F.when(F.length(h) % 2 == 1, F.concat(h, F.lit("0"))).otherwise(h)
-    single = F.zip_with(src, dst, lambda a, b: F.struct(
-        even(F.upper(F.regexp_replace(a, r"\s", ""))).alias("code"), _utf16(b).alias("text")
-    ))
-    lows, highs, targets = both(blocks("bfrange"), _RANGES, 3)
-    ranges = F.zip_with(F.zip_with(lows, highs, lambda a, b: F.struct(a.alias("lo"), b.alias("hi"))), targets,
-                        lambda r, t: F.struct(even(r.lo).alias("lo"), even(r.hi).alias("hi"), t.alias("to")))
-    number = lambda h: F.conv(h, 16, 10).try_cast("bigint")
-
-    def expand(r):
-        low, span = number(r.lo), number(r.hi) - number(r.lo)
-        digits = F.length(r.lo)
-        items = F.regexp_extract_all(r.to, F.lit(r"<([0-9A-Fa-f\s]*)>"), F.lit(1))
-        base = even(F.regexp_replace(F.get(items, F.lit(0)), r"\s", ""))
-        width = F.greatest(F.lit(4), F.length(base))
-        start = F.coalesce(number(F.nullif(base, F.lit(""))), F.lit(0).cast("bigint"))
-        listed = F.transform(items, lambda t, i: F.struct(code(low + i, digits).alias("code"), _utf16(t).alias("text")))
-        fits = start + span < F.pow(F.lit(16.0), width)
-        counted = F.transform(F.sequence(F.lit(0).cast("bigint"), span), lambda i: F.struct(
-            code(low + i, digits).alias("code"), _utf16(code(start + i, width)).alias("text")
-        ))
-        ok = span.between(0, 65_535)
-        return F.when(ok & r.to.startswith("["), listed).when(ok & fits, counted)
-
-    expanded = F.flatten(F.filter(F.transform(ranges, expand), lambda a: a.isNotNull()))
-    return F.concat(single, expanded)
-
-
-def _fonts(objects, by_num):
-    """Character map (or null) and codec of every font object that has one of them."""
-    at = lambda n: F.try_element_at(by_num, n)
-    ref = lambda head, key: F.regexp_extract(head, rf"/{key}\s+{_REF}", 1).try_cast("int")
-    fonts = _staged(
-        F.filter(objects, lambda o: F.contains(o.head, F.lit("/Font"))),
-        lambda o: F.struct(
-            o.num, F.nullif(at(ref(o.head, "ToUnicode")).stream, F.lit("")).alias("map"),
-            F.coalesce(at(ref(o.head, "Encoding")).head, o.head).alias("encoding"),
-        ),
-        lambda f: F.struct(
-            f.num.alias("num"),
-            F.when(f.map.isNotNull(), _char_map(f.map)).alias("codes"),
-            F.when(f.map.isNull() & F.contains(f.encoding, F.lit("/MacRomanEncoding")), "mac_roman").alias("codec"),
-        ),
-    )
-    return F.filter(fonts, lambda f: f.codes.isNotNull() | f.codec.isNotNull())
-
-
-def _named_fonts(objects, by_num, fonts):
-    """Resource names with the font they stand for; the reader lets the last use of a name win."""
-    head_of = lambda n: F.coalesce(F.try_element_at(by_num, n.cast("int")).head, F.lit(""))
-    inline = lambda o: F.regexp_extract_all(o.head, F.lit(r"(?s)/Font\s*<<(.*?)>>"), F.lit(1))
-    listed = lambda o: F.transform(F.regexp_extract_all(o.head, F.lit(rf"/Font\s+{_REF}"), F.lit(1)), head_of)
-    uses = _staged(
-        F.filter(objects, lambda o: F.contains(o.head, F.lit("/Font"))),
-        lambda o: F.array_join(F.concat(inline(o), listed(o)), "\n"),
-        lambda text: F.arrays_zip(*[
-            F.regexp_extract_all(text, F.lit(rf"/([^\s/<>\[\]()]+)\s+{_REF}"), F.lit(i)).alias(n)
-            for i, n in ((1, "name"), (2, "num"))
-        ]),
-    )
-    named = F.transform(F.flatten(uses), lambda u: F.struct(
-        u["name"].alias("name"), F.get(F.filter(fonts, lambda f: f.num == u.num.cast("int")), F.lit(0)).alias("font")
-    ))
-    return F.transform(
-        F.filter(named, lambda n: n.font.isNotNull()),
-        lambda n: F.struct(n["name"].alias("name"), n.font.codes.alias("codes"), n.font.codec.alias("codec")),
-    )
+    df = X.computed_once(df.withColumn("__read", read_pdf(F.col(content))), "__read")
+    whole = X.normalize_lines(F.col("__read.text"))
+    too_long = F.when(F.length(whole) > max_chars, f"the text is longer than {max_chars:,} characters and was cut")
+    notes = F.nullif(F.concat_ws("; ", "__read.problem", too_long), F.lit(""))
+    return df.select(*keep, F.left(whole, F.lit(max_chars)).alias(text), notes.alias(note))
 
 
-def _content_order(objects):
-    """Numbers of content streams: pages in object order, then forms with text."""
-    pages = F.filter(objects, lambda o: o.head.rlike(r"/Type\s*/Page(?!s)\b"))
-    contents = F.transform(
-        pages, lambda o: F.regexp_extract(o.head, r"/Contents\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", 1)
-    )
-    refs = F.flatten(F.transform(contents, lambda c: F.regexp_extract_all(c, F.lit(_REF), F.lit(1))))
-    forms = F.filter(objects, lambda o: (
-        F.contains(o.stream, F.lit("BT")) & ~F.contains(o.stream, F.lit("begincmap")) & o.head.rlike(r"/Subtype\s*/Form")
-    ))
-    return F.array_distinct(F.concat(F.transform(refs, lambda r: r.cast("int")), F.transform(forms, lambda o: o.num)))
+def document_verdict(verdict, text, note):
+    """A document's verdict: blocked stays; one with nothing read, or anything unread, is incomplete."""
+    unread = note.isNotNull() | F.coalesce(text == "", F.lit(True))
+    return F.when(verdict == S.BLOCKED, verdict).when(unread, S.INCOMPLETE).otherwise(verdict)

@@ -1,6 +1,9 @@
 """Queries that screen documents and pages."""
 
-from pyspark.sql import functions as F
+import zlib
+
+import pandas as pd
+from pyspark.sql import functions as F, types as T
 
 from parapet import settings as S
 from parapet.functions import detect as D, results as R, scalars as X
@@ -117,41 +120,66 @@ def screen_pages(spark, folder):
     )
 
 
-_LATIN = r"[^\x20-\x7E\n\x{A0}-\x{FF}]"
+@F.pandas_udf(T.BinaryType())
+def _written_pdf(texts: pd.Series) -> pd.Series:
+    """Texts as PDF files: pages of ten lines in compressed streams, the page tree in an object
+    stream, and one font whose codes only its character map explains."""
+
+    def one(text):
+        chars = sorted(set(text) - {"\n"})
+        code = {c: b"%04X" % i for i, c in enumerate(chars, 1)}
+        lines = text.split("\n")
+        pages = [lines[i : i + 10] for i in range(0, len(lines), 10)]
+        char_map = b"%d beginbfchar\n%s\nendbfchar" % (
+            len(chars), b"\n".join(b"<%s> <%s>" % (code[c], c.encode("utf-16-be").hex().encode()) for c in chars)
+        )
+        streams = {5: char_map}
+        packed = {1: b"<</Type/Catalog/Pages 2 0 R>>", 4: b"<</Type/Font/ToUnicode 5 0 R>>"}
+        packed[2] = b"<</Type/Pages/Resources<</Font<</F1 4 0 R>>>>/Kids[%s]>>" % b" ".join(b"%d 0 R" % (10 + 2 * i) for i in range(len(pages)))
+        for i, page in enumerate(pages):
+            packed[10 + 2 * i] = b"<</Type/Page/Contents %d 0 R>>" % (11 + 2 * i)
+            streams[11 + 2 * i] = b"BT /F1 11 Tf 50 700 Td " + b" ".join(b"<%s> Tj T*" % b"".join(code[c] for c in x) for x in page) + b" ET"
+        index, body = b"", b""
+        for number, value in packed.items():
+            index += b"%d %d " % (number, len(body))
+            body += value + b" "
+        pieces = [b"%PDF-1.7"]
+        for number, data in [(3, index + body), *streams.items()]:
+            head = b"/Type/ObjStm/N %d/First %d" % (len(packed), len(index)) if number == 3 else b""
+            data = zlib.compress(data, 1)
+            pieces.append(b"%d 0 obj\n<<%s/Filter/FlateDecode/Length %d>>\nstream\n%s\nendstream\nendobj" % (number, head, len(data), data))
+        return b"\n".join([*pieces, b"%%EOF"])
+
+    return texts.map(lambda t: None if t is None else one(t))
 
 
 @query(f"""
 WITH f AS (
-  SELECT doc_id, n_chars % 2 = 0 AS pdf, n_chars % 13 = 1 AS broken,
-         {normalize_sql(f"regexp_replace(text, {quote(_LATIN)}, '?', 'g')")} AS pdf_text,
+  SELECT doc_id, n_chars % 2 = 0 AS pdf, n_chars % 13 = 1 AS broken, {normalize_sql('text')} AS pdf_text,
          regexp_replace(regexp_replace(text, '^[\\s\\p{{Z}}]+', ''), '[\\s\\p{{Z}}]+$', '') AS plain FROM documents),
 t AS (SELECT doc_id, CASE WHEN pdf THEN pdf_text WHEN broken THEN '' ELSE plain END AS text,
              CASE WHEN broken AND NOT pdf THEN 'Text files must be UTF-8' ELSE 'none' END AS note FROM f)
-SELECT doc_id, text, note, CASE WHEN text = '' THEN 'incomplete' ELSE verdict END AS verdict, filters
+SELECT doc_id, text, note,
+       CASE WHEN verdict <> 'blocked' AND (text = '' OR note <> 'none') THEN 'incomplete' ELSE verdict END AS verdict, filters
 FROM {screened_sql('t', 'doc_id, text, note')}
 """)
 def extract_documents(spark, folder):
     """Documents written as PDF or text files, read back from their bytes, then screened."""
-    docs = spread(read_table(spark, folder, "documents").select("doc_id", "text", "n_chars"), "doc_id")
-    latin = F.regexp_replace("text", _LATIN, "?")
-    escaped = F.regexp_replace(latin, r"([\\()])", r"\\$1")
-    shown = F.concat(F.lit("BT /F1 11 Tf 50 700 Td ("), F.replace(escaped, F.lit("\n"), F.lit(") Tj T* (")), F.lit(") Tj ET"))
-    pdf = F.concat(
-        F.lit("%PDF-1.4\n1 0 obj\n<</Type /Page /Contents 2 0 R>>\nendobj\n2 0 obj\n<</Length "),
-        F.length(shown).cast("string"), F.lit(">>\nstream\n"), shown, F.lit("\nendstream\nendobj\n%%EOF"),
-    )
+    docs = read_table(spark, folder, "documents").select("doc_id", "text", "n_chars")
     is_pdf = F.col("n_chars") % 2 == 0
     plain = F.concat(F.unhex(F.when(F.col("n_chars") % 13 == 1, "FF").otherwise("EFBBBF")), F.encode("text", "UTF-8"))
-    files = docs.select(
+    written = X.computed_once(docs.withColumn("pdf", _written_pdf(F.when(is_pdf, F.col("text")))), "pdf")
+    files = written.select(
         "doc_id",
         F.concat(F.lit("file-"), "doc_id", F.when(is_pdf, ".pdf").otherwise(".txt")).alias("name"),
-        F.when(is_pdf, F.encode(pdf, "ISO-8859-1")).otherwise(plain).alias("content"),
+        F.when(is_pdf, F.col("pdf")).otherwise(plain).alias("content"),
     )
     # No text means there was nothing to screen, which is not the same as clean.
     texts = documents_text.extract_documents(files)
     screened = D.screen(texts.withColumn("screened", F.nullif("text", F.lit(""))), "screened")
     return screened.select(
-        "doc_id", "text", F.coalesce("note", F.lit("none")).alias("note"), "verdict",
+        "doc_id", "text", F.coalesce("note", F.lit("none")).alias("note"),
+        documents_text.document_verdict(F.col("verdict"), F.col("text"), F.col("note")).alias("verdict"),
         D.names_or_none(F.col("hits")).alias("filters"),
     )
 

@@ -109,7 +109,8 @@ def in_order(docs):
     order = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(2**63 - 1))
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), order.alias("__order"))
     n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = sorted({int(x) for x in docs.select("__order").approxQuantile("__order", [i / n for i in range(1, n)], 0.1 / n)})
+    quantiles = docs.select(F.col("doc_id").cast("bigint").alias("id")).approxQuantile("id", [i / n for i in range(1, n)], 0.1 / n)
+    bounds = sorted({int(x) for x in quantiles if abs(x) < 2**62})
     docs = docs.withColumn("__bucket", _bucket(F.col("__order"), bounds))
     firsts = sorted(map(tuple, docs.groupBy("__bucket").agg(F.min("__order")).collect()))
     own = docs.withColumn("__tail", F.lit(0))

@@ -100,7 +100,21 @@ def op8_mix(spark, folder):
     return taken.select("doc_id", "size", "source_size", "target", "taken")
 
 
-@query()
+@query("""
+    WITH RECURSIVE v AS (
+      SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+      WHERE embedding IS NOT NULL AND list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) > 0
+    ), links AS (
+      SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+      WHERE list_cosine_similarity(a.x, b.x) >= 0.95
+    ), reach(a, b) AS (
+      SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+    ), least AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
+    degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+    SELECT e.vec_id, coalesce(d.n, 0) AS n_links, least(e.vec_id, coalesce(m.b, e.vec_id)) AS component_id,
+           e.vec_id = least(e.vec_id, coalesce(m.b, e.vec_id)) AS kept
+    FROM embeddings e LEFT JOIN degree d ON d.a = e.vec_id LEFT JOIN least m ON m.a = e.vec_id
+""")
 def op9_vectors(spark, folder):
     """Links, components and kept rows of all embeddings."""
     return vectors.near_duplicates(table(spark, folder, "embeddings"))

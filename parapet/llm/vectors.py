@@ -81,7 +81,7 @@ def _linked(batches, similar):
 
     A pair counts in the first table where it shares a bucket only.
     """
-    names = ["t", "bucket", "__i", "__j"]
+    names = ["t", "bucket", "dims", "__i", "__j"]
     for table in whole_tiles(batches, names):
         keys = [table.column(c).to_numpy() for c in names]
         new = np.ones(table.num_rows, dtype=bool)
@@ -91,12 +91,9 @@ def _linked(batches, similar):
             if hi - lo < 2:
                 continue
             part = table.slice(lo, hi - lo)
-            dims = part.column("dims").to_numpy()
-            if (dims != dims[0]).any():
-                raise ValueError("vectors of several lengths share a bucket")
             x, codes = _normal(_matrix(part.column("vector"))), np.array(part.column("codes").to_pylist(), dtype=np.int64)
             node, copies = part.column("node").to_numpy(), part.column("copies").to_numpy()
-            t, i, j = (int(k[lo]) for k in (keys[0], keys[2], keys[3]))
+            t, i, j = (int(k[lo]) for k in (keys[0], keys[3], keys[4]))
             cut = int((part.column("__block").to_numpy() == i).sum()) if i != j else 0
             if i == j:
                 a, b = np.nonzero(np.triu(x @ x.T >= similar, 1))
@@ -148,11 +145,11 @@ def near_duplicates(rows, similar=SIMILAR, width=WIDTH, recall=RECALL, tile=TILE
     )
     coded = stored(coded)
     keyed = coded.select("*", F.posexplode("codes").alias("t", "bucket"))
-    order = ["t", "bucket", "__i", "__j"]
-    tiles = in_tiles(keyed, ["t", "bucket"], uniform("node", seed=seed), tile)
+    order = ["t", "bucket", "dims", "__i", "__j"]
+    tiles = in_tiles(keyed, ["t", "bucket", "dims"], uniform("node", seed=seed), tile)
     dealt = tiles.repartition(*order).sortWithinPartitions(*order, "__block", "node")
     found = stored(
-        dealt.select("node", "copies", "dims", "vector", "codes", *order, "__block")
+        dealt.select("node", "copies", "vector", "codes", *order, "__block")
         .mapInArrow(lambda it: _linked(it, similar), "node bigint, links bigint, root bigint")
     )
     labels = stored(components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))))

@@ -35,8 +35,8 @@ def _field(json, path):
 
 
 def result_object(raw, accept_bare=False):
-    """The result inside its envelope; text after the closing brace makes it unreadable."""
-    whole = F.when(F.rtrim(raw).endswith("}"), raw)
+    """The result inside its envelope; text after the closing brace makes it unreadable, white space does not."""
+    whole = F.when(raw.rlike(r"\}[ \t\r\n]*\z"), raw)
     inner = _object(F.get_json_object(whole, "$.sanitizationResult"))
     return F.coalesce(inner, F.when(F.get_json_object(whole, "$").isNotNull(), whole)) if accept_bare else inner
 

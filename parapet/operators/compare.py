@@ -99,21 +99,14 @@ def verdict_triplet_ok(outcome, expected):
     )
 
 
-def match_rules(df, rules, text="text", keep=(), per_pass=100):
-    """(item, rule) rows for a table of rules (rule_order, filter, pattern).
+def match_rules(df, rules, text="text", keep=()):
+    """(item, rule) rows for a list of rules (rule_order, filter, pattern); no rules, no rows.
 
-    Each pattern becomes a literal of one scan: compiled once, no join. The rule table is
-    configuration and is streamed to the driver; a long one is applied in passes.
+    Rules are configuration: each pattern becomes a literal, compiled once, of one scan.
     """
-    listed = [(r.rule_order, r["filter"], r.pattern) for r in rules.orderBy("rule_order").toLocalIterator()]
-    passes = [listed[i:i + per_pass] for i in range(0, len(listed), per_pass)]
+    kind = "array<struct<rule_order:bigint,filter:string>>"
     hit = lambda order, name, pattern: F.when(
-        F.col(text).rlike(pattern), F.struct(F.lit(order).alias("rule_order"), F.lit(name).alias("filter"))
+        F.col(text).rlike(pattern), F.struct(F.lit(order).cast("bigint").alias("rule_order"), F.lit(name).alias("filter"))
     )
-    parts = [
-        df.select(*keep, F.inline(F.array_compact(F.array(*[hit(*rule) for rule in chunk])))) for chunk in passes
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    hits = F.array_compact(F.array(*[hit(*rule) for rule in sorted(rules)])) if rules else F.array()
+    return df.select(*keep, F.inline(hits.cast(kind)))

@@ -61,16 +61,20 @@ def new_entries(log, local):
     """Log rows the ledger does not have: with an id, not merged before, not recorded locally.
 
     Both lookups are anti joins against distinct keys, so a key that many rows share is
-    one row on the lookup side. Null request ids never match.
+    one row on the lookup side. A row without a request id is looked up under a key of its
+    own, which nothing has, so that such rows do not meet in one task.
     """
     known = local.select("id").where(F.col("id").isNotNull()).distinct()
     recorded = (
         local.where(F.col("request_id").isNotNull() & (F.col("source") != EXTERNAL)).select("request_id").distinct()
     )
+    own = F.coalesce("request_id", F.concat(F.lit("\0"), "id"))
     return (
         log.where(F.col("id").isNotNull() & (F.col("id") != ""))
         .join(known, "id", "left_anti")
-        .join(recorded, "request_id", "left_anti")
+        .withColumn("__request", own)
+        .join(recorded.withColumnRenamed("request_id", "__request"), "__request", "left_anti")
+        .drop("__request")
     )
 
 

@@ -15,17 +15,22 @@ def _range(order, width):
     return F.floor(F.col(order) / width)
 
 
-def number_rows(df, keys, order, out="n", width=RANGE):
-    """1-based position of each row within its key, by a unique integer column."""
-    df = df.withColumn("__range", _range(order, width))
+def number_rows(df, keys, order, out="n", width=RANGE, counted=None):
+    """1-based position of each row within its key, by a unique integer column.
+
+    `counted` has the same rows with the keys and the order column at least; ranges are
+    counted on it, so that nothing costly in df is computed for the counts.
+    """
+    counted = (df if counted is None else counted).select(*keys, order).withColumn("__range", _range(order, width))
     earlier = W.partitionBy(*keys).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
-        df.groupBy(*keys, "__range").agg(F.count(F.lit(1)).alias("__rows"))
+        counted.groupBy(*keys, "__range").agg(F.count(F.lit(1)).alias("__rows"))
         .withColumn("__offset", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)))
         .drop("__rows")
     )
     within = W.partitionBy(*keys, "__range").orderBy(order)
-    numbered = df.withColumn("__row", F.row_number().over(within)).join(offsets, [*keys, "__range"])
+    ranked = df.withColumn("__range", _range(order, width)).withColumn("__row", F.row_number().over(within))
+    numbered = ranked.join(offsets, [*keys, "__range"])
     return numbered.withColumn(out, F.col("__row") + F.col("__offset")).drop("__row", "__offset", "__range")
 
 
@@ -59,21 +64,27 @@ def part_latency(df, keys, order, at, start=None, width=RANGE):
     return steps.withColumn("ms", ms).drop("__prev")
 
 
+SLOTS = 64
+
+
 def first_result_within(parts, results, key, at, wait, result_cols=("result_id",)):
     """Each part with the first result of its key that arrives within `wait` time units.
 
-    Bucketing time by `wait` leaves two places to look: later in the same bucket (an
-    ordered scan) or the start of the next one (one aggregated row per bucket), so no
-    pairs are built. Parts without a result keep nulls.
+    Time is cut into slots of a fraction of `wait`. The first result after a part is later
+    in its own slot (an ordered scan of one slot) or the first of a later slot, which is
+    carried back over one row per slot; no pairs are built. Parts without a result keep nulls.
     """
-    slot = lambda c: F.floor(F.col(c) / wait)
+    slot = F.floor(F.col(at) * SLOTS / wait)
     arrival = F.struct(F.col(at).alias("at"), *[F.col(c) for c in result_cols])
     tagged = results.select(key, F.col(at), arrival.alias("__hit"))
     hit_type = tagged.schema["__hit"].dataType
-    firsts = tagged.groupBy(key, (slot(at) - 1).alias("__slot")).agg(F.min("__hit").alias("__next"))
     both = parts.select("*", F.lit(None).cast(hit_type).alias("__hit"), F.lit(True).alias("__is_part")).unionByName(
         tagged.withColumn("__is_part", F.lit(False)), allowMissingColumns=True
-    ).withColumn("__slot", slot(at))
+    ).withColumn("__slot", slot)
+    after = W.partitionBy(key).orderBy(F.col("__slot").desc()).rowsBetween(W.unboundedPreceding, -1)
+    carried = both.select(key, "__slot", "__hit").groupBy(key, "__slot").agg(F.min("__hit").alias("__first")).select(
+        key, "__slot", F.last("__first", ignorenulls=True).over(after).alias("__next")
+    )
     # Latest first, so "what comes later" is a running frame and costs one pass. A result
     # of the same instant counts as later than the part.
     later = (
@@ -82,7 +93,7 @@ def first_result_within(parts, results, key, at, wait, result_cols=("result_id",
         .rowsBetween(W.unboundedPreceding, -1)
     )
     scanned = both.withColumn("__same", F.last("__hit", ignorenulls=True).over(later)).where("__is_part")
-    joined = scanned.join(firsts, [key, "__slot"], "left")
+    joined = scanned.join(carried, [key, "__slot"], "left")
     joined = joined.withColumn("__found", F.coalesce("__same", "__next"))
     found = F.when(F.col("__found.at") - F.col(at) <= wait, F.col("__found"))
     return (
@@ -95,22 +106,15 @@ def first_result_within(parts, results, key, at, wait, result_cols=("result_id",
 def sessions(df, key, at, gap):
     """Sessions of a key: an event belongs to the session that ended at most `gap` before it.
 
-    Sessions are cut within time ranges first; only these partial sessions, at most one
-    per gap of time and range, are merged per key.
+    Two events of a key in one `gap` of time are always one session, so events are first
+    counted by such buckets, partly before the shuffle; only one row per bucket is sorted.
     """
-    width = gap * 64
-    df = df.withColumn("__range", F.floor(F.col(at) / width))
-    local = W.partitionBy(key, "__range").orderBy(at)
-    new = F.coalesce(F.col(at) - F.lag(at).over(local) > gap, F.lit(True)).cast("int")
-    ids = df.withColumn("__new", new).withColumn(
-        "__local", F.sum("__new").over(local.rangeBetween(W.unboundedPreceding, W.currentRow))
-    )
-    partial = ids.groupBy(key, "__range", "__local").agg(
+    buckets = df.groupBy(key, F.floor(F.col(at) / gap).alias("__bucket")).agg(
         F.min(at).alias("__start"), F.max(at).alias("__end"), F.count(F.lit(1)).alias("__n")
     )
-    across = W.partitionBy(key).orderBy("__start")
+    across = W.partitionBy(key).orderBy("__bucket")
     apart = F.coalesce(F.col("__start") - F.lag("__end").over(across) > gap, F.lit(True)).cast("int")
-    merged = partial.withColumn("__apart", apart).withColumn("__session", F.sum("__apart").over(across))
+    merged = buckets.withColumn("__apart", apart).withColumn("__session", F.sum("__apart").over(across))
     return merged.groupBy(key, "__session").agg(
         F.min("__start").alias("session_start"),
         (F.max("__end") + gap).alias("session_end"),

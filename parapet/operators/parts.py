@@ -35,10 +35,13 @@ def part_records(parts, metadata, keys):
     `metadata` has one row per part with a file_name, null where none is on record.
     """
     known = parts.join(metadata, [*keys, "n"], "left")
-    name = F.when(F.col("n") == 1, "Prompt text").otherwise(
-        F.coalesce("file_name", F.concat(F.lit("part "), F.col("n").cast("string")))
-    )
-    return known.withColumn("name", name).drop("file_name")
+    return known.withColumn("name", part_name(F.col("n"), F.col("file_name"))).drop("file_name")
+
+
+def part_name(n, file_name=None):
+    """What a part is shown under: part 1 is the prompt, a file has its name if that is on record."""
+    number = F.concat(F.lit("part "), n.cast("string"))
+    return F.when(n == 1, "Prompt text").otherwise(number if file_name is None else F.coalesce(file_name, number))
 
 
 def last_part_text(contents):

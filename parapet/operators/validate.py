@@ -202,16 +202,21 @@ def validate_multipart(df, max_chars=S.MAX_TEXT_CHARS, max_files=S.MAX_FILES, ma
 
 
 def gather_facts(df, keys, pos, facts, max_parts):
-    """Requests from part rows: n_parts and the facts of positions 0..max_parts-1 in order.
+    """Requests from part rows: n_parts, n_files and total_base64 of all parts, and the facts of
+    positions 0..max_parts-1 in order, which is what decides.
 
     One slot per position, each a plain maximum: partial aggregation keeps at most
     max_parts small structs per request and task, however many rows a request has.
     Only facts travel, never the text or the bytes.
     """
     slots = [F.max(F.when(F.col(pos) == i, F.col(facts))).alias(f"__{i}") for i in range(max_parts)]
-    grouped = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_parts"), *slots)
+    is_file = F.col(f"{facts}.kind") == "file"
+    grouped = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_parts"), F.count_if(is_file).alias("n_files"),
+        F.coalesce(F.sum(F.when(is_file, F.col(f"{facts}.chars"))), F.lit(0)).cast("bigint").alias("total_base64"), *slots,
+    )
     return grouped.select(
-        *keys, "n_parts", F.array_compact(F.array(*[F.col(f"__{i}") for i in range(max_parts)])).alias("facts")
+        *keys, "n_parts", "n_files", "total_base64", F.array_compact(F.array(*[F.col(f"__{i}") for i in range(max_parts)])).alias("facts")
     )
 
 
@@ -223,12 +228,11 @@ def validate_part_rows(df, keys, pos, facts, max_chars=S.MAX_TEXT_CHARS, max_fil
     reason = F.when(too_many, multi_shape_reason(max_chars, max_files)).otherwise(
         facts_reason(F.col("facts"), max_chars, max_files, max_part, max_total)
     )
-    files = F.filter("facts", lambda p: p.kind == "file")
     return rows.select(
         *keys,
         "n_parts",
-        F.size(files).cast("bigint").alias("n_files"),
-        F.aggregate(files, F.lit(0).cast("bigint"), lambda a, p: a + p.chars).alias("total_base64"),
+        "n_files",
+        "total_base64",
         reason.isNull().alias("ok"),
         reason.alias("reason"),
     )

@@ -19,36 +19,43 @@ def _from_rank(rank):
 def fold_parts(df, keys, n="n", verdict="verdict", filters="filters", max_parts=1 + S.MAX_FILES):
     """Request verdict from its parts: blocked > incomplete > allowed; no parts is incomplete.
 
-    `matched` lists p<n>:<filter> of blocked parts in part order. Rows without a part
-    number keep a request in the result without adding a part. A request with more than
-    max_parts parts is rejected as a whole, as it is before any screening.
-
-    Every part number has its own slot and each slot is a plain maximum, so a task holds
-    at most max_parts short strings per request, however many rows a request has.
+    `matched` lists p<n>:<filter> of blocked parts in part order, however many there are.
+    Rows without a part number keep a request in the result without adding a part.
+    `over_limit` says apart from that whether it has more than max_parts parts. Only
+    blocked parts' names are gathered, partly before the shuffle.
     """
     n_col, is_part = F.col(n), F.col(n).isNotNull()
     blocked = is_part & (F.col(verdict) == S.BLOCKED) & (F.size(filters) > 0)
     label = F.array_join(
         F.transform(filters, lambda f: F.concat(F.lit("p"), n_col.cast("string"), F.lit(":"), f)), ","
     )
-    slots = [F.max(F.when(blocked & (n_col == i), label)).alias(f"__p{i}") for i in range(1, max_parts + 1)]
     folded = df.groupBy(*keys).agg(
         F.max(F.when(is_part, _rank(F.col(verdict)))).alias("__rank"),
         F.count(n).alias("n_parts"),
         F.max(n_col).alias("__max_n"),
-        *slots,
+        F.collect_list(F.when(blocked, F.struct(n_col.alias("n"), label.alias("label")))).alias("__labels"),
     )
-    joined = F.concat_ws(",", *[F.col(f"__p{i}") for i in range(1, max_parts + 1)])
-    over = (F.col("n_parts") > max_parts) | F.coalesce(F.col("__max_n") > max_parts, F.lit(False))
-    return folded.withColumn("over_limit", over).select(
+    joined = F.array_join(F.transform(F.sort_array("__labels"), lambda x: x.label), ",")
+    return folded.select(
         *keys,
         "n_parts",
-        F.when(F.col("over_limit"), S.ERROR).otherwise(_from_rank(F.col("__rank"))).alias("verdict"),
-        F.when(F.col("over_limit") | (joined == ""), "none").otherwise(joined).alias("matched"),
-        "over_limit",
+        _from_rank(F.col("__rank")).alias("verdict"),
+        F.when(joined == "", "none").otherwise(joined).alias("matched"),
+        ((F.col("n_parts") > max_parts) | F.coalesce(F.col("__max_n") > max_parts, F.lit(False))).alias("over_limit"),
     )
 
 
+def request_verdict(verdict, over_limit):
+    """A request of too many parts is an error, but a blocked one stays blocked."""
+    return F.when(over_limit & (verdict != S.BLOCKED), S.ERROR).otherwise(verdict)
+
+
+def worst_verdict(verdict):
+    """Aggregate of verdicts: blocked > incomplete > allowed, null for none."""
+    rank = F.max(F.when(verdict.isNotNull(), _rank(verdict)))
+    return F.when(rank.isNotNull(), _from_rank(rank))
+
+
 def fold_array(parts):
     """As fold_parts for parts held in one row: array<struct<n, verdict, filters>>."""
     any_is = lambda v: F.exists(parts, lambda p: p.verdict == v)

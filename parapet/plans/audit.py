@@ -151,11 +151,11 @@ def _local_and_log(spark, folder):
     """Purchases were recorded by the gateway itself, sign-ups were merged from the log before."""
     entries = _log_entries(spark, folder)
     log = L.from_log(entries.select("insertId", "timestamp", "jsonPayload"))
-    own = L.from_log(entries.where("event_type = 'purchase'").select(
-        F.concat(F.lit("ui-"), "event_id").alias("insertId"), "timestamp", "jsonPayload"
-    )).withColumn("source", F.lit("ui"))
-    merged = L.from_log(entries.where("event_type = 'signup'").select("insertId", "timestamp", "jsonPayload"))
-    return own.unionByName(merged), log
+    own = F.col("event_type") == "purchase"
+    local = L.from_log(entries.where("event_type in ('purchase', 'signup')").select(
+        F.when(own, F.concat(F.lit("ui-"), "event_id")).otherwise(F.col("insertId")).alias("insertId"), "timestamp", "jsonPayload"
+    ))
+    return local.withColumn("source", F.when(F.startswith("id", F.lit("ui-")), "ui").otherwise(F.col("source"))), log
 
 
 _LOG = """

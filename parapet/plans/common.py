@@ -27,6 +27,16 @@ TYPE_SEEDS = [
 ]
 
 
+# Answers that a filter must catch, each after the clean scenario's prompt, and one that is fine.
+ANSWER_SEEDS = [
+    (-11, "See https://cdn.malware-mirror.example/x for the tool."),
+    (-12, "Only a worthless idiot would ask that."),
+    (-13, "The card is 4111 1111 1111 1111."),
+    (-14, "A gateway checks requests and answers."),
+    (-15, "Word by word. " * 700),
+]
+
+
 def seeds(spark, rows=SEEDS):
     structs = [
         F.struct(F.lit(i).cast("bigint").alias("doc_id"), F.lit(s).alias("scenario_id"), F.lit(t).alias("text"))
@@ -50,7 +60,13 @@ def conversations(spark, folder):
         F.col("doc_id").alias("conv_id"), F.lit(0).cast("bigint").alias("turn"), F.lit("user").alias("role"),
         "text", "scenario_id",
     )
-    return turns.unionByName(base)
+    rows = [
+        F.struct(F.lit(i).cast("bigint").alias("conv_id"), F.lit(t).cast("bigint").alias("turn"), F.lit(role).alias("role"),
+                 F.lit(text).alias("text"), F.lit(None).cast("string").alias("scenario_id"))
+        for i, answer in ANSWER_SEEDS
+        for t, role, text in ((0, "user", S.SCENARIOS[0][3]), (1, "assistant", answer))
+    ]
+    return turns.unionByName(base).unionByName(spark.range(0, 1, 1, 1).select(F.inline(F.array(*rows))))
 
 
 def or_minus_one(name):
@@ -85,6 +101,8 @@ TURNS_SQL = f"""
       SELECT conv_id, turn, role, text, CAST(NULL AS VARCHAR) AS scenario_id FROM conversations
       UNION ALL
       SELECT doc_id, 0, 'user', text, scenario_id FROM seeds
+      UNION ALL
+      VALUES {", ".join(f"({i}, 0, 'user', {quote(S.SCENARIOS[0][3])}, NULL), ({i}, 1, 'assistant', {quote(t)}, NULL)" for i, t in ANSWER_SEEDS)}
     )"""
 
 

@@ -147,9 +147,8 @@ def validate_uploads(spark, folder):
 
 
 def _user_parts(turns, columns):
-    """User turns numbered 1.. within their conversation."""
-    user = turns.select("conv_id", "turn", *columns)
-    return ordered.number_rows(user, ["conv_id"], "turn")
+    """User turns numbered 1.. within their conversation; the counting reads no text."""
+    return ordered.number_rows(turns.select("conv_id", "turn", *columns), ["conv_id"], "turn", counted=turns)
 
 
 @query(f"""
@@ -271,12 +270,15 @@ def _screened_parts(spark, folder):
     Turns are screened where they are read; from then on only names travel.
     """
     turns = conversations(spark, folder)
-    users = _user_parts(D.screen(turns.where(F.col("role") == "user")).withColumnRenamed("hits", "filters"), ["verdict", "filters"])
+    users = turns.where(F.col("role") == "user")
+    screened = D.screen(users).select("conv_id", "turn", "verdict", F.col("hits").alias("filters"), F.length("text").cast("bigint").alias("bytes"))
+    numbered = ordered.number_rows(screened, ["conv_id"], "turn", counted=users)
     null = lambda kind: F.lit(None).cast(kind)
     others = turns.where(F.col("role") != "user").select(
-        "conv_id", null("bigint").alias("n"), null("string").alias("verdict"), X.empty_strings().alias("filters")
+        "conv_id", null("bigint").alias("n"), null("string").alias("verdict"), X.empty_strings().alias("filters"),
+        null("bigint").alias("bytes"),
     )
-    return users.select("conv_id", "n", "verdict", "filters").unionByName(others)
+    return numbered.select("conv_id", "n", "verdict", "filters", "bytes").unionByName(others)
 
 
 _PART_ROWS = f"""
@@ -284,18 +286,25 @@ _PART_ROWS = f"""
   FROM {screened_sql('turns', 'conv_id, turn, role')}"""
 _FOLDED = """
   SELECT conv_id, count(*) FILTER (role = 'user') AS n_parts,
-         CASE WHEN count(*) FILTER (role = 'user') > 4 THEN 'error'
-              WHEN bool_or(verdict = 'blocked') FILTER (role = 'user') THEN 'blocked'
+         CASE WHEN bool_or(verdict = 'blocked') FILTER (role = 'user') THEN 'blocked'
               WHEN bool_and(verdict = 'allowed') FILTER (role = 'user') THEN 'allowed' ELSE 'incomplete' END AS verdict,
-         CASE WHEN count(*) FILTER (role = 'user') > 4 THEN 'none' ELSE
          coalesce(string_agg('p' || n || ':' || replace(filters, ',', ',p' || n || ':'), ',' ORDER BY n)
-                  FILTER (role = 'user' AND verdict = 'blocked'), 'none') END AS matched
+                  FILTER (role = 'user' AND verdict = 'blocked'), 'none') AS matched,
+         count(*) FILTER (role = 'user') > 4 AS over_limit
   FROM parts GROUP BY conv_id"""
+_JUDGED = f"""
+  SELECT * REPLACE (CASE WHEN over_limit AND verdict <> 'blocked' THEN 'error' ELSE verdict END AS verdict) FROM ({_FOLDED})"""
+
+
+def _judged(spark, folder):
+    """Folded requests; one of too many parts that is not blocked is an error."""
+    folded = V.fold_parts(_screened_parts(spark, folder), ["conv_id"])
+    return folded.withColumn("verdict", V.request_verdict(F.col("verdict"), F.col("over_limit")))
 
 
 @query(f"WITH {TURNS_SQL}, parts AS ({_PART_ROWS}) {_FOLDED}")
 def screen_conversations(spark, folder):
-    return V.fold_parts(_screened_parts(spark, folder), ["conv_id"]).drop("over_limit")
+    return V.fold_parts(_screened_parts(spark, folder), ["conv_id"])
 
 
 @query(f"""
@@ -307,16 +316,12 @@ FROM u JOIN (SELECT conv_id, n, verdict, filters FROM parts WHERE role = 'user')
 def part_records(spark, folder):
     """One names-only record per part: its verdict beside its size and kind."""
     screened = _screened_parts(spark, folder).where(F.col("n").isNotNull())
-    turns = conversations(spark, folder).where(F.col("role") == "user")
-    meta = _user_parts(turns, [F.length("text").cast("bigint").alias("bytes")]).select(
-        "conv_id", "n", "bytes", F.lit("text").alias("kind"), F.lit(None).cast("string").alias("file_name")
-    )
-    records = P.part_records(screened, meta, ["conv_id"])
+    records = screened.withColumn("name", P.part_name(F.col("n"))).withColumn("kind", F.lit("text"))
     return records.select("conv_id", "n", "name", "kind", "bytes", "verdict", D.names_or_none(F.col("filters")).alias("filters"))
 
 
 @query(f"""
-WITH {TURNS_SQL}, parts AS ({_PART_ROWS}), f AS ({_FOLDED})
+WITH {TURNS_SQL}, parts AS ({_PART_ROWS}), f AS ({_JUDGED})
 SELECT conv_id, '{{"error":{{"code":' || CASE verdict WHEN 'incomplete' THEN '503' ELSE '400' END || ',"status":"' ||
          CASE verdict WHEN 'blocked' THEN 'BLOCKED_BY_SCREENING' WHEN 'error' THEN 'INVALID_ARGUMENT' ELSE 'SCREENING_UNAVAILABLE' END
          || '","stage":"prompt","message":"' || verdict || '","screening":{{"mode":"callout","matched":"' || matched ||
@@ -325,7 +330,7 @@ FROM f WHERE verdict <> 'allowed'
 """)
 def error_records(spark, folder):
     """The error body of every conversation that is not forwarded."""
-    folded = V.fold_parts(_screened_parts(spark, folder), ["conv_id"]).where(F.col("verdict") != S.ALLOWED)
+    folded = _judged(spark, folder).where(F.col("verdict") != S.ALLOWED)
     status = V.outcome_status(F.col("verdict"))
     body = V.error_record(
         status.http_status, status.code, F.lit("prompt"), F.col("verdict"), F.lit("callout"), F.col("matched"), F.lit(0),
@@ -380,13 +385,13 @@ def last_turn_prompt(spark, folder):
 
 
 @query(f"""
-WITH {TURNS_SQL}, parts AS ({_PART_ROWS}), f AS ({_FOLDED})
+WITH {TURNS_SQL}, parts AS ({_PART_ROWS}), f AS ({_JUDGED})
 SELECT conv_id, turn,
        '{{"contents":[{{"role":"user","parts":[{{"text":' || CAST(to_json(text) AS VARCHAR) || '}}]}}]}}' AS payload
 FROM turns WHERE role = 'user' AND conv_id IN (SELECT conv_id FROM f WHERE verdict = 'allowed')
 """)
 def forwarded_payload(spark, folder):
-    verdicts = V.fold_parts(_screened_parts(spark, folder), ["conv_id"])
+    verdicts = _judged(spark, folder)
     turns = conversations(spark, folder).where(F.col("role") == "user").select("conv_id", "turn", "text")
     passed = allowed_only(turns, verdicts, ["conv_id"])
     return passed.select("conv_id", "turn", P.text_payload(F.col("text")).alias("payload"))
@@ -428,7 +433,7 @@ def forwarded_files(spark, folder):
 
 def _answers(spark, folder):
     """Assistant turns as model answers: reasoning, the text, a tool call, sometimes an image."""
-    turns = spread(read_table(spark, folder, "conversations"), "conv_id", "turn").where(F.col("role") == "assistant")
+    turns = conversations(spark, folder).where(F.col("role") == "assistant")
     text = F.to_json(F.struct("text"))
     mime = F.when(F.col("conv_id") % 5 == 0, "image/webp").otherwise("image/png")
     image = F.to_json(F.struct(F.struct(mime.alias("mimeType"), F.lit("iVBORw0KGgo=").alias("data")).alias("inlineData")))
@@ -446,11 +451,11 @@ def _answers(spark, folder):
     return turns.select("conv_id", "turn", F.length("text").alias("chars"), body.alias("body"))
 
 
-_ANSWERS = "SELECT *, conv_id % 2 = 0 AS img, conv_id % 5 = 0 AS webp FROM conversations WHERE role = 'assistant'"
+_ANSWERS = "SELECT *, conv_id % 2 = 0 AS img, conv_id % 5 = 0 AS webp FROM turns WHERE role = 'assistant'"
 
 
 @query(f"""
-WITH a AS ({_ANSWERS})
+WITH {TURNS_SQL}, a AS ({_ANSWERS})
 SELECT conv_id, turn, NOT (img AND webp) AS shape_ok, true AS has_text, img AND NOT webp AS has_image,
        CAST(CASE WHEN img AND NOT webp THEN 1 ELSE -1 END AS BIGINT) AS image_index,
        CAST(CASE WHEN img THEN 2 ELSE 1 END AS BIGINT) AS kept_parts, text AS screen_text, text AS shown_text,
@@ -479,25 +484,28 @@ def answer_parts(spark, folder):
     )
 
 
-# Result of each answer: blocked text every fifth turn, over-long text is not screened; images
-# carry contact data (redactable), an injection (not redactable) or a result with a skipped filter.
-_TEXT_VERDICT = "CASE WHEN chars > 4000 THEN 'incomplete' WHEN turn % 5 = 0 THEN 'blocked' ELSE 'allowed' END"
+# Result of each answer: its text is screened, over-long text is not; images carry contact data
+# (redactable), an injection (not redactable) or a result with a skipped filter.
+_TEXT_VERDICT = f"CASE WHEN chars > {S.MAX_TEXT_CHARS} THEN 'incomplete' WHEN hits <> 'none' THEN 'blocked' ELSE 'allowed' END"
+# A result lists its filters in its own order.
+_RESULT_ORDER = ("malicious_uris", "rai:harassment", "pi_and_jailbreak", "sdp")
+_BY_RESULT_ORDER = sorted(S.PROMPT_RULES, key=lambda r: _RESULT_ORDER.index(r[0]))
 _IMAGE_CASE = "conv_id % 6"
 
 
 @query(f"""
-WITH a AS (SELECT *, length(text) AS chars FROM ({_ANSWERS})),
+WITH {TURNS_SQL}, a AS (SELECT *, length(text) AS chars, {filters_sql('text', _BY_RESULT_ORDER)} AS hits FROM ({_ANSWERS})),
 v AS (SELECT conv_id, turn, NOT (img AND webp) AS shape_ok, img AND NOT webp AS has_image, {_TEXT_VERDICT} AS text_verdict,
              CASE WHEN img AND NOT webp THEN 'blocked' END AS image_verdict,
              CASE WHEN conv_id % 8 < 4 THEN 'redact' ELSE 'block' END AS action,
-             conv_id % 6 AS c FROM a),
+             conv_id % 6 AS c, hits FROM a),
 s AS (SELECT *, CASE WHEN NOT has_image THEN 'none' WHEN c = 2 OR action = 'block' THEN 'blocked'
                      WHEN c = 4 THEN 'incomplete' ELSE 'redacted' END AS state FROM v)
 SELECT conv_id, turn, action, text_verdict, coalesce(image_verdict, 'none') AS image_verdict, state AS image_state,
        CASE WHEN text_verdict = 'blocked' OR state = 'blocked' THEN 'blocked'
             WHEN NOT shape_ok OR text_verdict = 'incomplete' OR state = 'incomplete' THEN 'incomplete'
             WHEN state = 'redacted' THEN 'redacted' ELSE 'allowed' END AS verdict,
-       coalesce(nullif(concat_ws(',', CASE WHEN text_verdict = 'blocked' THEN 'text:sdp' END,
+       coalesce(nullif(concat_ws(',', CASE WHEN text_verdict = 'blocked' THEN 'text:' || replace(hits, ',', ',text:') END,
          CASE WHEN has_image THEN CASE WHEN c = 2 THEN 'image:pi_and_jailbreak' ELSE 'image:sdp' END END), ''), 'none') AS matched,
        CASE WHEN has_image AND c <> 2 THEN 'PHONE_NUMBER,EMAIL_ADDRESS' ELSE '' END AS findings,
        text_verdict AS native_verdict
@@ -505,10 +513,11 @@ FROM s
 """)
 def answer_verdicts(spark, folder):
     rows = P.split_answer(_answers(spark, folder), F.col("body"))
-    case = F.col("conv_id") % 6
-    text_result = R.emulate_result(
-        F.when(F.col("turn") % 5 == 0, F.array(F.lit("sdp"))).otherwise(X.empty_strings()), F.col("chars") > 4000
+    rows = X.computed_once(
+        rows, hits=D.all_hits(F.col("screen_text")), over=F.length("screen_text") > S.MAX_TEXT_CHARS
     )
+    case = F.col("conv_id") % 6
+    text_result = R.emulate_result(F.col("hits"), F.col("over"))
     image_result = R.emulate_result(
         F.when(case == 2, F.array(F.lit("pi_and_jailbreak"))).otherwise(F.array(F.lit("sdp"))),
         F.lit(False),
@@ -540,12 +549,15 @@ _LABEL_SQL = "replace(replace(replace(replace(f, 'pi_and_jailbreak', 'Prompt inj
 
 
 @query(f"""
-WITH {TURNS_SQL}, parts AS ({_PART_ROWS}), f AS ({_FOLDED}),
-ends AS (SELECT conv_id, max(length(text)) FILTER (role = 'assistant') AS longest FROM turns GROUP BY conv_id),
-o AS (SELECT conv_id, n_parts, verdict AS prompt_verdict, matched,
-             CASE WHEN verdict = 'allowed' THEN CASE WHEN longest IS NULL OR longest > 3000 THEN 'incomplete' ELSE 'allowed' END
-                  ELSE 'none' END AS answer_verdict
-      FROM f JOIN ends USING (conv_id)),
+WITH {TURNS_SQL}, parts AS ({_PART_ROWS}), f AS ({_JUDGED}),
+ends AS (SELECT conv_id, CASE WHEN bool_or(verdict = 'blocked') THEN 'blocked' WHEN bool_and(verdict = 'allowed') THEN 'allowed'
+                              ELSE 'incomplete' END AS answer,
+                coalesce(string_agg(replace(filters, ',', ', '), ', ' ORDER BY n) FILTER (verdict = 'blocked'), 'none') AS answer_filters
+         FROM parts WHERE role = 'assistant' GROUP BY conv_id),
+o AS (SELECT conv_id, n_parts, verdict AS prompt_verdict,
+             CASE WHEN verdict = 'allowed' THEN coalesce(answer_filters, 'none') ELSE matched END AS matched,
+             CASE WHEN verdict = 'allowed' THEN coalesce(answer, 'incomplete') ELSE 'none' END AS answer_verdict
+      FROM f LEFT JOIN ends USING (conv_id)),
 x AS (SELECT *, CASE WHEN prompt_verdict = 'allowed' THEN answer_verdict ELSE prompt_verdict END AS outcome,
              replace(regexp_replace(matched, 'p[0-9]+:', '', 'g'), ',', ', ') AS f FROM o)
 SELECT conv_id, outcome, CASE WHEN prompt_verdict = 'allowed' THEN 'response' ELSE 'prompt' END AS stage,
@@ -558,14 +570,17 @@ SELECT conv_id, outcome, CASE WHEN prompt_verdict = 'allowed' THEN 'response' EL
 FROM x
 """)
 def outcome_records(spark, folder):
-    folded = V.fold_parts(_screened_parts(spark, folder), ["conv_id"])
-    answers = conversations(spark, folder).where(F.col("role") == "assistant")
-    # An answer counts as screened only if each of its texts fits; without one nothing came back.
-    longest = answers.groupBy("conv_id").agg(F.max(F.length("text")).alias("longest"))
-    answer = F.when(F.col("longest") <= 3000, S.ALLOWED).when(F.col("longest").isNotNull(), S.INCOMPLETE)
-    rows = folded.join(longest, "conv_id", "left").withColumn("o", V.outcome(F.col("verdict"), answer))
+    # Answers are screened like prompts; a conversation without one got nothing back.
+    answers = D.screen(conversations(spark, folder).where(F.col("role") == "assistant"))
+    bad = F.when(F.col("verdict") == S.BLOCKED, F.struct("turn", F.array_join("hits", ", ").alias("names")))
+    answered = answers.groupBy("conv_id").agg(V.worst_verdict(F.col("verdict")).alias("answer"), F.collect_list(bad).alias("bad"))
+    rows = _judged(spark, folder).join(answered, "conv_id", "left").withColumn("o", V.outcome(F.col("verdict"), F.col("answer")))
     rows = rows.withColumn("s", V.outcome_status(F.col("o.outcome")))
-    names = F.filter(F.split(F.regexp_replace("matched", r"p\d+:", ""), ","), lambda f: f != "none")
+    of_answer = F.array_join(F.transform(F.sort_array("bad"), lambda b: b.names), ", ")
+    names = F.when(F.col("verdict") == S.ALLOWED, F.split(of_answer, ", ")).otherwise(
+        F.split(F.regexp_replace("matched", r"p\d+:", ""), ",")
+    )
+    names = F.filter(names, lambda f: ~f.isin("none", ""))
     return rows.select(
         "conv_id", "o.outcome", "o.stage", "o.prompt_verdict", "o.answer_verdict",
         F.col("s.http_status").cast("bigint").alias("http_status"), "s.code",

@@ -418,11 +418,9 @@ WITH {docs_sql()}, rules(rule_order, filter, pattern) AS (VALUES {_RULE_VALUES})
 SELECT doc_id, CAST(rule_order AS BIGINT) AS rule_order, filter FROM docs JOIN rules ON regexp_matches(text, pattern)
 """)
 def rule_table_join(spark, folder):
-    rules = spark.createDataFrame(
-        [(i, n, p) for i, (n, p) in enumerate(S.PROMPT_RULES)], "rule_order bigint, filter string, pattern string"
-    )
+    rules = [(i, n, p) for i, (n, p) in enumerate(S.PROMPT_RULES)]
     docs = documents(spark, folder, columns=("text",))
-    return compare.match_rules(docs, rules, keep=("doc_id",)).withColumn("rule_order", F.col("rule_order").cast("bigint"))
+    return compare.match_rules(docs, rules, keep=("doc_id",))
 
 
 # --- expectations ----------------------------------------------------------------------------

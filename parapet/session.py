@@ -1,7 +1,5 @@
 """Session defaults for standalone runs; on a cluster the submitted configuration wins."""
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -26,6 +24,7 @@ def local_session(cores="*", app="parapet", **extra):
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "12g",
         "spark.sql.shuffle.partitions": "8",
+        **({"spark.parapet.scanTasks": cores} if str(cores).isdigit() else {}),
         **extra,
     }
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
@@ -37,9 +36,8 @@ def local_session(cores="*", app="parapet", **extra):
 
 
 def checkpoint_dir(spark, name):
-    """Folder for a stream's checkpoint, below the shared spark.checkpoint.dir.
-
-    A local temporary folder is used only where that setting is missing (tests).
-    """
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="parapet-")
+    """Folder for a stream's checkpoint, below the shared spark.checkpoint.dir, which must be set."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return f"{shared.rstrip('/')}/{name}"

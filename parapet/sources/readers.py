@@ -13,16 +13,14 @@ def read_table(spark, folder, name):
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
 
 
-def spread(df, *key, small=64):
-    """Deal a small input out to all cores.
+def spread(df, *key):
+    """Deal the rows out to as many tasks as the session setting `spark.parapet.scanTasks` says.
 
-    One file with a single row group is one task, whatever its size in rows. Only inputs
-    of at most `small` scan tasks are dealt out; anything larger keeps its splits and
-    pays no shuffle.
+    Without it (on a cluster) a scan keeps its splits. Local sessions set it, since a
+    small file with one row group is one task.
     """
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    tasks = df.rdd.getNumPartitions()
-    return df.repartition(wanted, *key) if tasks < wanted and tasks <= small else df
+    tasks = df.sparkSession.conf.get("spark.parapet.scanTasks", None)
+    return df.repartition(int(tasks), *key) if tasks else df
 
 
 def read_requests(spark, path):
@@ -32,19 +30,21 @@ def read_requests(spark, path):
 
 
 def read_files(spark, path, pattern="*", max_bytes=S.MAX_UPLOAD_BYTES):
-    """Files as rows; larger ones are dropped by length before their bytes are read."""
-    files = (
-        spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    )
-    return files.where(F.col("length") <= max_bytes)
+    """Every file as a row: path, length, modificationTime, content, status, reason.
 
-
-def oversized_files(spark, path, pattern="*", max_bytes=S.MAX_UPLOAD_BYTES):
-    """The files read_files leaves out, without their bytes."""
+    The bytes of a file over the limit are not read: it comes with status 413 and a reason.
+    """
     files = (
         spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     )
-    return files.where(F.col("length") > max_bytes).select("path", "length", "modificationTime")
+    facts = ["path", "length", "modificationTime"]
+    fits = files.where(F.col("length") <= max_bytes).select(
+        *facts, "content", F.lit(200).alias("status"), F.lit(None).cast("string").alias("reason")
+    )
+    return fits.unionByName(files.where(F.col("length") > max_bytes).select(
+        *facts, F.lit(None).cast("binary").alias("content"), F.lit(413).alias("status"),
+        F.lit(f"The file is larger than {max_bytes:,} bytes.").alias("reason"),
+    ))
 
 
 def read_results(spark, path):

@@ -121,8 +121,8 @@ def test_files_and_tables(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes(b"x" * 10)
     (tmp_path / "b.txt").write_bytes(b"x" * 50)
     (tmp_path / "c.bin").write_bytes(b"x")
-    assert [r.length for r in readers.read_files(spark, str(tmp_path), "*.txt", 20).collect()] == [10]
-    assert [r.length for r in readers.oversized_files(spark, str(tmp_path), "*.txt", 20).collect()] == [50]
+    files = sorted((r.length, r.status, r.content is None, bool(r.reason)) for r in readers.read_files(spark, str(tmp_path), "*.txt", 20).collect())
+    assert files == [(10, 200, False, False), (50, 413, True, True)]
     (tmp_path / "inv.csv").write_text("sku,region_hub,units_in_stock,wholesale_usd,lead_time_days\nM,Tokyo,310,12.50,4\n")
     assert str(readers.read_delimited(spark, str(tmp_path / "inv.csv")).first().wholesale_usd) == "12.50"
     (tmp_path / "req.json").write_text('{"contents":[{"parts":[{"text":"hi"}]}]}\nnope\n')

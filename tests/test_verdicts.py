@@ -34,8 +34,13 @@ def test_no_parts_and_too_many(spark):
     rows = [("zero", None, None, [])] + [("five", i, B, ["sdp"]) for i in range(1, 6)] + [
         ("order", 3, B, ["sdp", "rai:x"]), ("order", 1, B, ["pi_and_jailbreak"]), ("order", 2, A, ["ignored"])]
     got = fold(spark, rows)
-    assert got == {"zero": (I, "none", 0), "five": (S.ERROR, "none", 5), "order": (B, "p1:pi_and_jailbreak,p3:sdp,p3:rai:x", 3)}
-    assert fold(spark, rows, max_parts=5)["five"][1] == "p1:sdp,p2:sdp,p3:sdp,p4:sdp,p5:sdp"
+    five = "p1:sdp,p2:sdp,p3:sdp,p4:sdp,p5:sdp"
+    assert got == {"zero": (I, "none", 0), "five": (B, five, 5), "order": (B, "p1:pi_and_jailbreak,p3:sdp,p3:rai:x", 3)}
+    many = [("many", i, B if i == 9 else A, ["sdp"] if i == 9 else []) for i in range(1, 12)] + [("clean", i, A, []) for i in range(1, 6)]
+    df = spark.createDataFrame(many, "r string, n int, verdict string, filters array<string>")
+    folded = V.fold_parts(df, ["r"]).withColumn("judged", V.request_verdict(F.col("verdict"), F.col("over_limit")))
+    assert by(folded, "r", "verdict", "matched", "over_limit", "judged") == {
+        "many": (B, "p9:sdp", True, B), "clean": (A, "none", True, S.ERROR)}
 
 
 def test_unreported_request_is_incomplete(spark):
@@ -119,7 +124,8 @@ def test_scenarios_rules_and_counts(spark):
     got = by(C.scenario_check(df), "scenario_id", "passed")
     assert got == {"clean": True, "sensitive-data": True, "harmful-content": True, "malicious-url": False}
     assert tuple(C.count_table(df.withColumn("ok", F.col("verdict") == B), "ok").first()) == (3, 2, False)
-    rules = spark.createDataFrame([(i, f"r{i}", "a" if i % 2 else "b") for i in range(7)], "rule_order int, filter string, pattern string")
+    rules = [(i, f"r{i}", "a" if i % 2 else "b") for i in range(7)]
     texts = spark.createDataFrame([(1, "a"), (2, "ab"), (3, "c")], "id int, text string")
-    hits = C.match_rules(texts, rules, keep=("id",), per_pass=3)
+    hits = C.match_rules(texts, rules, keep=("id",))
+    assert C.match_rules(texts, [], keep=("id",)).count() == 0
     assert hits.count() == 3 + 7 and hits.where("id = 1").count() == 3

@@ -64,6 +64,14 @@ def part_latency(df, keys, order, at, start=None, width=RANGE):
     return steps.withColumn("ms", ms).drop("__prev")
 
 
+def request_latency(df, keys, order, at, start):
+    """Total check time per key: the last known mark minus the start, 0 where unknown or negative."""
+    known = F.when(F.col(at).isNotNull(), F.col(order))
+    last = df.groupBy(*keys).agg(F.max_by(at, known).alias("__at"), F.max(start).alias("__start"))
+    total = F.greatest(F.lit(0), F.coalesce(F.col("__at") - F.col("__start"), F.lit(0))).cast("bigint")
+    return last.select(*keys, total.alias("total_ms"))
+
+
 SLOTS = 64
 
 

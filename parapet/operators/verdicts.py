@@ -85,6 +85,19 @@ def native_prompt_verdict(text_verdict, n_files, flow):
     return F.when((text_verdict == S.ALLOWED) & unscreened, S.UNSUPPORTED).otherwise(text_verdict)
 
 
+def native_part_records(verdict, filters, kinds):
+    """Part rows of text-only mode: the screened prompt, then each attachment as unsupported.
+
+    An attachment is never forwarded, and with one neither is the prompt.
+    """
+    row = lambda n, kind, v, names, sent: F.struct(
+        n.cast("bigint").alias("n"), kind.alias("kind"), v.alias("verdict"), names.alias("filters"), sent.alias("forwarded")
+    )
+    prompt = row(F.lit(1), F.lit("text"), verdict, filters, (verdict == S.ALLOWED) & (F.size(kinds) == 0))
+    files = F.transform(kinds, lambda k, i: row(i + 2, k, F.lit(S.UNSUPPORTED), X.empty_strings(), F.lit(False)))
+    return F.concat(F.array(prompt), files)
+
+
 def unsupported_reason(text_verdict, n_files, flow):
     plural = F.when(n_files > 1, "s").otherwise("")
     files = F.concat(

@@ -208,7 +208,7 @@ class Family:
 
     def add(self, keys, docs, at, more):
         """(whole, ask): suffixes whose whole run an earlier document has, and those to compare window by window,
-        each as (docs, at, more)."""
+        each as (docs, at, more, grams)."""
         order = np.lexsort((at, docs, keys))
         keys, docs, at, more = keys[order], docs[order], at[order], more[order]
         start = np.r_[True, keys[1:] != keys[:-1]]
@@ -240,26 +240,31 @@ class Family:
             np.add.at(wanted, b[ask], -1)
             wanted = (np.cumsum(wanted)[:-1] > 0) & ~level.asked
             level.asked |= wanted
-            asks.append((level.docs[wanted], level.at[wanted], level.more[wanted]))
+            asks.append((level.docs[wanted], level.at[wanted], level.more[wanted], level.keys[wanted] >> U(40)))
         stays = first[of] & (docs == least[of])
         own = stays & ask[of]
-        asks.append((docs[own], at[own], more[own]))
+        asks.append((docs[own], at[own], more[own], keys[own] >> U(40)))
         if stays.any():
             level = Level(keys[stays], docs[stays], at[stays], more[stays], ask[of][stays], 1)
             while self.levels and self.levels[-1].size <= level.size:
                 level = self.levels.pop().merged(level)
             self.levels.append(level)
-        return (docs[whole], at[whole], more[whole]), tuple(np.concatenate(x) for x in zip(*asks))
+        return (docs[whole], at[whole], more[whole], keys[whole] >> U(40)), tuple(np.concatenate(x) for x in zip(*asks))
 
 
 def _scanned(batches):
-    """Matches and questions of sorted rows (bucket, batch, suffixes), as rows (doc_id, at, more, ask)."""
+    """Matches and questions of sorted rows (bucket, batch, suffixes), as rows (doc_id, at, more, bucket, gram).
+
+    Of a match, which needs no comparison, bucket and gram are -1.
+    """
 
     def out(parts, ask):
-        docs, at, more = parts
+        docs, at, more, gram = parts
+        own = np.full(len(docs), bucket if ask else -1, dtype=np.int32)
+        gram = gram.astype(np.int32) if ask else own
         return pa.RecordBatch.from_arrays(
-            [pa.array(docs), pa.array(at), pa.array(more.astype(np.int32)), pa.array(np.full(len(docs), ask))],
-            ["doc_id", "at", "more", "ask"],
+            [pa.array(docs), pa.array(at), pa.array(more.astype(np.int32)), pa.array(own), pa.array(gram)],
+            ["doc_id", "at", "more", "bucket", "gram"],
         )
 
     family, bucket, batch, waiting = Family(), None, None, []
@@ -295,16 +300,80 @@ def _text(blob):
 
 
 def _windows(batches):
-    """Hashes of the asked windows: rows (w1, w2, doc_id, at)."""
+    """Hashes of the asked windows, packed by bucket: rows (bucket, windows)."""
+    kept, size = [], 0
+
+    def flush():
+        bucket, gram, hashes, docs, at = (np.concatenate(x) for x in zip(*kept))
+        order = np.lexsort((at, docs, gram, bucket))
+        bucket, gram, hashes, docs, at = (x[order] for x in (bucket, gram, hashes, docs, at))
+        cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        blobs = []
+        for x, y in zip(cut, np.r_[cut[1:], len(bucket)]):
+            moves = [np.diff(v[x:y], prepend=v.dtype.type(0)) for v in (gram, docs, at)]
+            raw = b"".join(_planes(v) for v in moves) + _planes(hashes[x:y])[: 6 * (y - x)]
+            blobs.append(zstandard.compress(raw, 1))
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.array(blobs, pa.binary())], ["bucket", "windows"])
+
     for b in batches:
-        parts = []
-        for doc, tag, blob, first, more in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), *(b.column(i) for i in (2, 3, 4))):
-            first, more = np.array(first.as_py(), dtype=np.int64), np.array(more.as_py(), dtype=np.int64)
-            at = np.repeat(first, more + 1) + np.arange((more + 1).sum()) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
-            w1, w2 = window_hashes(_words(_text(blob)), at)
-            parts.append((w1.view(np.int64), w2.view(np.int64), np.full(len(at), doc, dtype=np.int64), at | tag << TAG))
-        if parts:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], ["w1", "w2", "doc_id", "at"])
+        for doc, tag, blob, *asked in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), *(b.column(i) for i in range(2, 7))):
+            first, more, bucket, gram = (np.array(x.as_py()) for x in asked)
+            many = more + 1
+            at = np.repeat(first, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            hashes = window_hashes(_words(_text(blob)), at)[0]
+            kept.append((
+                np.repeat(bucket, many).astype(np.int32), np.repeat(gram, many).astype(np.int32), hashes,
+                np.full(len(at), doc, dtype=np.int64), at.astype(np.int64) | tag << TAG,
+            ))
+            size += len(at)
+            if size >= FLUSH:
+                yield flush()
+                kept, size = [], 0
+    if size:
+        yield flush()
+
+
+def _earlier(blobs):
+    """Windows that an earlier document has too, as (docs, at, more)."""
+    parts = []
+    for blob in blobs:
+        raw = np.frombuffer(zstandard.decompress(blob.as_py()), dtype=np.uint8)
+        n = len(raw) // 26
+        column = lambda lo, width, kind: np.ascontiguousarray(raw[lo * n : (lo + width) * n].reshape(width, n).T).view(kind).reshape(n)
+        low, high = column(20, 4, np.uint32), column(24, 2, np.uint16)
+        parts.append((
+            np.cumsum(column(0, 4, np.int32), dtype=np.int32), low.astype(np.uint64) | high.astype(np.uint64) << U(32),
+            np.cumsum(column(4, 8, np.int64)), np.cumsum(column(12, 8, np.int64)),
+        ))
+    gram, hashes, docs, at = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((docs, hashes, gram))
+    start = np.r_[True, (gram[order][1:] != gram[order][:-1]) | (hashes[order][1:] != hashes[order][:-1])]
+    least = docs[order][start][np.cumsum(start) - 1]
+    later = order[docs[order] > least]
+    docs, at = docs[later], at[later]
+    order = np.lexsort((at, docs))
+    docs, at = docs[order], at[order]
+    new = np.flatnonzero(np.r_[True, (docs[1:] != docs[:-1]) | (at[1:] != at[:-1] + 1)]) if len(docs) else np.zeros(0, dtype=np.int64)
+    return docs[new], at[new], np.diff(np.r_[new, len(docs)]) - 1
+
+
+def _compared(batches):
+    """Rows (doc_id, at, more) of sorted rows (bucket, windows)."""
+    bucket, waiting = None, []
+
+    def close():
+        docs, at, more = _earlier(waiting)
+        return pa.RecordBatch.from_arrays([pa.array(docs), pa.array(at), pa.array(more.astype(np.int32))], ["doc_id", "at", "more"])
+
+    for rows in batches:
+        for b, blob in zip(rows.column(0).to_pylist(), rows.column(1)):
+            if b != bucket and waiting:
+                yield close()
+                waiting = []
+            bucket = b
+            waiting.append(blob)
+    if waiting:
+        yield close()
 
 
 def covered_runs(first, more):
@@ -332,6 +401,14 @@ def _kept(batches, texts):
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds[: len(names)]], names)
 
 
+def _by_document(rows, *more):
+    """Runs of windows as arrays of a row per document."""
+    at = F.col("at").bitwiseAND((1 << TAG) - 1).alias("at")
+    return rows.select("doc_id", F.shiftright("at", TAG).cast("int").alias("tag"), at, "more", *more).groupBy("doc_id", "tag").agg(
+        *[F.collect_list(c).alias(c) for c in ("at", "more", *more)]
+    )
+
+
 def remove_repeats(docs, batches=BATCHES, texts=False):
     """Each document without the bytes of LENGTH-byte strings that start in a document with a smaller doc_id.
 
@@ -347,26 +424,24 @@ def remove_repeats(docs, batches=BATCHES, texts=False):
     marked = read.join(repeated, F.col("doc_id") == F.col("__id"), "left")
     tag = F.when(F.col("__id").isNotNull(), F.crc32("text") % (1 << 22) + 1).otherwise(0).cast("int")
     marked = marked.select("doc_id", tag.alias("tag"), "text")
-    bounds = sorted({int(x) for x in read.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)}) if batches > 1 else []
+    quantiles = read.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
+    bounds = sorted({int(x) for x in quantiles if abs(x) < 2**62})
     bounds = np.array(bounds, dtype=np.int64)
     buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_BYTES)
     suffixes = marked.where("doc_id is not null").mapInArrow(
         lambda it: _suffix_batches(it, buckets, bounds), "bucket int, batch int, suffixes binary"
     )
     dealt = suffixes.repartition("bucket").sortWithinPartitions("bucket", "batch")
-    found = stored(dealt.mapInArrow(_scanned, "doc_id bigint, at bigint, more int, ask boolean"))
-    spread = lambda rows: rows.select(
-        "doc_id", F.shiftright("at", TAG).cast("int").alias("tag"), F.col("at").bitwiseAND((1 << TAG) - 1).alias("at"), "more"
-    ).groupBy("doc_id", "tag").agg(F.collect_list("at").alias("at"), F.collect_list("more").alias("more"))
-    packed = marked.mapInArrow(_compressed, "doc_id bigint, tag int, text binary")
-    asked = packed.join(spread(found.where("ask")), ["doc_id", "tag"])
-    windows = stored(asked.mapInArrow(_windows, "w1 bigint, w2 bigint, doc_id bigint, at bigint"))
-    earliest = stored(
-        windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest")).where("earliest < latest")
-    )
-    later = windows.join(earliest, ["w1", "w2"]).where("doc_id > earliest").select("doc_id", "at", F.lit(0).alias("more"))
-    ranges = spread(found.where("not ask").select("doc_id", "at", "more").unionByName(later))
+    found = stored(dealt.mapInArrow(_scanned, "doc_id bigint, at bigint, more int, bucket int, gram int"))
+    # One shuffle of the texts serves both joins; the filter is what the inner join would add.
+    pack = lambda rows: rows.mapInArrow(_compressed, "doc_id bigint, tag int, text binary")
+    packed = pack(marked).where("doc_id is not null and tag is not null").repartition("doc_id", "tag")
+    asked = packed.join(_by_document(found.where("bucket >= 0"), "bucket", "gram"), ["doc_id", "tag"])
+    windows = asked.mapInArrow(_windows, "bucket int, windows binary").repartition("bucket").sortWithinPartitions("bucket")
+    later = windows.mapInArrow(_compared, "doc_id bigint, at bigint, more int")
+    ranges = _by_document(found.where("bucket < 0").select("doc_id", "at", "more").unionByName(later))
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept binary" if texts else "")
-    return packed.join(ranges, ["doc_id", "tag"], "left").select("doc_id", "text", "at", "more").mapInArrow(
-        lambda it: _kept(it, texts), schema
-    )
+    known = packed.join(ranges, ["doc_id", "tag"], "left").select("doc_id", "text", "at", "more")
+    nothing = [F.lit(None).cast("array<bigint>").alias("at"), F.lit(None).cast("array<int>").alias("more")]
+    unnamed = pack(marked.where("doc_id is null")).select("doc_id", "text", *nothing)
+    return known.unionByName(unnamed).mapInArrow(lambda it: _kept(it, texts), schema)

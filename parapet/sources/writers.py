@@ -18,8 +18,10 @@ def append_ledger(df, path, run=None):
 
 def allowed_only(items, verdicts, keys):
     """Items of the requests that passed; a request without a verdict did not."""
-    passed = verdicts.where(F.col("verdict") == S.ALLOWED).select(*keys)
-    return items.join(passed, keys, "left_semi")
+    # An inner join of distinct keys: a semi join would be pushed into each input of a union of
+    # items, with a copy of all screening.
+    passed = verdicts.where(F.col("verdict") == S.ALLOWED).select(*keys).distinct()
+    return items.join(passed, keys).select(items.columns)
 
 
 def write_forwarded(df, path, keys, payload="payload"):

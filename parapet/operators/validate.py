@@ -12,24 +12,24 @@ CONTENTS_TYPE = "array<struct<role:variant,parts:array<struct<text:variant,inlin
 PART_TYPE = "struct<kind:string,text:string,mime:string,data:string>"
 FACTS = ("kind", "mime", "chars", "blank", "base64_ok")
 
-BAD_BASE64 = "inlineData.data must be non-empty standard base64."
-NEEDS_CALLOUT = "Files need callout mode: the native check screens text only, so send the text as a text part."
-BAD_SINGLE_TYPE = "Unsupported file type. Allowed: application/pdf, text/plain, text/csv."
-TEXT_REQUIRED = "A text part (the question or instruction) is required."
-PART_TOO_LARGE = "Each file must be 4 MB or smaller."
+BAD_BASE64 = "A file's data must be standard base64 and must not be empty."
+NEEDS_CALLOUT = "Native mode reads text parts; a file can be checked in callout mode."
+BAD_SINGLE_TYPE = "One file may be application/pdf, text/plain or text/csv."
+TEXT_REQUIRED = "One part must be text: a question or an instruction."
+PART_TOO_LARGE = "No file may exceed 4 MB."
 
 
 def single_shape_reason(max_chars):
     return (
-        f"Send exactly one user content with one part: a non-empty text (max {max_chars} chars) "
-        "or, in callout mode, one inlineData file."
+        f"A request is one user content of one part: text of 1 to {max_chars} characters, "
+        "or one inlineData file in callout mode."
     )
 
 
 def multi_shape_reason(max_chars, max_files):
     return (
-        f"Send one user content with at most 1 text part (max {max_chars} chars) and at most {max_files} "
-        "inlineData files (PNG, JPEG, BMP, PDF, TXT, CSV, DOCX, XLSX, PPTX; max 4 MB each)."
+        f"A request is one user content of one text (up to {max_chars} characters) and up to {max_files} "
+        "inlineData files of 4 MB (PNG, JPEG, BMP, PDF, TXT, CSV, DOCX, XLSX, PPTX)."
     )
 
 
@@ -142,7 +142,7 @@ def validate_single(df, mode, max_chars=S.MAX_TEXT_CHARS, max_file_b64=S.MAX_FIL
         F.when(mode != "callout", NEEDS_CALLOUT)
         .when(~p.mime.isin(S.SINGLE_FILE_MIMES), BAD_SINGLE_TYPE)
         .when(~F.coalesce(X.is_strict_base64(p.data), F.lit(False)), BAD_BASE64)
-        .when(F.length(p.data) > max_file_b64, f"File too large (max {max_file_b64} base64 chars).")
+        .when(F.length(p.data) > max_file_b64, f"The file is longer than {max_file_b64} base64 characters.")
     )
     text_ok = ~X.is_blank(p.text) & (F.length(p.text) <= max_chars)
     reason = (
@@ -172,11 +172,11 @@ def facts_reason(facts, max_chars=S.MAX_TEXT_CHARS, max_files=S.MAX_FILES, max_p
             .when((p.kind == "text") & (earlier_text | p.blank | (p.chars > max_chars)), shape)
             .when(p.kind == "text", F.lit(None))
             .when(~p.mime.isin(list(S.MIME_TYPES)),
-                  F.concat(F.lit("Unsupported file type: "), F.left(p.mime, F.lit(80)), F.lit(".")))
+                  F.concat(F.lit("This file type is not accepted: "), F.left(p.mime, F.lit(80)), F.lit(".")))
             .when(~p.base64_ok, BAD_BASE64)
             .when(F.size(files) > max_files, shape)
             .when(p.chars > max_part, PART_TOO_LARGE)
-            .when(total > max_total, f"Files are too large together (max {max_total} base64 chars).")
+            .when(total > max_total, f"The files are longer than {max_total} base64 characters together.")
         )
 
     failures = F.filter(F.transform(facts, one), lambda r: r.isNotNull())
@@ -257,9 +257,9 @@ def validate_upload(df, filename="filename", data="data_base64", max_bytes=S.MAX
     df = df.withColumn("bytes", F.when(F.col("mime").isNotNull() & strict, decoded_size(b64)))
     reason = (
         F.when(F.coalesce(F.length(name), F.lit(0)).between(1, 255) == F.lit(False), "filename is required")
-        .when(F.col("mime").isNull(), f"Unsupported file type. Allowed: {allowed}")
+        .when(F.col("mime").isNull(), f"This file type is not accepted; known are {allowed}")
         .when(F.coalesce(F.length(b64), F.lit(0)) == 0, "dataBase64 is required")
-        .when(F.col("bytes").isNull(), "dataBase64 is not valid base64")
+        .when(F.col("bytes").isNull(), "dataBase64 is no standard base64")
         .when(F.col("bytes") > max_bytes, F.concat(F.lit("File exceeds "), X.fmt_bytes(F.lit(max_bytes))))
         .when((F.col("ext") == ".pdf") & ~X.has_pdf_magic(head), "This is not a valid PDF file")
         .when((F.col("ext") != ".pdf") & X.decode_utf8(X.from_base64(b64)).isNull(), "Text files must be UTF-8")
@@ -292,16 +292,16 @@ def validate_attachments(df, files="files", max_files=S.MAX_FILES, max_bytes=S.M
     def one(m, i):
         total = F.aggregate(F.slice(metas, F.lit(1), i + 1), F.lit(0).cast("bigint"), lambda a, q: a + F.coalesce(q.bytes, F.lit(0)))
         return (
-            F.when(m.mime.isNull(), F.concat(F.lit("Unsupported file type '"), m.ext, F.lit(f"'. Allowed: {', '.join(sorted(types))}.")))
+            F.when(m.mime.isNull(), F.concat(F.lit("'"), m.ext, F.lit(f"' files are not accepted; known are {', '.join(sorted(types))}.")))
             .when(m.raw.isNull(), F.concat(m["name"], F.lit(": dataBase64 must be a base64 string.")))
             .when(m.raw == "", F.concat(m["name"], F.lit(" is empty.")))
-            .when(m.bytes.isNull(), F.concat(m["name"], F.lit(": dataBase64 is not valid base64.")))
-            .when(m.bytes > max_bytes, F.concat(m["name"], F.lit(" is over 4 MB.")))
-            .when(total > max_total, "Files are over 5 MB together.")
+            .when(m.bytes.isNull(), F.concat(m["name"], F.lit(": dataBase64 is no standard base64.")))
+            .when(m.bytes > max_bytes, F.concat(m["name"], F.lit(" exceeds 4 MB.")))
+            .when(total > max_total, "The files exceed 5 MB together.")
         )
 
     failures = F.filter(F.transform(metas, one), lambda r: r.isNotNull())
-    reason = F.when(F.size(metas) > max_files, f"At most {max_files} files.").otherwise(F.get(failures, F.lit(0)))
+    reason = F.when(F.size(metas) > max_files, f"No more than {max_files} files.").otherwise(F.get(failures, F.lit(0)))
     return (
         df.withColumn("reason", reason)
         .withColumn("ok", F.col("reason").isNull())
@@ -322,8 +322,8 @@ def validate_prompt(df, prompt="prompt", scenario="scenario_id", default="custom
     t = F.col(f"{prefix}text")
     reason = (
         F.when(~sid.rlike(r"^[a-z0-9-]{1,64}\z"), "invalid scenarioId")
-        .when(X.is_blank(t), "prompt cannot be empty")
-        .when(F.length(t) > max_chars, f"prompt exceeds {max_chars} characters")
+        .when(X.is_blank(t), "a prompt must hold text")
+        .when(F.length(t) > max_chars, f"a prompt is limited to {max_chars} characters")
     )
     return df.withColumn(f"{prefix}reason", reason).withColumn(f"{prefix}ok", F.col(f"{prefix}reason").isNull())
 
@@ -342,10 +342,8 @@ def native_skip(text, prompt, max_chars=S.MAX_TEXT_CHARS, note=None):
     detail = F.lit("") if note is None else F.coalesce(F.concat(F.lit(" ("), note, F.lit(")")), F.lit(""))
     return (
         F.when(F.coalesce(F.length(text), F.lit(0)) == 0,
-               F.concat(F.lit("No text could be extracted from this file"), detail,
-                        F.lit(", so there was nothing to send to the native check.")))
+               F.concat(F.lit("The file holds no text"), detail, F.lit("; there was nothing to check.")))
         .when(F.length(prompt) > max_chars,
-              F.concat(F.lit("The prompt would be "), X.fmt_thousands(F.length(prompt)),
-                       F.lit(f" chars, but the native check takes at most {max_chars:,} chars per prompt. "
-                             "It was not truncated, because the cut part would go unscreened.")))
+              F.concat(F.lit("A prompt of "), X.fmt_thousands(F.length(prompt)),
+                       F.lit(f" characters is above the {max_chars:,} that native mode takes; cut, a part of it would go unchecked.")))
     )

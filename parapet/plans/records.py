@@ -84,7 +84,7 @@ WITH f AS (
 r AS (SELECT doc_id, mime, CASE
     WHEN native THEN {quote(validate.NEEDS_CALLOUT)} WHEN mime = 'image/png' THEN {quote(validate.BAD_SINGLE_TYPE)}
     WHEN broken OR b64 = 0 THEN {quote(validate.BAD_BASE64)}
-    WHEN b64 > {_FILE_LIMIT} THEN 'File too large (max {_FILE_LIMIT} base64 chars).' END AS reason FROM f)
+    WHEN b64 > {_FILE_LIMIT} THEN 'The file is longer than {_FILE_LIMIT} base64 characters.' END AS reason FROM f)
 SELECT doc_id, reason IS NULL AS ok, coalesce(reason, 'none') AS reason,
        CASE WHEN reason IS NOT NULL THEN 'text' ELSE CASE mime WHEN 'application/pdf' THEN 'file:PDF' WHEN 'Text/Plain' THEN 'file:TXT'
             ELSE 'file:CSV' END END AS input

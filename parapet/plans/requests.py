@@ -26,8 +26,8 @@ SELECT conv_id, turn,
        'text' AS input,
        coalesce(scenario_id, 'custom') AS scenario,
        length(text) <= {S.MAX_PROMPT_CHARS} AND regexp_matches(text, '\\S') AS prompt_ok,
-       CASE WHEN NOT regexp_matches(text, '\\S') THEN 'prompt cannot be empty'
-            WHEN length(text) > {S.MAX_PROMPT_CHARS} THEN 'prompt exceeds {S.MAX_PROMPT_CHARS} characters' ELSE 'none' END
+       CASE WHEN NOT regexp_matches(text, '\\S') THEN 'a prompt must hold text'
+            WHEN length(text) > {S.MAX_PROMPT_CHARS} THEN 'a prompt is limited to {S.MAX_PROMPT_CHARS} characters' ELSE 'none' END
          AS prompt_reason
 FROM turns
 """)
@@ -70,10 +70,10 @@ t AS (SELECT *, sum(CASE WHEN is_text THEN 0 ELSE b64 END) OVER (PARTITION BY re
 r AS (SELECT *, CASE
     WHEN is_text AND (NOT filled OR n_text > {_LIMITS['max_chars']}) THEN {quote(validate.multi_shape_reason(2000, 3))}
     WHEN is_text THEN NULL
-    WHEN mime NOT IN ({_KNOWN}) THEN 'Unsupported file type: ' || mime || '.'
+    WHEN mime NOT IN ({_KNOWN}) THEN 'This file type is not accepted: ' || mime || '.'
     WHEN b64 = 0 OR b64 % 4 <> 0 THEN {quote(validate.BAD_BASE64)}
     WHEN b64 > {_LIMITS['max_part']} THEN {quote(validate.PART_TOO_LARGE)}
-    WHEN running > {_LIMITS['max_total']} THEN 'Files are too large together (max {_LIMITS['max_total']} base64 chars).'
+    WHEN running > {_LIMITS['max_total']} THEN 'The files are longer than {_LIMITS['max_total']} base64 characters together.'
   END AS reason FROM t)
 SELECT request_id, count(*) AS n_parts, count(*) FILTER (NOT is_text) AS n_files,
        CAST(sum(CASE WHEN is_text THEN 0 ELSE b64 END) AS BIGINT) AS total_base64,
@@ -115,8 +115,8 @@ WITH u AS (
   SELECT doc_id, left(regexp_replace(source || '#' || doc_id || {_EXT_SQL}, '[^A-Za-z0-9._ ()-]', '_', 'g'), 120) AS safe_name,
          lower({_EXT_SQL}) AS ext, octet_length(encode(text)) AS bytes, n_chars % 13 = 0 AS broken FROM documents),
 r AS (SELECT *, CASE
-    WHEN ext NOT IN ({_EXT_OK}) THEN 'Unsupported file type. Allowed: {', '.join(sorted(S.UPLOAD_TYPES))}'
-    WHEN broken THEN 'dataBase64 is not valid base64'
+    WHEN ext NOT IN ({_EXT_OK}) THEN 'This file type is not accepted; known are {', '.join(sorted(S.UPLOAD_TYPES))}'
+    WHEN broken THEN 'dataBase64 is no standard base64'
     WHEN bytes > {_UPLOAD_LIMIT} THEN 'File exceeds ' || printf('%.1f', {_UPLOAD_LIMIT} / 1024.0) || ' KB'
     WHEN ext = '.pdf' THEN 'This is not a valid PDF file' END AS reason FROM u)
 SELECT doc_id, safe_name, ext, coalesce({_MIME_OF}, 'none') AS mime, coalesce({_KIND_OF}, 'none') AS kind,
@@ -232,11 +232,11 @@ WITH a AS (
   SELECT doc_id, n_chars % 4 + 1 AS n, octet_length(encode(text)) AS bytes, {_ATT_EXT_SQL} AS ext, n_chars % 17 = 0 AS broken
   FROM documents)
 SELECT doc_id, n AS n_files,
-       CASE WHEN n > 3 THEN 'At most 3 files.'
-            WHEN ext = '.gif' THEN 'Unsupported file type ''.gif''. Allowed: {', '.join(sorted(S.ATTACHMENT_TYPES))}.'
-            WHEN broken THEN 'f_1' || ext || ': dataBase64 is not valid base64.'
-            WHEN bytes > {_ATT_LIMITS['max_bytes']} THEN 'f_1' || ext || ' is over 4 MB.'
-            WHEN bytes * n > {_ATT_LIMITS['max_total']} THEN 'Files are over 5 MB together.' ELSE 'none' END AS reason,
+       CASE WHEN n > 3 THEN 'No more than 3 files.'
+            WHEN ext = '.gif' THEN '''.gif'' files are not accepted; known are {', '.join(sorted(S.ATTACHMENT_TYPES))}.'
+            WHEN broken THEN 'f_1' || ext || ': dataBase64 is no standard base64.'
+            WHEN bytes > {_ATT_LIMITS['max_bytes']} THEN 'f_1' || ext || ' exceeds 4 MB.'
+            WHEN bytes * n > {_ATT_LIMITS['max_total']} THEN 'The files exceed 5 MB together.' ELSE 'none' END AS reason,
        CASE WHEN broken OR n > 3 OR ext = '.gif' THEN 0 ELSE CAST(bytes * n AS BIGINT) END AS total_bytes
 FROM a
 """)

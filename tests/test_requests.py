@@ -52,7 +52,7 @@ def test_file_requests(spark):
     assert not got["text+file"][0]
     assert by(single(spark, {"pdf": bodies["pdf"]}), "id", "reason") == {"pdf": V.NEEDS_CALLOUT}
     large = by(single(spark, {"pdf": bodies["pdf"]}, "callout", max_file_b64=8), "id", "reason")
-    assert large["pdf"].startswith("File too large")
+    assert large["pdf"].startswith("The file is longer")
 
 
 MULTI = {
@@ -68,7 +68,7 @@ MULTI = {
 def test_multipart_requests(spark):
     got = by(multi(spark, {k: request(p) for k, (p, _) in MULTI.items()}), "id", "ok", "reason")
     assert {k: ok for k, (ok, _) in got.items()} == {k: ok for k, (_, ok) in MULTI.items()}
-    assert got["no text"][1] == V.TEXT_REQUIRED and got["webp"][1] == "Unsupported file type: image/webp."
+    assert got["no text"][1] == V.TEXT_REQUIRED and got["webp"][1] == "This file type is not accepted: image/webp."
 
 
 def test_first_failure_wins(spark):
@@ -79,8 +79,8 @@ def test_first_failure_wins(spark):
     }
     got = by(multi(spark, bodies, max_part=20, max_total=30), "id", "reason")
     assert got["size then type"] == V.PART_TOO_LARGE
-    assert got["type then size"].startswith("Unsupported")
-    assert got["total"].startswith("Files are too large together")
+    assert got["type then size"].startswith("This file type")
+    assert got["total"].startswith("The files are longer")
 
 
 def test_part_rows_agree_with_nested_requests(spark):
@@ -172,14 +172,14 @@ def test_attachments(spark):
     got = by(V.validate_attachments(df, max_bytes=6, max_total=11), "id", "ok", "reason", "attachments")
     assert {k for k, v in got.items() if v[0]} == {"ok", "none"}
     assert [tuple(a) for a in got["ok"][2]] == [("a.png", "image/png", 3), ("b.docx", DOCX, 3)]
-    assert got["large"][1].endswith("over 4 MB.") and got["total"][1] == "Files are over 5 MB together."
+    assert got["large"][1].endswith("exceeds 4 MB.") and got["total"][1] == "The files exceed 5 MB together."
 
 
 def test_prompts(spark):
     rows = [("clean", None), ("custom-1", "hello"), ("Bad Id", "x"), (None, " "), ("custom", "x" * 4001), ("clean", "mine")]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, scenario_id string, prompt string")
     got = by(V.validate_prompt(df), "id", "prompt_ok", "prompt_scenario", "prompt_text")
-    assert got[0][:2] == (True, "clean") and got[0][2].startswith("Explain in two")
+    assert got[0][:2] == (True, "clean") and got[0][2].startswith("In two sentences")
     assert got[1] == (True, "custom", "hello") and got[5] == (True, "clean", "mine")
     assert [got[i][0] for i in (2, 3, 4)] == [False, False, False]
 
@@ -189,4 +189,4 @@ def test_native_prompt_is_never_cut(spark):
     prompt = V.native_prompt(F.lit("n.txt"), F.col("text"))
     got = by(df.select("id", prompt.alias("p"), V.native_skip(F.col("text"), prompt).alias("skip")), "id", "p", "skip")
     assert got["a"][0].endswith("\n\n--- Document: n.txt ---\nx") and got["a"][1] is None
-    assert "not truncated" in got["b"][1] and got["c"][1].startswith("No text")
+    assert "go unchecked" in got["b"][1] and got["c"][1].startswith("The file holds no text")

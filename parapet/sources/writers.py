@@ -5,15 +5,48 @@ import uuid
 from pyspark.sql import functions as F
 
 from parapet import schemas, settings as S
+from parapet.operators import ledger
+from parapet.sources import readers
 
 
 def append_ledger(df, path, run=None):
     """Add ledger rows as a run folder of their own; writing the same run again replaces it.
 
-    The committer publishes a run as a whole, so readers see all of it or nothing.
+    The rows are written to a hidden folder first and published by a rename, so readers see
+    all of a run or nothing of it, and a run that is replaced stays readable until then.
     """
     run = run or f"write-{uuid.uuid4()}"
-    df.select([f.name for f in schemas.LEDGER.fields]).write.mode("overwrite").parquet(f"{path}/run={run}")
+    staged = f"{path}/_staged/{uuid.uuid4()}"
+    df.select([f.name for f in schemas.LEDGER.fields]).write.parquet(staged)
+    _publish(df.sparkSession, staged, f"{path}/run={run}")
+
+
+def compact_ledger(spark, path, keep=S.LEDGER_KEEP):
+    """Retention: the newest `keep` rows (None: all) as one run; the runs that they come from go."""
+    runs = _run_folders(spark, path)
+    if not runs:
+        return
+    rows = readers.read_ledger(spark, path)
+    append_ledger(rows if keep is None else ledger.newest(rows, keep), path, f"kept-{uuid.uuid4()}")
+    for run in runs:
+        run.getFileSystem(spark._jsc.hadoopConfiguration()).delete(run, True)
+
+
+def _run_folders(spark, path):
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/run=*")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+    return [f.getPath() for f in found or []]
+
+
+def _publish(spark, staged, target):
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fs = at(target).getFileSystem(spark._jsc.hadoopConfiguration())
+    replaced = at(f"{staged}-replaced")
+    if fs.exists(at(target)):
+        fs.rename(at(target), replaced)
+    if not fs.rename(at(staged), at(target)):
+        raise OSError(f"{target} could not be published")
+    fs.delete(replaced, True)
 
 
 def allowed_only(items, verdicts, keys):

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import os
 
 from pyspark.sql import functions as F
 
@@ -169,3 +170,17 @@ def test_scalars(spark):
     assert value(X.decode_utf8(lit(b"\xef\xbb\xbfhi"))) == "hi" and value(X.decode_utf8(lit(b"\xff"))) is None
     assert value(X.normalize_lines(lit(" a   b\r\n\n  \n​c\u0007\t\n"))) == "a b\nc"
     assert [value(X.forwarded_state(lit(n), lit(f))) for n, f in ((None, True), (1, False), (1, True))] == ["n/a", "note only", "yes"]
+
+
+def test_runs_are_published_whole_and_compacted(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    row = lambda i, day: (f"id{i}", dt.datetime(2024, 1, day), "s", "native", None, 200, "allowed", 1, "ui", f"r{i}")
+    rows = lambda *r: spark.createDataFrame(list(r), schemas.LEDGER)
+    writers.compact_ledger(spark, path)
+    writers.append_ledger(rows(row(1, 1), row(2, 2)), path, "a")
+    writers.append_ledger(rows(row(3, 3)), path, "b")
+    writers.append_ledger(rows(row(4, 4), row(5, 5)), path, "a")
+    assert sorted(r.id for r in readers.read_ledger(spark, path).collect()) == ["id3", "id4", "id5"]
+    writers.compact_ledger(spark, path, keep=2)
+    assert sorted(r.id for r in readers.read_ledger(spark, path).collect()) == ["id4", "id5"]
+    assert len([p for p in os.listdir(path) if p.startswith("run=")]) == 1

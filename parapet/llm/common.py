@@ -2,6 +2,7 @@
 
 import functools
 import operator
+import os
 import tempfile
 import uuid
 
@@ -11,7 +12,17 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def shipped(spark):
+    """Lets Python workers on this machine import the package from where it lies; a cluster installs it."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def table(spark, folder, name):
+    shipped(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -30,6 +41,7 @@ def stored(df):
     Cuts the lineage (a lost executor costs no recomputation), makes random choices final,
     and gives the optimizer true sizes, so that it broadcasts what is small and nothing else.
     """
+    shipped(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/parapet-llm/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -20,10 +20,10 @@ from parapet.llm.common import stored
 
 LENGTH = 50
 GRAM = 20
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 BATCHES = 16
 BUCKET_BYTES = 1 << 23
-FLUSH = 1 << 18
+FLUSH = 1 << 17
 TAG = 40  # a position carries in its upper bits which of several rows with one doc_id is meant
 U = np.uint64
 _ODD = np.random.default_rng(20_240).integers(1, 2**63, 32, dtype=np.uint64) * U(2) + U(1)

@@ -229,7 +229,7 @@ class _CharMap:
     """Texts of codes, single ones and ranges; ranges stay ranges."""
 
     def __init__(self, data):
-        self.single, self.ranges, self.widths = {}, [], set()
+        self.single, self.ranges, self.known = {}, [], {}
         waiting = []
         for value, _ in _values(data):
             if not isinstance(value, _Word):
@@ -265,6 +265,13 @@ class _CharMap:
         return end.to_bytes(len(to)).decode("utf-16-be", "ignore") if end < 256 ** len(to) else ""
 
     def text(self, shown):
+        if len(self.widths) == 1:  # the usual map: every code is looked up once
+            width, known, out = self.widths[0], self.known, []
+            for code in [shown[i:i + width] for i in range(0, len(shown), width)]:
+                if code not in known:
+                    known[code] = self.look(code) or ""
+                out.append(known[code])
+            return "".join(out)
         out, at = [], 0
         while at < len(shown):
             for width in self.widths:

@@ -20,22 +20,31 @@ BUCKET_ROWS = 64
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def fingerprint(text, width=SHINGLE):
-    """64-bit SimHash of a text: majority of the hash bits of its word shingles, repeats included.
-
-    Words are runs of what is not ASCII white space, A-Z lower-cased; a text of fewer words
-    than a shingle is one shingle; no words give 0.
-    """
+def shingle_hashes(text, width):
+    """Hashes of a text's word shingles in their order, repeats included; none without words."""
     words = text.encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     line = b" ".join(words)
     ends = list(itertools.accumulate(map(len, words), lambda a, b: a + 1 + b))
     starts = [0, *(e + 1 for e in ends[:-1])]
     n = max(1, len(words) - width + 1)
     digest = xxhash.xxh64_intdigest
     hashes = [digest(line[a:b], SEED) for a, b in zip(starts[:n], ends[min(width, len(words)) - 1 :])]
-    hashes = np.array(hashes, dtype="<u8").view(np.uint8).reshape(n, 8)
+    return np.array(hashes, dtype="<u8")
+
+
+def fingerprint(text, width=SHINGLE):
+    """64-bit SimHash of a text: majority of the hash bits of its word shingles, repeats included.
+
+    Words are runs of what is not ASCII white space, A-Z lower-cased; a text of fewer words
+    than a shingle is one shingle; no words give 0.
+    """
+    hashes = shingle_hashes(text, width)
+    n = len(hashes)
+    if not n:
+        return 0
+    hashes = hashes.view(np.uint8).reshape(n, 8)
     votes = np.zeros(BITS, dtype=np.int64)
     for at in range(0, n, 4096):
         votes += np.unpackbits(hashes[at : at + 4096], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -216,14 +225,9 @@ def hex_print(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def representatives(docs, radius=RADIUS):
-    """One document of each group stays: the one with the smallest doc_id (null last), all columns kept.
-
-    Of rows repeated with the same doc_id and text one stays; of different texts with the
-    same smallest doc_id the one with the smaller hash.
-    """
+def first_of_groups(docs, named):
+    """The documents of which `named` (doc_id, __key, group) has the key first in a group, each once."""
     key = F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("__key")
-    named = near_duplicates(docs.select("doc_id", "text", key), radius, ["__key"])
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key"))
     kept = stored(named.groupBy("group").agg(first.alias("first")).select("first.__key"))
     one = W.partitionBy("__key").orderBy("__key")
@@ -231,3 +235,14 @@ def representatives(docs, radius=RADIUS):
         docs.select("*", key).join(kept, "__key", "left_semi")
         .withColumn("__n", F.row_number().over(one)).where("__n = 1").select(docs.columns)
     )
+
+
+def representatives(docs, radius=RADIUS):
+    """One document of each group stays: the one with the smallest doc_id (null last), all columns kept.
+
+    Of rows repeated with the same doc_id and text one stays; of different texts with the
+    same smallest doc_id the one with the smaller hash.
+    """
+    key = F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("__key")
+    named = near_duplicates(docs.select("doc_id", "text", key), radius, ["__key"])
+    return first_of_groups(docs, named)

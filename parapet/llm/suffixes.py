@@ -7,6 +7,10 @@ buckets by gram; inside a bucket, batches of documents come in the order of doc_
 gets a sorted suffix array, is merge-scanned against the levels before it, and becomes a
 level; levels of equal size merge. Suffixes whose whole run of windows is equal match at
 once. Where grams are equal and runs differ, their windows are compared one by one.
+
+No group is held whole by one task because its gram is common: grams that a sample shows
+to be hot are scanned in parts by their run, and buckets with many windows to compare are
+cut by window hash, where the first document of each window is found before the windows come.
 """
 
 import hashlib
@@ -24,6 +28,10 @@ CHUNK = 1 << 18
 BATCHES = 16
 BUCKET_BYTES = 1 << 23
 FLUSH = 1 << 17
+HOT_SUFFIXES = 1 << 18
+HOT_WINDOWS = 1 << 18
+LEAST_HOT = 1 << 15
+SAMPLED = 64
 TAG = 40  # a position carries in its upper bits which of several rows with one doc_id is meant
 U = np.uint64
 _ODD = np.random.default_rng(20_240).integers(1, 2**63, 32, dtype=np.uint64) * U(2) + U(1)
@@ -145,38 +153,72 @@ def _unpacked(blob):
     return column(0, np.uint64), np.cumsum(column(1, np.int64)), column(2, np.int64), raw[24 * n :].astype(np.int64)
 
 
-def _suffix_batches(batches, buckets, bounds):
-    """Rows (bucket, batch, suffixes): what the documents read give to each bucket and batch of ids."""
+def _named_by_chunk(data, offsets):
+    """Suffixes named in a column of documents: (gram hash, run hash, document, first window in it, windows after it)."""
+    for lo in range(0, len(data), CHUNK):
+        hi = min(lo + CHUNK, len(data))
+        part = data[lo : min(hi + LENGTH - 1, len(data))]
+        doc = np.searchsorted(offsets, np.arange(lo, lo + len(part)), side="right") - 1
+        gram, run, at, more = named_suffixes(part, offsets[doc + 1] - lo, hi - lo)
+        if len(at):
+            own = doc[at]
+            yield gram, run, own, at + lo - offsets[own], more
+
+
+def _gram_counts(batches):
+    for b in batches:
+        found = [x[0] for x in _named_by_chunk(*_buffer(b.column(0)))]
+        gram, n = np.unique(np.concatenate(found) if found else np.zeros(0, dtype=np.uint64), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(n.astype(np.int64))], ["gram", "n"])
+
+
+def hot_grams(marked, limit, sampled):
+    """(grams, parts): grams whose suffixes, carried on from a sample of the documents, exceed the limit, sorted, and into how many parts each is cut."""
+    sample = marked.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(sampled)) == 0).select("text")
+    counts = sample.mapInArrow(_gram_counts, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    rows = counts.where(F.col("n") * sampled > limit).collect()
+    grams, n = np.array([r["gram"] for r in rows], dtype=np.int64).view(np.uint64), np.array([r["n"] for r in rows], dtype=np.int64)
+    order = np.argsort(grams)
+    return grams[order], -(-n[order] * sampled // limit)
+
+
+def _suffix_batches(batches, buckets, bounds, hot):
+    """Rows (bucket, part, batch, suffixes): what the documents read give to each bucket and batch of ids.
+
+    Part is 0, or that of a hot gram.
+    """
+    grams, parts = hot
+
+    def part_of(gram, run):
+        if not len(grams):
+            return np.zeros(len(gram), dtype=np.int32)
+        i = np.minimum(np.searchsorted(grams, gram), len(grams) - 1)
+        return np.where(grams[i] == gram, 1 + (run % parts[i].astype(np.uint64)).astype(np.int64), 0).astype(np.int32)
+
     kept, size = [], 0
 
     def flush():
         gram, run, docs, at, more = (np.concatenate(x) for x in zip(*kept))
         bucket = (gram % U(buckets)).astype(np.int64)
         batch = np.searchsorted(bounds, docs, side="right")
+        part = part_of(gram, run)
         keys = (gram // U(buckets)) << U(40) | run >> U(24)
-        order = np.lexsort((at, docs, batch, bucket))
-        bucket, batch, keys, docs, at, more = (x[order] for x in (bucket, batch, keys, docs, at, more))
-        cut = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (batch[1:] != batch[:-1])])
+        order = np.lexsort((at, docs, batch, part, bucket))
+        bucket, part, batch, keys, docs, at, more = (x[order] for x in (bucket, part, batch, keys, docs, at, more))
+        cut = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1]) | (batch[1:] != batch[:-1])])
         ends = np.r_[cut[1:], len(bucket)]
         blobs = [_packed(keys[a:b], docs[a:b], at[a:b], more[a:b]) for a, b in zip(cut, ends)]
         return pa.RecordBatch.from_arrays(
-            [pa.array(bucket[cut].astype(np.int32)), pa.array(batch[cut].astype(np.int32)), pa.array(blobs, pa.binary())],
-            ["bucket", "batch", "suffixes"],
+            [pa.array(x[cut].astype(np.int32)) for x in (bucket, part, batch)] + [pa.array(blobs, pa.binary())],
+            ["bucket", "part", "batch", "suffixes"],
         )
 
     for b in batches:
         ids, tags = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
         data, offsets = _buffer(b.column(2))
-        sizes = np.diff(offsets)
-        for lo in range(0, len(data), CHUNK):
-            hi = min(lo + CHUNK, len(data))
-            part = data[lo : min(hi + LENGTH - 1, len(data))]
-            doc = np.searchsorted(offsets, np.arange(lo, lo + len(part)), side="right") - 1
-            gram, run, at, more = named_suffixes(part, offsets[doc + 1] - lo, hi - lo)
-            if len(at):
-                own = doc[at]
-                kept.append((gram, run, ids[own].astype(np.int64), (at + lo - offsets[own]) | tags[own].astype(np.int64) << TAG, more))
-                size += len(at)
+        for gram, run, own, at, more in _named_by_chunk(data, offsets):
+            kept.append((gram, run, ids[own].astype(np.int64), at | tags[own].astype(np.int64) << TAG, more))
+            size += len(at)
             if size >= FLUSH:
                 yield flush()
                 kept, size = [], 0
@@ -206,9 +248,9 @@ class Family:
     def __init__(self):
         self.levels = []
 
-    def add(self, keys, docs, at, more):
+    def add(self, keys, docs, at, more, hot=False):
         """(whole, ask): suffixes whose whole run an earlier document has, and those to compare window by window,
-        each as (docs, at, more, grams)."""
+        each as (docs, at, more, grams). Of hot grams other parts have runs too: each first one is compared."""
         order = np.lexsort((at, docs, keys))
         keys, docs, at, more = keys[order], docs[order], at[order], more[order]
         start = np.r_[True, keys[1:] != keys[:-1]]
@@ -233,7 +275,7 @@ class Family:
         at_g = np.flatnonzero(g_start)
         low = np.minimum.reduceat(np.where(first, least, np.iinfo(np.int64).max), at_g)
         high = np.maximum.reduceat(np.where(first, least, np.iinfo(np.int64).min), at_g)
-        ask = first & (related | (low < high)[g_of])
+        ask = first & (hot | related | (low < high)[g_of])
         for level, (a, b) in zip(self.levels, spans):
             wanted = np.zeros(len(level.keys) + 1, dtype=np.int64)
             np.add.at(wanted, a[ask], 1)
@@ -253,7 +295,7 @@ class Family:
 
 
 def _scanned(batches):
-    """Matches and questions of sorted rows (bucket, batch, suffixes), as rows (doc_id, at, more, bucket, gram).
+    """Matches and questions of sorted rows (bucket, part, batch, suffixes), as rows (doc_id, at, more, bucket, gram).
 
     Of a match, which needs no comparison, bucket and gram are -1.
     """
@@ -267,21 +309,21 @@ def _scanned(batches):
             ["doc_id", "at", "more", "bucket", "gram"],
         )
 
-    family, bucket, batch, waiting = Family(), None, None, []
+    family, bucket, part, batch, waiting = Family(), None, None, None, []
 
     def close():
-        whole, ask = family.add(*(np.concatenate(x) for x in zip(*map(_unpacked, waiting))))
+        whole, ask = family.add(*(np.concatenate(x) for x in zip(*map(_unpacked, waiting))), hot=part > 0)
         return [r for r in (out(whole, False), out(ask, True)) if r.num_rows]
 
     for rows in batches:
-        for b, r, blob in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), rows.column(2)):
-            if (b, r) != (bucket, batch):
+        for b, p, r, blob in zip(*(rows.column(i).to_pylist() for i in range(3)), rows.column(3)):
+            if (b, p, r) != (bucket, part, batch):
                 if waiting:
                     yield from close()
                     waiting = []
-                if b != bucket:
+                if (b, p) != (bucket, part):
                     family = Family()
-                bucket, batch = b, r
+                bucket, part, batch = b, p, r
             waiting.append(blob.as_py())
     if waiting:
         yield from close()
@@ -299,21 +341,40 @@ def _text(blob):
     return np.frombuffer(zstandard.decompress(blob.as_py()), dtype=np.uint8)
 
 
-def _windows(batches):
-    """Hashes of the asked windows, packed by bucket: rows (bucket, windows)."""
+def _windows(batches, parts):
+    """Hashes of the asked windows, packed by bucket and part of it: rows (bucket, part, kind, windows).
+
+    A bucket b is cut by window hash into parts[b]. Where that is several, rows of kind 0 come
+    before the windows themselves: each distinct window with its smallest document, as far as known here.
+    """
     kept, size = [], 0
 
+    def packed(gram, hashes, docs, at):
+        moves = [np.diff(v, prepend=v.dtype.type(0)) for v in (gram, docs, at)]
+        return zstandard.compress(b"".join(_planes(v) for v in moves) + _planes(hashes)[: 6 * len(gram)], 1)
+
+    def rows_of(kind, bucket, part, *columns):
+        cut = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1])])
+        for x, y in zip(cut, np.r_[cut[1:], len(bucket)]):
+            yield bucket[x], part[x], kind, packed(*(v[x:y] for v in columns))
+
     def flush():
         bucket, gram, hashes, docs, at = (np.concatenate(x) for x in zip(*kept))
-        order = np.lexsort((at, docs, gram, bucket))
-        bucket, gram, hashes, docs, at = (x[order] for x in (bucket, gram, hashes, docs, at))
-        cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-        blobs = []
-        for x, y in zip(cut, np.r_[cut[1:], len(bucket)]):
-            moves = [np.diff(v[x:y], prepend=v.dtype.type(0)) for v in (gram, docs, at)]
-            raw = b"".join(_planes(v) for v in moves) + _planes(hashes[x:y])[: 6 * (y - x)]
-            blobs.append(zstandard.compress(raw, 1))
-        return pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.array(blobs, pa.binary())], ["bucket", "windows"])
+        many = parts[bucket]
+        part = np.where(many > 1, 1 + (hashes % many.astype(np.uint64)).astype(np.int64), 0)
+        order = np.lexsort((at, docs, gram, part, bucket))
+        columns = [x[order] for x in (bucket, part, gram, hashes, docs, at)]
+        rows = list(rows_of(1, *columns))
+        cut = [x[columns[1] > 0] for x in columns]
+        if len(cut[0]):
+            bucket, part, gram, hashes, docs, at = cut
+            order = np.lexsort((docs, hashes, gram, part, bucket))
+            bucket, part, gram, hashes, docs = (x[order] for x in (bucket, part, gram, hashes, docs))
+            new = np.r_[True, np.any([x[1:] != x[:-1] for x in (bucket, gram, hashes)], axis=0)]
+            first = [x[new] for x in (bucket, part, gram, hashes, docs)]
+            rows += rows_of(0, *first, np.zeros(len(first[0]), dtype=np.int64))
+        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["bucket", "part", "kind", "windows"])
 
     for b in batches:
         for doc, tag, blob, *asked in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), *(b.column(i) for i in range(2, 7))):
@@ -333,23 +394,28 @@ def _windows(batches):
         yield flush()
 
 
-def _earlier(blobs):
-    """Windows that an earlier document has too, as (docs, at, more)."""
-    parts = []
-    for blob in blobs:
-        raw = np.frombuffer(zstandard.decompress(blob.as_py()), dtype=np.uint8)
-        n = len(raw) // 26
-        column = lambda lo, width, kind: np.ascontiguousarray(raw[lo * n : (lo + width) * n].reshape(width, n).T).view(kind).reshape(n)
-        low, high = column(20, 4, np.uint32), column(24, 2, np.uint16)
-        parts.append((
-            np.cumsum(column(0, 4, np.int32), dtype=np.int32), low.astype(np.uint64) | high.astype(np.uint64) << U(32),
-            np.cumsum(column(4, 8, np.int64)), np.cumsum(column(12, 8, np.int64)),
-        ))
-    gram, hashes, docs, at = (np.concatenate(x) for x in zip(*parts))
-    order = np.lexsort((docs, hashes, gram))
-    start = np.r_[True, (gram[order][1:] != gram[order][:-1]) | (hashes[order][1:] != hashes[order][:-1])]
-    least = docs[order][start][np.cumsum(start) - 1]
-    later = order[docs[order] > least]
+def _unpacked_windows(blob):
+    """(window, docs, at): a window's number is its hash and the lower half of its gram."""
+    raw = np.frombuffer(zstandard.decompress(blob.as_py()), dtype=np.uint8)
+    n = len(raw) // 26
+    column = lambda lo, width, kind: np.ascontiguousarray(raw[lo * n : (lo + width) * n].reshape(width, n).T).view(kind).reshape(n)
+    gram = np.cumsum(column(0, 4, np.int32), dtype=np.int32).astype(np.uint64) & U(0xFFFF)
+    low, high = column(20, 4, np.uint32), column(24, 2, np.uint16)
+    window = low.astype(np.uint64) | high.astype(np.uint64) << U(32) | gram << U(48)
+    return window, np.cumsum(column(4, 8, np.int64)), np.cumsum(column(12, 8, np.int64))
+
+
+def _first_documents(window, docs):
+    """Distinct windows, sorted, and the smallest document of each."""
+    order = np.lexsort((docs, window))
+    window, docs = window[order], docs[order]
+    new = np.r_[True, window[1:] != window[:-1]]
+    return window[new], docs[new]
+
+
+def _earlier(window, docs, at, known):
+    """Windows that an earlier document has too by the table `known`, as (docs, at, more)."""
+    later = docs > known[1][np.searchsorted(known[0], window)]
     docs, at = docs[later], at[later]
     order = np.lexsort((at, docs))
     docs, at = docs[order], at[order]
@@ -358,22 +424,37 @@ def _earlier(blobs):
 
 
 def _compared(batches):
-    """Rows (doc_id, at, more) of sorted rows (bucket, windows)."""
-    bucket, waiting = None, []
+    """Rows (doc_id, at, more) of sorted rows (bucket, part, kind, windows).
 
-    def close():
-        docs, at, more = _earlier(waiting)
+    A bucket in one part is held whole. Of a part, only the table of its distinct windows is
+    held; the windows pass by it.
+    """
+    of, waiting, known = None, [], None
+
+    def table():
+        window, docs, at = (np.concatenate(x) for x in zip(*map(_unpacked_windows, waiting)))
+        return _first_documents(window, docs), (window, docs, at)
+
+    def out(rows, known):
+        docs, at, more = _earlier(*rows, known)
         return pa.RecordBatch.from_arrays([pa.array(docs), pa.array(at), pa.array(more.astype(np.int32))], ["doc_id", "at", "more"])
 
     for rows in batches:
-        for b, blob in zip(rows.column(0).to_pylist(), rows.column(1)):
-            if b != bucket and waiting:
-                yield close()
-                waiting = []
-            bucket = b
-            waiting.append(blob)
+        for b, p, kind, blob in zip(*(rows.column(i).to_pylist() for i in range(3)), rows.column(3)):
+            if (b, p) != of:
+                if waiting:
+                    first, held = table()
+                    yield out(held, first)
+                of, waiting, known = (b, p), [], None
+            if p and kind:
+                if known is None:
+                    known, waiting = table()[0], []
+                yield out(_unpacked_windows(blob), known)
+            else:
+                waiting.append(blob)
     if waiting:
-        yield close()
+        first, held = table()
+        yield out(held, first)
 
 
 def covered_runs(first, more):
@@ -409,6 +490,15 @@ def _by_document(rows, *more):
     )
 
 
+def _window_parts(found, buckets):
+    """Into how many parts the asked windows of each bucket are cut, by their counted number."""
+    rows = found.where("bucket >= 0").groupBy("bucket").agg(F.sum(F.col("more").cast("bigint") + 1).alias("n")).collect()
+    n = np.zeros(buckets, dtype=np.int64)
+    for r in rows:
+        n[r["bucket"]] = r["n"]
+    return -(-n // min(HOT_WINDOWS, max(LEAST_HOT, 4 * int(n.mean()))))
+
+
 def remove_repeats(docs, batches=BATCHES, texts=False):
     """Each document without the bytes of LENGTH-byte strings that start in a document with a smaller doc_id.
 
@@ -428,16 +518,20 @@ def remove_repeats(docs, batches=BATCHES, texts=False):
     bounds = sorted({int(x) for x in quantiles if abs(x) < 2**62})
     bounds = np.array(bounds, dtype=np.int64)
     buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_BYTES)
-    suffixes = marked.where("doc_id is not null").mapInArrow(
-        lambda it: _suffix_batches(it, buckets, bounds), "bucket int, batch int, suffixes binary"
+    named = marked.where("doc_id is not null")
+    hot = hot_grams(named, HOT_SUFFIXES, SAMPLED)
+    suffixes = named.mapInArrow(
+        lambda it: _suffix_batches(it, buckets, bounds, hot), "bucket int, part int, batch int, suffixes binary"
     )
-    dealt = suffixes.repartition("bucket").sortWithinPartitions("bucket", "batch")
+    dealt = suffixes.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "batch")
     found = stored(dealt.mapInArrow(_scanned, "doc_id bigint, at bigint, more int, bucket int, gram int"))
     # One shuffle of the texts serves both joins; the filter is what the inner join would add.
     pack = lambda rows: rows.mapInArrow(_compressed, "doc_id bigint, tag int, text binary")
     packed = pack(marked).where("doc_id is not null and tag is not null").repartition("doc_id", "tag")
     asked = packed.join(_by_document(found.where("bucket >= 0"), "bucket", "gram"), ["doc_id", "tag"])
-    windows = asked.mapInArrow(_windows, "bucket int, windows binary").repartition("bucket").sortWithinPartitions("bucket")
+    parts = _window_parts(found, int(buckets))
+    windows = asked.mapInArrow(lambda it: _windows(it, parts), "bucket int, part int, kind int, windows binary")
+    windows = windows.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "kind")
     later = windows.mapInArrow(_compared, "doc_id bigint, at bigint, more int")
     ranges = _by_document(found.where("bucket < 0").select("doc_id", "at", "more").unionByName(later))
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept binary" if texts else "")

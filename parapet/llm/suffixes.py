@@ -29,7 +29,7 @@ BATCHES = 16
 BUCKET_BYTES = 1 << 23
 FLUSH = 1 << 17
 HOT_SUFFIXES = 1 << 18
-HOT_WINDOWS = 1 << 18
+HOT_TIMES = 4
 LEAST_HOT = 1 << 15
 SAMPLED = 64
 TAG = 40  # a position carries in its upper bits which of several rows with one doc_id is meant
@@ -491,12 +491,12 @@ def _by_document(rows, *more):
 
 
 def _window_parts(found, buckets):
-    """Into how many parts the asked windows of each bucket are cut, by their counted number."""
+    """Into how many parts the asked windows of each bucket are cut: several where it has HOT_TIMES the mean, which BUCKET_BYTES bounds."""
     rows = found.where("bucket >= 0").groupBy("bucket").agg(F.sum(F.col("more").cast("bigint") + 1).alias("n")).collect()
     n = np.zeros(buckets, dtype=np.int64)
     for r in rows:
         n[r["bucket"]] = r["n"]
-    return -(-n // min(HOT_WINDOWS, max(LEAST_HOT, 4 * int(n.mean()))))
+    return -(-n // max(LEAST_HOT, int(HOT_TIMES * n.mean())))
 
 
 def remove_repeats(docs, batches=BATCHES, texts=False):

@@ -11,7 +11,7 @@ PASSAGE = prose(40, 77)
 
 
 def test_hot_grams_in_parts(make, spread, monkeypatch):
-    for name, value in (("HOT_SUFFIXES", 20), ("HOT_WINDOWS", 100), ("LEAST_HOT", 1), ("SAMPLED", 1)):
+    for name, value in (("HOT_SUFFIXES", 20), ("HOT_TIMES", 0), ("LEAST_HOT", 100), ("SAMPLED", 1)):
         monkeypatch.setattr(suffixes, name, value)
     docs = ODD + [(10 + i * 7 % 120, f"{prose(4, i)} {PASSAGE} {prose(3, 500 + i)}") for i in range(120)]
     docs += [(300 + i, PASSAGE[i % 20 :]) for i in range(40)]

@@ -8,7 +8,7 @@ empty; extra columns are carried along up to the last stage.
 
 import uuid
 
-from parapet.llm import jaccard, mixing, packing, pii, toxicity
+from parapet.llm import mixing, packing, pii, simhash, toxicity
 from parapet.llm.common import shared_dir, table
 from parapet.llm.queries import vocabulary
 
@@ -21,8 +21,8 @@ def screen(spark, docs, sf_dir):
 
 
 def deduplicate(spark, docs, sf_dir):
-    """One document of each group of near-duplicates: five-word shingles, Jaccard similarity 0.8 or more."""
-    return jaccard.representatives(docs)
+    """One document of each group of near-duplicates: SimHash of three-word shingles, at most 3 differing bits."""
+    return simhash.representatives(docs)
 
 
 def redact(spark, docs, sf_dir):

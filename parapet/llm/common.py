@@ -57,6 +57,19 @@ def drop_stored(*frames):
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(name, *frames):
+    """A column name like `name` that none of the tables has, however it is written."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def let(value, body):
+    """body(value) with the value computed once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def uniform(*columns, seed=0):
     """A number in [0, 1) that depends on the columns' values only."""
     return F.shiftrightunsigned(F.xxhash64(*columns, F.lit(seed)), 11) * F.lit(2.0**-53)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from parapet.llm import chat, merkle, mixing, packing, pii, sharding, simhash, suffixes, toxicity, vectors
+from parapet.llm import chat, merkle, mixing, packing, pii, quality, sharding, simhash, suffixes, toxicity, vectors
 from parapet.llm.common import table
 
 REGISTRY = {}
@@ -126,6 +126,58 @@ def op10_shard(spark, folder):
     return sharding.shard(table(spark, folder, "documents"))
 
 
+@query(r"""
+    WITH docs AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents),
+    words AS (
+      SELECT k, unnest(ws) AS w, generate_subscripts(ws, 1) AS i
+      FROM (SELECT k, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM docs)
+    ), counts AS (SELECT k, count(*) AS n_words, sum(length(w)) AS word_chars FROM words GROUP BY k),
+    grams AS (
+      SELECT k, i, string_agg(w, ' ') OVER (PARTITION BY k ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS gram,
+             count(*) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS size FROM words
+    ), again AS (
+      SELECT k, i FROM grams WHERE size = 8 QUALIFY count(*) OVER (PARTITION BY k, gram) > 1
+    ), repeated AS (
+      SELECT k, sum(d) AS n_repeat_words
+      FROM (SELECT k, least(8, coalesce(lead(i) OVER (PARTITION BY k ORDER BY i) - i, 8)) AS d FROM again) GROUP BY k
+    ), lines AS (
+      SELECT k, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words, lower(line) AS low,
+             right(rtrim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || '"''”’»)]'), 1) AS last
+      FROM (SELECT k, unnest(string_split(text, chr(10))) AS line FROM docs)
+    ), judged AS (
+      SELECT *, CASE
+        WHEN words = 0 THEN NULL
+        WHEN words <= 30 AND (contains(low, 'all rights reserved') OR contains(low, 'licensed under')
+          OR contains(low, 'released under the') OR contains(low, 'cookie') OR contains(low, 'privacy policy')
+          OR contains(low, 'terms of use') OR contains(low, 'terms of service') OR contains(low, 'javascript')
+          OR contains(low, 'copyright') OR contains(low, '©') OR contains(low, 'lorem ipsum') OR contains(low, 'subscribe to'))
+          THEN 'boilerplate'
+        WHEN (len(regexp_extract_all(line, '[|»›•·>]')) >= 2 AND 4 * len(regexp_extract_all(line, '[|»›•·>]')) >= words)
+          OR regexp_matches(line, '(?i)^[ \t]*(home|next|previous|back to top|skip to (main )?content|read more|click here|menu|search|log ?in|sign (in|up)|share this|page [0-9]+( of [0-9]+)?)[ \t.!:»>]*$')
+          THEN 'navigation'
+        WHEN last = '' OR NOT contains('.!?…。！？', last) OR 3 * len(regexp_extract_all(line, '[#*$%&|<>]')) >= words
+          OR 3 * len(regexp_extract_all(line, '[!?][!?]')) >= words THEN 'punctuation'
+      END AS fault FROM lines
+    ), per_doc AS (
+      SELECT k, count(*) FILTER (words > 0) - count(DISTINCT line) FILTER (words > 0) AS n_dup_lines,
+             count(*) FILTER (fault = 'boilerplate') AS n_boilerplate_lines, count(*) FILTER (fault = 'navigation') AS n_navigation_lines,
+             count(*) FILTER (fault = 'punctuation') AS n_punctuation_lines, coalesce(sum(words) FILTER (fault IS NOT NULL), 0) AS n_lost_words
+      FROM judged GROUP BY k
+    ), base AS (
+      SELECT d.doc_id, coalesce(c.n_words, 0) AS n_words, CAST(coalesce(c.word_chars, 0) AS BIGINT) AS word_chars,
+             len(regexp_extract_all(d.text, '[#*$%&|<>]')) AS n_symbols, p.n_dup_lines, CAST(coalesce(r.n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
+             p.n_boilerplate_lines, p.n_navigation_lines, p.n_punctuation_lines, CAST(p.n_lost_words AS BIGINT) AS n_lost_words
+      FROM docs d JOIN per_doc p USING (k) LEFT JOIN counts c USING (k) LEFT JOIN repeated r USING (k)
+    )
+    SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+           NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 100 * n_lost_words < 50 * n_words AS kept
+    FROM base
+""")
+def op11_quality(spark, folder):
+    """Base figures of all documents, and which are kept after line-first cleaning."""
+    return quality.judge(table(spark, folder, "documents")).drop("cleaned")
+
+
 def queries():
     return {name: fn for name, (fn, _) in REGISTRY.items()}
 

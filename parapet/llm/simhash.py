@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from parapet.llm.common import in_tiles, stored, uniform
+from parapet.llm.common import fresh, in_tiles, stored, uniform
 from parapet.llm.components import components
 
 BITS = 64
@@ -225,24 +225,20 @@ def hex_print(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def first_of_groups(docs, named):
-    """The documents of which `named` (doc_id, __key, group) has the key first in a group, each once."""
-    key = F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("__key")
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key"))
-    kept = stored(named.groupBy("group").agg(first.alias("first")).select("first.__key"))
-    one = W.partitionBy("__key").orderBy("__key")
-    return (
-        docs.select("*", key).join(kept, "__key", "left_semi")
-        .withColumn("__n", F.row_number().over(one)).where("__n = 1").select(docs.columns)
-    )
-
-
 def representatives(docs, radius=RADIUS):
     """One document of each group stays: the one with the smallest doc_id (null last), all columns kept.
 
     Of rows repeated with the same doc_id and text one stays; of different texts with the
-    same smallest doc_id the one with the smaller hash.
+    same smallest doc_id the one with the smaller hash. Null texts are empty, an empty table
+    stays empty, and extra columns may have any names.
     """
-    key = F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("__key")
-    named = near_duplicates(docs.select("doc_id", "text", key), radius, ["__key"])
-    return first_of_groups(docs, named)
+    mine, nth = fresh("__key", docs), fresh("__n", docs)
+    key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+    named = near_duplicates(docs.select("doc_id", "text", key.alias("__key")), radius, ["__key"])
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key"))
+    kept = stored(named.groupBy("group").agg(first.alias("first")).select(F.col("first.__key").alias(mine)))
+    one = W.partitionBy(mine).orderBy(mine)
+    return (
+        docs.select("*", key.alias(mine)).join(kept, mine, "left_semi")
+        .withColumn(nth, F.row_number().over(one)).where(F.col(nth) == 1).select(docs.columns)
+    )

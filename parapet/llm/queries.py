@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from parapet.llm import chat, merkle, mixing, packing, pii, quality, sharding, simhash, suffixes, toxicity, vectors
+from parapet.llm import chat, merkle, mixing, packing, pii, quality, repair, sharding, simhash, suffixes, toxicity, vectors
 from parapet.llm.common import table
 
 REGISTRY = {}
@@ -178,6 +178,85 @@ def op11_quality(spark, folder):
     return quality.judge(table(spark, folder, "documents")).drop("cleaned")
 
 
+CRC_TABLE = """
+    crc_table AS (
+      SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)),
+               lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS steps
+    )"""
+
+
+def crc_sql(points):
+    """crc32 of a list of byte values in SQL; `steps` is the column of CRC_TABLE."""
+    return (
+        f"xor(list_reduce(list_concat([4294967295], {points}), "
+        "lambda c, b: xor(c >> 8, steps[CAST((xor(c, b) & 255) + 1 AS BIGINT)])), 4294967295)"
+    )
+
+
+@query(rf"""
+    WITH RECURSIVE {CRC_TABLE}, hurt AS (
+      SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+             {crc_sql("list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(unicode(x) AS BIGINT))")} % 20 AS f
+      FROM conversations, crc_table
+    ), damaged AS (
+      SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role,
+             CASE WHEN f = 1 THEN '' WHEN f = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+             unnest(CASE WHEN f = 3 THEN [1, 2] ELSE [1] END) AS time
+      FROM hurt WHERE f <> 0
+    ), placed AS (
+      SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged
+    ), rows AS (
+      SELECT *, left(role, 1) AS init, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS prior,
+             CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+                  WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                  WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' END AS fault
+      FROM placed
+    ), priced AS (
+      SELECT *, coalesce(fault IN ('blank', 'duplicate'), false) AS forced, CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END AS extra,
+             CASE WHEN init = 'u' THEN 'K' ELSE 'R' END AS eu, CASE WHEN init = 'a' THEN 'K' ELSE 'R' END AS ea,
+             CASE WHEN init = 'u' THEN 0 ELSE 2 END AS pu, CASE WHEN init = 'a' THEN 0 ELSE 2 END AS pa,
+             CASE WHEN init = 'u' THEN role ELSE 'user' END || ':' || text AS tu,
+             CASE WHEN init = 'a' THEN role ELSE 'assistant' END || ':' || text AS ta
+      FROM rows
+    ), far AS (SELECT {{'c': 1000000000000, 'a': '~', 'r': CAST([] AS VARCHAR[])}} AS x),
+    walk(conv_id, i, s0, s1, s2, s3) AS (
+      SELECT DISTINCT conv_id, CAST(0 AS BIGINT), {{'c': CAST(0 AS BIGINT), 'a': '', 'r': CAST([] AS VARCHAR[])}}, x, x, x FROM conversations, far
+      UNION ALL
+      SELECT w.conv_id, p.i,
+        {{'c': s0.c + 3, 'a': s0.a || 'D', 'r': s0.r}},
+        list_min([{{'c': s1.c + 3, 'a': s1.a || 'D', 'r': s1.r}}, CASE WHEN NOT forced AND init = 's'
+          THEN {{'c': s0.c + extra, 'a': s0.a || 'K', 'r': list_append(s0.r, role || ':' || text)}} ELSE x END]),
+        list_min([{{'c': s2.c + 3, 'a': s2.a || 'D', 'r': s2.r}},
+          CASE WHEN forced THEN x ELSE {{'c': s0.c + pu + extra, 'a': s0.a || eu, 'r': list_append(s0.r, tu)}} END,
+          CASE WHEN forced THEN x ELSE {{'c': s1.c + pu + extra, 'a': s1.a || eu, 'r': list_append(s1.r, tu)}} END,
+          CASE WHEN forced THEN x ELSE {{'c': s3.c + pu + extra, 'a': s3.a || eu, 'r': list_append(s3.r, tu)}} END,
+          CASE WHEN forced THEN x ELSE {{'c': s2.c + 2 + pu + extra, 'a': s2.a || 'I' || eu, 'r': list_concat(s2.r, ['assistant:', tu])}} END]),
+        list_min([{{'c': s3.c + 3, 'a': s3.a || 'D', 'r': s3.r}},
+          CASE WHEN forced THEN x ELSE {{'c': s2.c + pa + extra, 'a': s2.a || ea, 'r': list_append(s2.r, ta)}} END,
+          CASE WHEN forced THEN x ELSE {{'c': s0.c + 2 + pa + extra, 'a': s0.a || 'I' || ea, 'r': list_concat(s0.r, ['user:', ta])}} END,
+          CASE WHEN forced THEN x ELSE {{'c': s1.c + 2 + pa + extra, 'a': s1.a || 'I' || ea, 'r': list_concat(s1.r, ['user:', ta])}} END,
+          CASE WHEN forced THEN x ELSE {{'c': s3.c + 2 + pa + extra, 'a': s3.a || 'I' || ea, 'r': list_concat(s3.r, ['user:', ta])}} END])
+      FROM walk w JOIN priced p ON p.conv_id = w.conv_id AND p.i = w.i + 1, far
+    ), ended AS (
+      SELECT conv_id, list_min([s0, {{'c': s1.c + 4, 'a': s1.a || 'II', 'r': list_concat(s1.r, ['user:', 'assistant:'])}},
+                                {{'c': s2.c + 2, 'a': s2.a || 'I', 'r': list_append(s2.r, 'assistant:')}}, s3]) AS best
+      FROM walk QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1
+    ), counts AS (
+      SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+             count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+             count(*) FILTER (prior IS NOT NULL AND prior || init NOT IN ('su', 'ua', 'au')) AS illegal
+      FROM rows GROUP BY conv_id
+    )
+    SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+           coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, best.c AS cost, best.a AS audit,
+           sha256(coalesce(array_to_string(best.r, chr(10)), '')) AS repaired_sha256
+    FROM ended e LEFT JOIN counts c USING (conv_id)
+""")
+def op12_repair(spark, folder):
+    """All conversations damaged by a fixed rule, and their cheapest repairs."""
+    return repair.digest(table(spark, folder, "conversations"))
+
+
 def queries():
     return {name: fn for name, (fn, _) in REGISTRY.items()}
 

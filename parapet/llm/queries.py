@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from parapet.llm import chat, merkle, mixing, packing, pii, quality, repair, sharding, simhash, suffixes, toxicity, vectors
+from parapet.llm import chat, merkle, mixing, packing, pii, quality, repair, sharding, simhash, spelling, suffixes, toxicity, vectors
 from parapet.llm.common import table
 
 REGISTRY = {}
@@ -257,6 +257,40 @@ def op12_repair(spark, folder):
     return repair.digest(table(spark, folder, "conversations"))
 
 
+@query(rf"""
+    WITH RECURSIVE {CRC_TABLE}, runs AS (
+      SELECT doc_id, unnest(regexp_extract_all(translate(text, '{spelling.UPPER}', '{spelling.LOWER}'), '[a-z\x{{00C0}}-\x{{00FF}}]{{6,}}')) AS run FROM documents
+    ), hashed AS (
+      SELECT run, {crc_sql("flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [195, CAST(unicode(x) - 64 AS BIGINT)] END))")} AS h
+      FROM runs, crc_table
+    ), words AS (
+      SELECT word, count(*) AS n
+      FROM (SELECT CASE WHEN h % 199 = 0 THEN left(run, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word FROM hashed)
+      WHERE length(word) >= 6 GROUP BY word HAVING count(*) >= 5
+    ), cut AS (
+      SELECT word, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)
+    ), near AS (
+      SELECT a.word, b.word AS other FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+      UNION SELECT c.word, w.word FROM cut c JOIN words w ON w.word = c.rest
+      UNION SELECT w.word, c.word FROM cut c JOIN words w ON w.word = c.rest
+    ), best AS (
+      SELECT near.word, first(other ORDER BY w.n DESC, other) AS other, max(w.n) AS other_n, count(*) AS n_near
+      FROM near JOIN words w ON w.word = near.other GROUP BY near.word
+    ), formed AS (
+      SELECT w.word, CASE WHEN other_n >= 5 * w.n THEN other END AS form, w.n, coalesce(n_near, 0) AS n_near,
+             CASE WHEN other_n >= 5 * w.n THEN other_n END AS form_n
+      FROM words w LEFT JOIN best USING (word)
+    ), follow AS (
+      SELECT word, word AS root, 0 AS steps FROM formed
+      UNION ALL SELECT f.word, t.form, f.steps + 1 FROM follow f JOIN formed t ON t.word = f.root AND t.form IS NOT NULL
+    ), ends AS (SELECT word, arg_max(root, steps) AS root FROM follow GROUP BY word)
+    SELECT word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)
+""")
+def op13_spelling(spark, folder):
+    """Frequent words of all documents, their near words and the forms that they are variants of."""
+    return spelling.group_variants(table(spark, folder, "documents"))
+
+
 def queries():
     return {name: fn for name, (fn, _) in REGISTRY.items()}
 

@@ -31,7 +31,7 @@ def docs(tables):
 
 def test_one_query_per_operator():
     names = set(entry.queries())
-    assert "pipeline" in names and all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11))
+    assert "pipeline" in names and all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 14))
 
 
 @pytest.mark.parametrize("name", list(queries.oracle_sql()))

@@ -8,7 +8,8 @@ from parapet.functions import scalars as X
 _RANK = {S.ALLOWED: 1, S.INCOMPLETE: 2, S.BLOCKED: 3}
 
 
-def _rank(verdict):
+def verdict_rank(verdict):
+    """1 allowed, 2 incomplete or anything else, 3 blocked."""
     return F.coalesce(X.lookup(_RANK, verdict), F.lit(_RANK[S.INCOMPLETE]))
 
 
@@ -30,7 +31,7 @@ def fold_parts(df, keys, n="n", verdict="verdict", filters="filters", max_parts=
         F.transform(filters, lambda f: F.concat(F.lit("p"), n_col.cast("string"), F.lit(":"), f)), ","
     )
     folded = df.groupBy(*keys).agg(
-        F.max(F.when(is_part, _rank(F.col(verdict)))).alias("__rank"),
+        F.max(F.when(is_part, verdict_rank(F.col(verdict)))).alias("__rank"),
         F.count(n).alias("n_parts"),
         F.max(n_col).alias("__max_n"),
         F.collect_list(F.when(blocked, F.struct(n_col.alias("n"), label.alias("label")))).alias("__labels"),
@@ -52,7 +53,7 @@ def request_verdict(verdict, over_limit):
 
 def worst_verdict(verdict):
     """Aggregate of verdicts: blocked > incomplete > allowed, null for none."""
-    rank = F.max(F.when(verdict.isNotNull(), _rank(verdict)))
+    rank = F.max(F.when(verdict.isNotNull(), verdict_rank(verdict)))
     return F.when(rank.isNotNull(), _from_rank(rank))
 
 

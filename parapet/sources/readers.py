@@ -7,6 +7,7 @@ from pyspark.sql import functions as F, types as T
 
 from parapet import schemas, settings as S
 from parapet.operators import ledger, validate
+from parapet.sources import known, snapshots
 
 
 def read_table(spark, folder, name):
@@ -61,14 +62,31 @@ def _rows_or_none(spark, read):
         raise
 
 
-def read_ledger(spark, path, without_run=None):
-    """Stored ledger (run folders of parquet); no file yet is an empty ledger."""
-    found = _rows_or_none(spark, lambda: spark.read.schema(schemas.LEDGER).parquet(path))
-    if found is None:
+def read_runs(spark, path, runs):
+    """Rows of the given runs of a ledger."""
+    if not runs:
         return spark.createDataFrame([], schemas.LEDGER)
-    if without_run is not None:
-        found = found.where(F.col("run") != without_run)
-    return found.select([f.name for f in schemas.LEDGER.fields])
+    return spark.read.schema(schemas.LEDGER).parquet(*[f"{path}/{r['folder']}" for r in runs])
+
+
+def live_runs(spark, path, without_run=None):
+    return [r for r in snapshots.load(snapshots.Folder(spark, path))[1]["runs"] if r["name"] != without_run]
+
+
+def read_ledger(spark, path, without_run=None):
+    """Stored ledger: the runs of its newest list; no list yet is an empty ledger.
+
+    A reader that has resolved the list keeps its rows while others append or compact.
+    """
+    return read_runs(spark, path, live_runs(spark, path, without_run))
+
+
+def new_to_ledger(log, path, without_run=None):
+    """Rows of a log that the stored ledger does not have, as `ledger.new_entries`, reading only buckets that may know them."""
+    spark = log.sparkSession
+    asked = known.keys_of(log.select("id", "request_id", F.lit("asked").alias("source")))
+    local = known.known_keys(spark, path, live_runs(spark, path, without_run), asked)
+    return ledger.new_entries(log, known.as_local(local))
 
 
 def read_json_ledger(spark, path):

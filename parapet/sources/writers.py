@@ -6,47 +6,52 @@ from pyspark.sql import functions as F
 
 from parapet import schemas, settings as S
 from parapet.operators import ledger
-from parapet.sources import readers
+from parapet.sources import known, readers, snapshots
 
 
 def append_ledger(df, path, run=None):
-    """Add ledger rows as a run folder of their own; writing the same run again replaces it.
+    """Add ledger rows as a run; writing the same run again replaces it, one that was compacted stays as it is.
 
-    The rows are written to a hidden folder first and published by a rename, so readers see
-    all of a run or nothing of it, and a run that is replaced stays readable until then.
+    The run's folder, its keys and their filters are written first; one commit makes it visible.
     """
-    run = run or f"write-{uuid.uuid4()}"
-    staged = f"{path}/_staged/{uuid.uuid4()}"
-    df.select([f.name for f in schemas.LEDGER.fields]).write.parquet(staged)
-    _publish(df.sparkSession, staged, f"{path}/run={run}")
+    spark, folder = df.sparkSession, snapshots.Folder(df.sparkSession, path)
+    name = run or f"write~{uuid.uuid4().hex}"
+    if snapshots.is_covered(snapshots.load(folder)[1], name):
+        return
+    snapshots.commit(folder, snapshots.with_run(_written(spark, df, path, name)))
 
 
 def compact_ledger(spark, path, keep=S.LEDGER_KEEP):
-    """Retention: the newest `keep` rows (None: all) as one run; the runs that they come from go."""
-    runs = _run_folders(spark, path)
-    if not runs:
-        return
-    rows = readers.read_ledger(spark, path)
-    append_ledger(rows if keep is None else ledger.newest(rows, keep), path, f"kept-{uuid.uuid4()}")
-    for run in runs:
-        run.getFileSystem(spark._jsc.hadoopConfiguration()).delete(run, True)
-
-
-def _run_folders(spark, path):
-    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/run=*")
-    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
-    return [f.getPath() for f in found or []]
-
-
-def _publish(spark, staged, target):
-    at = spark._jvm.org.apache.hadoop.fs.Path
-    fs = at(target).getFileSystem(spark._jsc.hadoopConfiguration())
-    replaced = at(f"{staged}-replaced")
-    if fs.exists(at(target)):
-        fs.rename(at(target), replaced)
-    if not fs.rename(at(staged), at(target)):
-        raise OSError(f"{target} could not be published")
-    fs.delete(replaced, True)
+    """Retention: the newest `keep` rows (None: all) as one run in place of the runs that they come from.
+
+    Runs that are added meanwhile stay; if one is replaced meanwhile, it is done again. The
+    old folders stay for their readers until `vacuum_ledger`.
+    """
+    folder = snapshots.Folder(spark, path)
+    while True:
+        base = snapshots.load(folder)[1]["runs"]
+        if not base:
+            return
+        rows = readers.read_runs(spark, path, base)
+        run = _written(spark, rows if keep is None else ledger.newest(rows, keep), path, f"kept~{uuid.uuid4().hex}")
+        try:
+            snapshots.commit(folder, snapshots.with_compacted(base, run))
+            return
+        except snapshots.Conflict:
+            continue
+
+
+def vacuum_ledger(spark, path, older_than_seconds=7 * 24 * 3600):
+    """Delete what no reader of a list that young can need: replaced and compacted runs, and writes that were never committed."""
+    snapshots.vacuum(snapshots.Folder(spark, path), older_than_seconds)
+
+
+def _written(spark, df, path, name):
+    place = f"run={name}~{uuid.uuid4().hex}"
+    df.select([f.name for f in schemas.LEDGER.fields]).write.parquet(f"{path}/{place}")
+    rows = spark.read.schema(schemas.LEDGER).parquet(f"{path}/{place}")
+    slices = known.write_keys(spark, rows, f"{path}/_keys/{place}", f"{path}/_filters/{place}")
+    return {"name": name, "folder": place, "slices": slices}
 
 
 def allowed_only(items, verdicts, keys):

@@ -6,7 +6,7 @@ from parapet import settings as S
 from parapet.functions import detect as D
 from parapet.operators import ledger as L, validate
 from parapet.session import checkpoint_dir
-from parapet.sources.readers import read_ledger
+from parapet.sources.readers import new_to_ledger
 from parapet.sources.writers import append_ledger
 
 
@@ -75,13 +75,13 @@ def audit_sink(rows, path, name, trigger=None):
 def merge_sink(log, path, name, trigger=None):
     """Merge each batch of log rows into the stored ledger; known rows are left out.
 
-    A repeated batch does not read the run it is about to rewrite.
+    Of the ledger only the key buckets are read that may hold one of the batch's ids. A
+    repeated batch does not look into the run that it is about to rewrite.
     """
 
     def write(batch, batch_id):
         run = f"{name}-{batch_id}"
-        stored = read_ledger(batch.sparkSession, path, without_run=run)
-        append_ledger(L.new_entries(batch.dropDuplicates(["id"]), stored), path, run)
+        append_ledger(new_to_ledger(batch.dropDuplicates(["id"]), path, without_run=run), path, run)
 
     return _start(log, name, write, trigger)
 

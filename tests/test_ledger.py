@@ -183,4 +183,7 @@ def test_runs_are_published_whole_and_compacted(spark, tmp_path):
     assert sorted(r.id for r in readers.read_ledger(spark, path).collect()) == ["id3", "id4", "id5"]
     writers.compact_ledger(spark, path, keep=2)
     assert sorted(r.id for r in readers.read_ledger(spark, path).collect()) == ["id4", "id5"]
+    assert len(readers.live_runs(spark, path)) == 1
+    writers.vacuum_ledger(spark, path, 0)
     assert len([p for p in os.listdir(path) if p.startswith("run=")]) == 1
+    assert sorted(r.id for r in readers.read_ledger(spark, path).collect()) == ["id4", "id5"]

@@ -44,6 +44,11 @@ def matches(text, rule):
     return F.contains(text, F.lit(_CONTAINS[rule])) & found if rule in _CONTAINS else found
 
 
+def may_contain(text, rule):
+    """Whether a text holds what every match of the rule must contain; true where nothing is known."""
+    return F.contains(text, F.lit(_CONTAINS[rule])) if rule in _CONTAINS else text.isNotNull()
+
+
 def type_pattern(info_type, pattern):
     return _LINEAR_FORMS.get(info_type, pattern)
 

@@ -19,6 +19,11 @@ def computed_once(df, *names, **values):
     return df.select(*rest, F.inline(F.array(F.struct(*fixed))))
 
 
+def let(value, body):
+    """body(value) with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def empty_strings():
     return F.expr(EMPTY_STRINGS)
 

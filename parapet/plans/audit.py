@@ -147,7 +147,7 @@ def _log_entries(spark, folder):
     )
 
 
-def _local_and_log(spark, folder):
+def local_and_log(spark, folder):
     """Purchases were recorded by the gateway itself, sign-ups were merged from the log before."""
     entries = _log_entries(spark, folder)
     log = L.from_log(entries.select("insertId", "timestamp", "jsonPayload"))
@@ -158,7 +158,7 @@ def _local_and_log(spark, folder):
     return local.withColumn("source", F.when(F.startswith("id", F.lit("ui-")), "ui").otherwise(F.col("source"))), log
 
 
-_LOG = """
+LOG_SQL = """
   entry AS (
     SELECT event_id, event_type, ts, json_extract_string(props, '$.k') AS k, 'user' || user_id AS scenario_id,
            CAST(round(value) AS BIGINT) AS ms,
@@ -176,24 +176,24 @@ _LOG = """
     SELECT * FROM log WHERE id IS NOT NULL
       AND id NOT IN (SELECT id FROM local WHERE id IS NOT NULL)
       AND request_id NOT IN (SELECT request_id FROM local WHERE source <> 'external-log'))"""
-_MERGED_COLS = f"""coalesce(id, 'none') AS id, {_TS} AS ts, scenario_id, filters, CAST(http_status AS BIGINT) AS http_status,
+MERGED_COLUMNS_SQL = f"""coalesce(id, 'none') AS id, {_TS} AS ts, scenario_id, filters, CAST(http_status AS BIGINT) AS http_status,
        verdict, CAST(coalesce(latency_ms, 0) AS BIGINT) AS latency_ms, source, request_id"""
 
 
-def _merged_columns(df):
+def merged_columns(df):
     return df.select(
         F.coalesce("id", F.lit("none")).alias("id"), _ts(), "scenario_id", "filters", _long("http_status"), "verdict",
         F.coalesce("latency_ms", F.lit(0)).cast("bigint").alias("latency_ms"), "source", "request_id",
     )
 
 
-@query(f"WITH {_LOG} SELECT {_MERGED_COLS} FROM (SELECT * FROM local UNION ALL SELECT * FROM fresh)")
+@query(f"WITH {LOG_SQL} SELECT {MERGED_COLUMNS_SQL} FROM (SELECT * FROM local UNION ALL SELECT * FROM fresh)")
 def audit_sync_events(spark, folder):
     """The whole log merged into the whole ledger."""
-    return _merged_columns(L.merge_log(*_local_and_log(spark, folder)))
+    return merged_columns(L.merge_log(*local_and_log(spark, folder)))
 
 
-_PULLED = _LOG.replace(
+_PULLED = LOG_SQL.replace(
     "FROM log WHERE id IS NOT NULL",
     f"FROM (SELECT * FROM log ORDER BY ts DESC, id LIMIT {S.LOG_PULL}) WHERE id IS NOT NULL",
 )
@@ -202,12 +202,12 @@ _PULLED = _LOG.replace(
 @query(f"""
 WITH {_PULLED}, kept AS (
   SELECT * FROM (SELECT * FROM local UNION ALL SELECT * FROM fresh) ORDER BY ts DESC, id LIMIT {S.LEDGER_KEEP})
-SELECT {_MERGED_COLS} FROM kept
+SELECT {MERGED_COLUMNS_SQL} FROM kept
 """)
 def audit_sync_newest(spark, folder):
     """A refresh: the newest 30 log entries, then the newest 500 rows kept."""
-    local, log = _local_and_log(spark, folder)
-    return _merged_columns(L.newest(L.merge_log(local, log, pull=S.LOG_PULL)))
+    local, log = local_and_log(spark, folder)
+    return merged_columns(L.newest(L.merge_log(local, log, pull=S.LOG_PULL)))
 
 
 # --- events in time -------------------------------------------------------------------------------

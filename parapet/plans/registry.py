@@ -1,6 +1,6 @@
 """All registered queries and their SQL."""
 
-from parapet.plans import audit, records, requests, screening  # noqa: F401  (registers their queries)
+from parapet.plans import arrivals, audit, records, requests, screening  # noqa: F401  (registers their queries)
 from parapet.plans.common import REGISTRY
 
 

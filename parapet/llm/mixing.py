@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from parapet.llm.common import WORD, match, numbered, place, stored, uniform
+from parapet.llm.common import WORD, fresh, match, numbered, place, stored, uniform
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -73,22 +73,15 @@ def size_documents(docs):
 def mixed_documents(docs, **options):
     """The mixed corpus: each document as often as the mix takes it, all columns kept.
 
-    A document at a cut comes whole or not, whichever is nearer; no text is cut.
-    Repeats of a row are repeats in the result.
+    A document at a cut comes whole or not, whichever is nearer; no text is cut. Rows repeated
+    with one doc_id and text come as often as the mix takes them together, in the form of one
+    of them. Null texts and an empty table give nothing; extra columns may have any names.
     """
+    mine, copies, rows, copy = (fresh(n, docs) for n in ("__key", "__copies", "__rows", "__copy"))
     key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
-    counted = docs.withColumn("__key", key)
     taken = mix(size_documents(docs), **options)
-    # One count a key: repeated rows share a key and the copies that it takes.
-    copies = stored(
-        taken.groupBy(F.col("row_key").alias("__key")).agg(
-            F.sum(F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0)).cast("int").alias("__copies"),
-            F.count(F.lit(1)).cast("int").alias("__rows"),
-        )
-    )
-    each = F.ceil(F.col("__copies") / F.col("__rows")).cast("int")
-    return (
-        counted.join(copies, "__key").where("__copies > 0")
-        .withColumn("__copy", F.explode(F.sequence(F.lit(1), each)))
-        .select(docs.columns)
-    )
+    wanted = F.round(F.sum(F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0))).cast("int")
+    counts = stored(taken.groupBy(F.col("row_key").alias(mine)).agg(wanted.alias(copies), F.count(F.lit(1)).alias(rows)).where(F.col(copies) > 0))
+    joined = docs.withColumn(mine, key).join(counts, mine)
+    each = joined.where(F.col(rows) == 1).unionByName(joined.where(F.col(rows) > 1).dropDuplicates([mine]))
+    return each.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(docs.columns)

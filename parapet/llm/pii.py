@@ -2,12 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from parapet.llm.common import stored
+from parapet.llm.common import fresh, stored
 
 # The contract's patterns, in a form that is linear on long runs. A match can
 # start only where a run starts or where the match before it ended (\G), since a run that
-# fails from its start fails from any later place.
-EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
+# fails from its start fails from any later place. Repeated groups never give back, which Java runs without recursion.
+EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
@@ -67,7 +67,7 @@ def _before(gap):
 
 def _spans(matches, number, check=None):
     """Spans of the matches {gaps, found}: the pieces between matches give the positions (code points)."""
-    fresh = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
 
     def step(a, pair):
         start = a["at"] + F.length(pair["gap"])
@@ -82,7 +82,7 @@ def _spans(matches, number, check=None):
         F.slice(matches["gaps"], 1, F.size(matches["found"])), matches["found"],
         lambda g, v: F.struct(g.alias("gap"), v.alias("value")),
     )
-    spans = F.aggregate(pairs, fresh, step, lambda a: a["spans"])
+    spans = F.aggregate(pairs, begin, step, lambda a: a["spans"])
     spans = F.filter(spans, lambda s: check(s["value"])) if check else spans
     return F.coalesce(spans, F.array().cast(f"array<{SPAN}>"))
 
@@ -186,12 +186,13 @@ def redacted(docs):
 
     Overlapping spans become one, named after the first kind.
     """
+    mine, spans = fresh("__key", docs), fresh("__spans", docs)
     key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
     found = find(docs.select("text", key.alias("__key")), ["__key"])
-    found = stored(found.where(F.size("spans") > 0).groupBy("__key").agg(F.first("spans").alias("__spans")))
-    joined = docs.withColumn("__key", key).join(found, "__key", "left")
-    ordered = F.array_sort(F.col("__spans"), lambda a, b: (a["start"] * 8 + a["kind"] - b["start"] * 8 - b["kind"]).cast("int"))
-    fresh = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    found = stored(found.where(F.size("spans") > 0).groupBy(F.col("__key").alias(mine)).agg(F.first("spans").alias(spans)))
+    joined = docs.withColumn(mine, key).join(found, mine, "left")
+    ordered = F.array_sort(F.col(spans), lambda a, b: (a["start"] * 8 + a["kind"] - b["start"] * 8 - b["kind"]).cast("int"))
+    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     text = F.col("text")
 
@@ -200,7 +201,7 @@ def redacted(docs):
         mark = F.when(s["start"] >= a["at"], F.get(names, s["kind"])).otherwise("")
         return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["out"], gap, mark).alias("out"))
 
-    clean = F.aggregate(ordered, fresh, step, lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1)))
+    clean = F.aggregate(ordered, begin, step, lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1)))
     joined = joined.withColumn("text", F.coalesce(clean, text))
     if "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

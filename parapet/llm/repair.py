@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from parapet.llm.common import match, stored
+from parapet.llm.common import stored
 from parapet.llm.simhash import whole_tiles
 
 STATES = 4
@@ -182,7 +182,7 @@ def _borders(batches):
 
 
 def _edits(batches):
-    """What happens to each row; a piece's first row here is its header with the states around it."""
+    """What happens to each row, without its text; a piece's first row here is its header with the states around it."""
     steps = [row_edits(kind) for kind in range(FORCED + 1)]
     for t in whole_tiles(batches, ["__part", "conv"]):
         head = _numbers(t, "head")
@@ -194,13 +194,13 @@ def _edits(batches):
         found = [steps[k][s, e] for k, s, e in zip(kind.tolist(), before.tolist(), after.tolist())]
         final = np.append(owner[1:] != owner[:-1], True)
         tails = np.where(final, np.array(t.column("tail").to_pylist(), dtype=object)[head][owner], "")
-        columns = [body.column(c).combine_chunks() for c in ("conv", "__at", "copies", "role", "text")]
+        columns = [body.column(c).combine_chunks() for c in ("conv", "__at")]
         columns += [pa.array([f[i] for f in found], pa.int64() if i == 0 else pa.string()) for i in range(4)]
         yield pa.RecordBatch.from_arrays([*columns, pa.array(tails.tolist(), pa.string())], EDITED)
 
 
-EDITED = ["conv", "__at", "copies", "role", "text", "cost", "edits", "lead", "to", "tail"]
-EDITED_TYPES = "conv string, __at bigint, copies bigint, role string, text string, cost bigint, edits string, lead string, to string, tail string"
+EDITED = ["conv", "__at", "cost", "edits", "lead", "to", "tail"]
+EDITED_TYPES = "conv string, __at bigint, cost bigint, edits string, lead string, to string, tail string"
 
 
 def conversation_key(conv_id):
@@ -208,39 +208,44 @@ def conversation_key(conv_id):
 
 
 def sorted_rows(turns):
-    """Rows by conversation, turn (null first), role and text, each with its first fault, in range partitions.
+    """Rows by conversation, turn (null first), role and text in range partitions; equal rows are one row with a count.
 
-    Equal rows are one row with a count, made before anything is shuffled; so is the search
-    for an earlier row of the same role and text. Adds __at (place), __part and kind.
+    Equal rows meet before anything is shuffled. Adds __at (place), __part, and what the
+    steps without texts need: a hash of role and text, whether the text is blank or truncated, the role's initial.
     """
     blank = lambda c: F.coalesce(c, F.lit(" "))
     rows = turns.select(
-        conversation_key(F.col("conv_id")).alias("conv"), F.col("turn").cast("bigint").alias("turn"),
+        "conv_id", conversation_key(F.col("conv_id")).alias("conv"), F.col("turn").cast("bigint").alias("turn"),
         blank(F.col("role")).alias("role"), blank(F.col("text")).alias("text"),
-    ).groupBy("conv", "turn", "role", "text").agg(F.count(F.lit(1)).alias("copies"))
-    firsts = rows.groupBy("conv", "role", "text").agg(F.min(F.struct(F.col("turn").isNotNull(), "turn")).alias("first"))
-    seen = match(rows, firsts, ["conv", "role", "text"])
+    ).groupBy("conv_id", "conv", "turn", "role", "text").agg(F.count(F.lit(1)).alias("copies"))
     bare = F.rtrim("text", F.lit(" \t\n\x0b\x0c\r"))
-    repeated = ~F.col("first.turn").eqNullSafe(F.col("turn"))
-    fault = F.when(bare == "", "blank").when(repeated, "duplicate").when(~F.contains(F.lit(".!?"), F.right(bare, F.lit(1))), "truncated")
     letter = F.left("role", F.lit(1))
     initial = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(x) for x in INITIALS[:-1]]), letter), F.lit(0)) - 1, F.lit(len(INITIALS) - 1))
-    marked = stored(seen.select("conv", "turn", "role", "text", "copies", fault.alias("fault"), initial.cast("int").alias("initial")))
     # Range borders pass the driver, so they hold the beginnings of texts only, in the same order.
     short = F.when(F.length("role") < 64, F.left("text", F.lit(64))).otherwise("")
-    order = ["conv", "turn", "role", "text"]
-    dealt = marked.repartitionByRange("conv", "turn", F.left("role", F.lit(64)), short).sortWithinPartitions(*order)
+    dealt = rows.repartitionByRange("conv", "turn", F.left("role", F.lit(64)), short).sortWithinPartitions("conv", "turn", "role", "text")
+    return stored(dealt.select(
+        "*", F.monotonically_increasing_id().alias("__at"), F.unhex(F.sha2(F.concat_ws(":", F.length("role"), "role", "text"), 256)).alias("same"),
+        (bare == "").alias("blank"), (~F.contains(F.lit(".!?"), F.right(bare, F.lit(1)))).alias("open"), initial.cast("int").alias("initial"),
+    ).withColumn("__part", F.shiftright("__at", 33)))
+
+
+def faults_of(rows):
+    """(conv, __part, __at, initial, copies, fault, kind) of the rows: the first fault of each and its kind, without texts.
+
+    A duplicate is a row behind the first of its conversation with the same role and text,
+    which is found by an aggregation that starts before the shuffle.
+    """
+    light = rows.select("conv", "__part", "__at", "initial", "copies", "same", "blank", "open")
+    firsts = light.groupBy("conv", "same").agg(F.min("__at").alias("first"))
+    fault = F.when(F.col("blank"), "blank").when(F.col("first") < F.col("__at"), "duplicate").when(F.col("open"), "truncated")
     kind = F.when(F.col("fault").isin("blank", "duplicate"), FORCED).otherwise(2 * F.col("initial") + (F.coalesce("fault", F.lit("")) == "truncated").cast("int"))
-    return stored(
-        dealt.withColumn("__at", F.monotonically_increasing_id())
-        .withColumn("__part", F.shiftright("__at", 33)).withColumn("kind", kind.cast("int"))
-    )
+    return stored(light.join(firsts, ["conv", "same"]).select("conv", "__part", "__at", "initial", "copies", fault.alias("fault")).withColumn("kind", kind.cast("int")))
 
 
-def borders(rows):
+def borders(faults):
     """States around each piece (__part, conv) of the conversations."""
-    light = rows.select("__part", "conv", "__at", "kind", "initial", "copies")
-    pieces = light.repartition("__part", "conv").sortWithinPartitions("__part", "conv", "__at").mapInArrow(
+    pieces = faults.repartition("__part", "conv").sortWithinPartitions("__part", "conv", "__at").mapInArrow(
         _summaries, "__part bigint, conv string, ways array<bigint>, first int, last int, illegal bigint"
     )
     return pieces.repartition("conv").sortWithinPartitions("conv", "__part").mapInArrow(
@@ -248,19 +253,17 @@ def borders(rows):
     )
 
 
-def edit(rows, ends):
-    """Each row's edits: (conv, __at, copies, role, text, cost, edits, lead, to, tail).
+def edit(faults, ends):
+    """Each row's edits: (conv, __at, cost, edits, lead, to, tail).
 
     lead and tail are the initials of rows inserted before and (at the very end) after it, `to` its new role's.
     """
     fill = lambda c, kind, value=None: F.lit(value).cast(kind).alias(c)
-    body = rows.select(
-        "__part", "conv", F.lit(False).alias("head"), "__at", "kind", "copies", "role", "text",
-        fill("before", "bigint", 0), fill("after", "bigint", 0), fill("tail", "string", ""),
+    body = faults.select(
+        "__part", "conv", F.lit(False).alias("head"), "__at", "kind", fill("before", "bigint", 0), fill("after", "bigint", 0), fill("tail", "string", ""),
     )
     heads = ends.select(
-        "__part", "conv", F.lit(True).alias("head"), fill("__at", "bigint", -1), fill("kind", "int", 0), fill("copies", "bigint", 0),
-        fill("role", "string"), fill("text", "string"), "before", "after", "tail",
+        "__part", "conv", F.lit(True).alias("head"), fill("__at", "bigint", -1), fill("kind", "int", 0), "before", "after", "tail",
     )
     both = body.unionByName(heads).repartition("__part", "conv").sortWithinPartitions("__part", "conv", F.desc("head"), "__at")
     return both.mapInArrow(_edits, EDITED_TYPES)
@@ -272,41 +275,56 @@ def repair(turns):
     Null roles and texts are one space; null conv_ids are one conversation; rows of the same turn are ordered by role and
     text, equal rows are adjacent; an empty table gives no rows; other columns do not matter.
     repaired is the rows as an array in order. A conversation is one row of the result, so its
-    texts are held in one place by its nature; up to there it is spread over the range partitions.
+    texts are held in one place by its nature; up to there it is spread over the range
+    partitions. Texts are shuffled three times (equal rows, sorting, result), all else is without them.
     """
     rows = sorted_rows(turns)
-    ends = stored(borders(rows))
-    done = edit(rows, ends)
-    extra = F.col("copies") - 1
-    inserted = lambda c: F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.concat(
-        F.when(x == "u", NAMES["u"]).otherwise(NAMES["a"]), F.lit(":")
-    ))
-    own = F.when(F.endswith(F.col("edits"), F.lit("D")), F.array().cast("array<string>")).otherwise(F.array(F.concat(
-        F.when(F.col("to") == "u", NAMES["u"]).when(F.col("to") == "a", NAMES["a"]).otherwise(F.col("role")), F.lit(":"), F.col("text")
-    )))
-    piece = F.struct(
-        "__at", F.concat("edits", F.repeat(F.lit("D"), extra.cast("int")), F.regexp_replace("tail", ".", "I")).alias("audit"),
-        F.concat(inserted(F.col("lead")), own, inserted(F.col("tail"))).alias("rows"),
+    faults = faults_of(rows)
+    ends = stored(borders(faults))
+    # One grouping gathers texts, faults, edits and borders; each row sets its own columns only.
+    shapes = {
+        "row": rows.select("conv", F.struct("__at", "conv_id", "turn", "role", "text", "copies").alias("x")),
+        "fault": faults.select("conv", F.struct("__at", "fault").alias("x")),
+        "step": edit(faults, ends).select("conv", F.struct("__at", "cost", "edits", "lead", "to", "tail").alias("x")),
+        "illegal": ends.select("conv", F.col("illegal").alias("x")),
+    }
+    kinds = {name: df.schema["x"].dataType.simpleString() for name, df in shapes.items()}
+    sides = [df.select("conv", *[(F.col("x") if n == name else F.lit(None).cast(k)).alias(n) for n, k in kinds.items()]) for name, df in shapes.items()]
+    gathered = functools.reduce(lambda a, b: a.unionByName(b), sides).groupBy("conv").agg(
+        F.sum("illegal").alias("illegal"), *[F.sort_array(F.collect_list(n)).alias(f"{n}s") for n in ("row", "fault", "step")]
     )
-    price = F.col("cost") + DELETE * extra + INSERT * F.length("tail")
-    solved = done.groupBy("conv").agg(F.sum(price).alias("cost"), F.sort_array(F.collect_list(piece)).alias("pieces"))
-    count = lambda name, n: F.sum(F.when(F.col("fault") == name, n).otherwise(0)).alias(name)
-    later = F.when(F.col("fault").isNull() | (F.col("fault") == "truncated"), extra).otherwise(0)
-    span = F.try_subtract(F.max("turn"), F.min("turn"))
-    faults = rows.groupBy("conv").agg(
-        F.coalesce(span + 1 - F.count_distinct("turn"), F.lit(0)).alias("gaps"),
-        count("blank", F.col("copies")), (F.sum(later) + F.sum(F.when(F.col("fault") == "duplicate", F.col("copies")).otherwise(0))).alias("duplicate"),
-        count("truncated", F.lit(1)),
-    )
-    illegal = ends.groupBy("conv").agg(F.sum("illegal").alias("illegal"))
-    names = turns.select("conv_id").distinct().withColumn("conv", conversation_key(F.col("conv_id")))
-    return names.join(faults, "conv").join(illegal, "conv").join(solved, "conv").select(
-        "conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost",
+    pieces = F.zip_with("rows", F.zip_with("faults", "steps", lambda f, e: F.struct(f["fault"].alias("fault"), e.alias("e"))), _piece)
+    solved = gathered.select("illegal", "rows", F.inline(F.array(F.struct(pieces.alias("pieces")))))
+    total = lambda value: F.aggregate(F.transform("pieces", value), F.lit(0).cast("bigint"), lambda a, b: a + b)
+    turns_ = F.filter(F.transform("rows", lambda r: r["turn"]), lambda t: t.isNotNull())
+    span = F.try_subtract(F.array_max(turns_), F.array_min(turns_))
+    count = lambda name, n: total(lambda p: F.when(F.coalesce(p["fault"] == name, F.lit(False)), n(p)).otherwise(0).cast("bigint"))
+    later = total(lambda p: F.when(F.coalesce(p["fault"].isin("blank", "duplicate"), F.lit(False)), 0).otherwise(p["copies"] - 1).cast("bigint"))
+    return solved.select(
+        F.col("rows")[0]["conv_id"].alias("conv_id"), F.coalesce(span + 1 - F.size(F.array_distinct(turns_)), F.lit(0)).alias("gaps"),
+        count("blank", lambda p: p["copies"]).alias("blank"), (count("duplicate", lambda p: p["copies"]) + later).alias("duplicate"),
+        count("truncated", lambda p: F.lit(1)).alias("truncated"), "illegal", total(lambda p: p["cost"]).alias("cost"),
         F.array_join(F.transform("pieces", lambda p: p["audit"]), "").alias("audit"),
         F.flatten(F.transform("pieces", lambda p: p["rows"])).alias("repaired"),
     )
 
 
+def _piece(row, found):
+    """What one row of the input (and its equals) adds to the audit, the cost and the repaired rows."""
+    step, extra = found["e"], row["copies"] - 1
+    inserted = lambda c: F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.concat(
+        F.when(x == "u", NAMES["u"]).otherwise(NAMES["a"]), F.lit(":")
+    ))
+    role = F.when(step["to"] == "u", NAMES["u"]).when(step["to"] == "a", NAMES["a"]).otherwise(row["role"])
+    own = F.when(F.endswith(step["edits"], F.lit("D")), F.array().cast("array<string>")).otherwise(F.array(F.concat(role, F.lit(":"), row["text"])))
+    return F.struct(
+        found["fault"].alias("fault"), row["copies"].alias("copies"),
+        (step["cost"] + DELETE * extra + INSERT * F.length(step["tail"])).cast("bigint").alias("cost"),
+        F.concat(step["edits"], F.repeat(F.lit("D"), extra.cast("int")), F.regexp_replace(step["tail"], ".", "I")).alias("audit"),
+        F.concat(inserted(step["lead"]), own, inserted(step["tail"])).alias("rows"),
+    )
+
+
 def damage(turns):
     """The rows with faults put in, by crc32 of `conv_id:turn` modulo 20; nulls become one space."""
     blank = lambda c: F.coalesce(F.col(c), F.lit(" "))
@@ -321,10 +339,12 @@ def damage(turns):
 
 def digest(turns):
     """Damaged conversations repaired, one row for each original conv_id; one without rows left has zeros and empty texts."""
-    fixed = repair(damage(turns)).withColumn("conv", conversation_key(F.col("conv_id"))).drop("conv_id")
     counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    fixed = repair(damage(turns)).select(
+        conversation_key(F.col("conv_id")).alias("conv"), *counts, "audit", F.sha2(F.array_join("repaired", "\n"), 256).alias("hash")
+    )
     whole = turns.select("conv_id").distinct().withColumn("conv", conversation_key(F.col("conv_id")))
     return whole.join(fixed, "conv", "left").select(
         "conv_id", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in counts], F.coalesce("audit", F.lit("")).alias("audit"),
-        F.sha2(F.coalesce(F.array_join("repaired", "\n"), F.lit("")), 256).alias("repaired_sha256"),
+        F.coalesce("hash", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
     )

@@ -1,7 +1,10 @@
 """Readers. Bad rows are marked or empty, never a failed job."""
 
+import io
 import os
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F, types as T
 
@@ -104,9 +107,51 @@ def read_gateway_log(spark, path, limit=S.LOG_PULL, fields=schemas.LOG_FIELDS):
     """Newest entries of an outside log of JSON lines as ledger rows; limit=None takes all."""
     entries = spark.read.schema(schemas.LOG_ENTRY).json(path)
     if limit is not None:
-        entries = entries.orderBy(F.col("timestamp").desc_nulls_last()).limit(limit)
+        # By time, not by text: offsets and fractions are written in several ways. Ties have one order.
+        at = F.col("timestamp").try_cast("timestamp")
+        entries = entries.orderBy(at.desc_nulls_last(), F.col("insertId").asc_nulls_last()).limit(limit)
     return ledger.from_log(entries, fields)
 
 
+def read_delimited_checked(spark, path, schema=schemas.INVENTORY):
+    """(good rows, bad lines as they are) of comma-separated lines; one that does not fit the schema is not nulled. Header lines go."""
+    wide = T.StructType([*schema.fields, T.StructField("bad_line", T.StringType())])
+    lines = spark.read.text(path).where((F.trim("value") != "") & (F.regexp_replace("value", '[" ]', "") != ",".join(schema.names)))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad_line"}
+    rows = lines.select(F.from_csv("value", wide.toDDL(), options).alias("row")).select("row.*")
+    return rows.where("bad_line is null").drop("bad_line"), rows.where("bad_line is not null").select("bad_line")
+
+
+def _unreadable(frames):
+    for frame in frames:
+        problems = []
+        for content in frame["content"]:
+            try:
+                for _ in pq.ParquetFile(io.BytesIO(content)).iter_batches(batch_size=4096):
+                    pass
+                problems.append(None)
+            except (pa.ArrowException, OSError) as error:
+                problems.append(type(error).__name__)
+        yield frame.assign(problem=problems)[["path", "length", "problem"]]
+
+
+def read_ledger_checked(spark, path):
+    """(rows of readable files, unreadable files) of a stored ledger; a damaged file costs its own rows and is named.
+
+    Every file is opened on the executors; only the names of damaged ones come back.
+    """
+    runs = live_runs(spark, path)
+    if not runs:
+        return spark.createDataFrame([], schemas.LEDGER), spark.createDataFrame([], "path string, length bigint, problem string")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load([f"{path}/{r['folder']}" for r in runs])
+    checked = files.select("path", "length", "content").mapInPandas(_unreadable, "path string, length bigint, problem string")
+    bad = checked.where("problem is not null").collect()
+    found = spark.createDataFrame([tuple(r) for r in bad], "path string, length bigint, problem string")
+    names = [r["path"].rsplit("/", 1)[1] for r in bad]
+    rows = spark.read.schema(schemas.LEDGER).option("ignoreCorruptFiles", "true").parquet(*[f"{path}/{r['folder']}" for r in runs])
+    good = rows.where(~F.col("_metadata.file_name").isin(names)) if names else rows
+    return good.select([f.name for f in schemas.LEDGER.fields]), found
+
+
 def read_delimited(spark, path, schema=schemas.INVENTORY):
     return spark.read.schema(schema).option("header", "true").option("enforceSchema", "false").csv(path)

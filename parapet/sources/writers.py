@@ -62,6 +62,7 @@ def allowed_only(items, verdicts, keys):
     return items.join(passed, keys).select(items.columns)
 
 
-def write_forwarded(df, path, keys, payload="payload"):
-    """Write the rebuilt payloads of rows whose verdict is allowed, as JSON lines."""
-    df.where(F.col("verdict") == S.ALLOWED).select(*keys, payload).write.mode("append").json(path)
+def write_forwarded(df, path, keys, payload="payload", run=None):
+    """Write the rebuilt payloads of rows whose verdict is allowed, as JSON lines, in a run folder; a repeated run replaces its own."""
+    passed = df.where(F.col("verdict") == S.ALLOWED).select(*keys, payload)
+    passed.write.mode("overwrite").json(f"{path}/run={run or uuid.uuid4().hex}")

@@ -1,5 +1,6 @@
 """Streaming forms. They reuse the batch functions; only time handling is added."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from parapet import settings as S
@@ -86,6 +87,40 @@ def merge_sink(log, path, name, trigger=None):
     return _start(log, name, write, trigger)
 
 
+def split_late(rows, path, name, ts="ts", delay="1 hour", trigger=None):
+    """Rows split by the watermark before anything keeps state: `path`/on_time, `path`/late and `path`/marks.
+
+    A row is late if it is older than the newest row of the earlier batches less `delay`, the
+    rule by which a stateful operator would drop it unseen. marks has one row per batch: how
+    many came in time and late, and the newest time. A repeated batch replaces its own folders
+    and sees the same marks. Rows without a time are in time.
+    """
+
+    def write(batch, batch_id):
+        spark = batch.sparkSession
+        earlier = stored_batches(spark, path, "marks", "batch bigint, n_on_time bigint, n_late bigint, newest timestamp")
+        limit = earlier.where(F.col("batch") < batch_id).agg((F.max("newest") - F.expr(f"INTERVAL {delay}")).alias("at")).first()["at"]
+        late = F.coalesce(F.col(ts) < F.lit(limit), F.lit(False))
+        batch = batch.persist()
+        for side, which in (("late", late), ("on_time", ~late)):
+            batch.where(which).write.mode("overwrite").parquet(f"{path}/{side}/batch={batch_id}")
+        marks = batch.agg(F.count_if(~late).alias("n_on_time"), F.count_if(late).alias("n_late"), F.max(ts).alias("newest"))
+        marks.write.mode("overwrite").parquet(f"{path}/marks/batch={batch_id}")
+        batch.unpersist()
+
+    return _start(rows, name, write, trigger)
+
+
+def stored_batches(spark, path, side, schema):
+    """What `split_late` has stored of one side; nothing yet is an empty table."""
+    try:
+        return spark.read.schema(schema).parquet(f"{path}/{side}")
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return spark.createDataFrame([], schema)
+        raise
+
+
 def _start(rows, name, write, trigger):
     writer = rows.writeStream.queryName(name).foreachBatch(write)
     writer = writer.option("checkpointLocation", checkpoint_dir(rows.sparkSession, name))

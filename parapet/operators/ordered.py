@@ -1,64 +1,117 @@
 """Ordered operators that survive one key holding a large share of all rows.
 
-A plain window over a key puts all its rows into one task. Here a key is cut into
-ranges of its order column, every range is handled on its own, and one small row per
-range carries what the next range has to know.
+A plain window over a key puts all its rows into one task. Here a key with many rows is cut
+into ranges of its order column, every range is handled on its own, and one small row per
+range carries what the next range has to know. The borders of the ranges are quantiles of
+the key's own order values, so neither sparse values nor bursts matter.
 """
 
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-RANGE = 65_536
+HOT_ROWS = 65_536
+BORDERS = 1024
+ACCURACY = 10_000
 
 
-def _range(order, width):
-    return F.floor(F.col(order) / width)
+def _keyed(df, keys):
+    """Adds __key: the keys as one value, where null equals null."""
+    return df.withColumn("__key", F.struct(*keys))
 
 
-def number_rows(df, keys, order, out="n", width=RANGE, counted=None):
-    """1-based position of each row within its key, by a unique integer column.
+def hot_borders(rows, order, most=HOT_ROWS):
+    """Of each __key with more than `most` rows: its number of rows and the borders of about sqrt(rows) ranges.
 
-    `counted` has the same rows with the keys and the order column at least; ranges are
-    counted on it, so that nothing costly in df is computed for the counts.
+    Borders come from a quantile sketch of the order column that is filled before the
+    shuffle. Beyond BORDERS ranges each is cut into __pieces of equal width.
     """
-    counted = (df if counted is None else counted).select(*keys, order).withColumn("__range", _range(order, width))
-    earlier = W.partitionBy(*keys).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    counts = rows.groupBy("__key").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > most)
+    values = rows.select("__key", F.col(order).cast("bigint").alias("__at")).join(counts, "__key")
+    shares = [i / BORDERS for i in range(BORDERS + 1)]
+    sketch = values.groupBy("__key", "__n").agg(F.percentile_approx("__at", shares, ACCURACY).alias("__all"))
+    ranges = F.ceil(F.sqrt("__n"))
+    every = F.greatest(F.lit(1), F.floor(BORDERS / ranges)).cast("int")
+    return sketch.select(
+        "__key", "__n", F.filter("__all", lambda _, i: (i % every == 0) | (i == BORDERS)).alias("__borders"),
+        F.ceil(ranges / BORDERS).alias("__pieces"),
+    )
+
+
+def with_ranges(df, order, borders):
+    """Adds __range, which grows with the order value: 0 for keys that are not cut, -1 for nulls of those that are."""
+    at = F.col(order).cast("bigint")
+    halves = F.array(*[F.lit(BORDERS >> i) for i in range(BORDERS.bit_length())])
+    # Binary search: how many borders are at most the value.
+    below = F.aggregate(halves, F.lit(0), lambda n, s: F.when(F.get("__borders", n + s - 1) <= at, n + s).otherwise(n))
+    low, high = F.get("__borders", F.col("__below") - 1), F.get("__borders", F.col("__below"))
+    inside = F.floor((at - low) / (high - low) * F.col("__pieces"))
+    piece = F.coalesce(F.least(F.greatest(inside, F.lit(0)), F.col("__pieces") - 1), F.lit(0))
+    cut = F.when(at.isNull(), F.lit(-1)).otherwise(F.col("__below") * F.col("__pieces") + piece)
+    found = df.join(borders, "__key", "left").withColumn("__below", below)
+    return found.withColumn("__range", F.when(F.col("__n").isNull(), F.lit(0)).otherwise(cut).cast("bigint")).drop(
+        "__n", "__borders", "__pieces", "__below"
+    )
+
+
+def _hot(rows, order, most):
+    """Borders of the keys that are to be cut, None where there is no such key (asked with one small job)."""
+    counts = rows.groupBy("__key").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > most)
+    return None if counts.isEmpty() else hot_borders(rows, order, most)
+
+
+def number_rows(df, keys, order, out="n", most=HOT_ROWS, counted=None):
+    """1-based position of each row within its key, by a unique integer column; null keys are a key, null orders come first.
+
+    `counted` has the same rows with the keys and the order column at least; rows are
+    counted on it, so that nothing costly in df is computed for the counts. Only keys with
+    more than `most` rows are cut into ranges.
+    """
+    plain = F.row_number().over(W.partitionBy(*keys).orderBy(order))
+    counted = _keyed((df if counted is None else counted).select(*keys, order), keys).select("__key", order)
+    borders = _hot(counted, order, most)
+    if borders is None:
+        return df.withColumn(out, plain)
+    earlier = W.partitionBy("__key").orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
-        counted.groupBy(*keys, "__range").agg(F.count(F.lit(1)).alias("__rows"))
+        with_ranges(counted, order, borders).groupBy("__key", "__range").agg(F.count(F.lit(1)).alias("__rows"))
         .withColumn("__offset", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)))
         .drop("__rows")
     )
-    within = W.partitionBy(*keys, "__range").orderBy(order)
-    ranked = df.withColumn("__range", _range(order, width)).withColumn("__row", F.row_number().over(within))
-    numbered = ranked.join(offsets, [*keys, "__range"])
-    return numbered.withColumn(out, F.col("__row") + F.col("__offset")).drop("__row", "__offset", "__range")
+    within = W.partitionBy("__key", "__range").orderBy(order)
+    ranked = with_ranges(_keyed(df, keys), order, borders).withColumn("__row", F.row_number().over(within))
+    numbered = ranked.join(offsets, ["__key", "__range"])
+    return numbered.withColumn(out, F.col("__row") + F.col("__offset")).drop("__row", "__offset", "__range", "__key")
 
 
-def last_known_before(df, keys, order, value, out, width=RANGE):
+def last_known_before(df, keys, order, value, out, most=HOT_ROWS):
     """Last non-null value among the earlier rows of the key, null when there is none."""
-    df = df.withColumn("__range", _range(order, width))
-    before = W.partitionBy(*keys).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
-    known = F.when(F.col(value).isNotNull(), F.col(order))
+    before = lambda *of: W.partitionBy(*of).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    local = lambda *of: F.last(value, ignorenulls=True).over(before(*of))
+    rows = _keyed(df.select(*dict.fromkeys([*keys, order, value])), keys).select("__key", *dict.fromkeys([order, value]))
+    borders = _hot(rows, order, most)
+    if borders is None:
+        return df.withColumn(out, local(*keys))
+    known = F.when(F.col(value).isNotNull(), F.coalesce(F.col(order).cast("bigint"), F.lit(-(2**63))))
+    over = W.partitionBy("__key").orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
     carried = (
-        df.groupBy(*keys, "__range").agg(F.max_by(value, known).alias("__last"))
-        .withColumn("__carry", F.last("__last", ignorenulls=True).over(before))
+        with_ranges(rows, order, borders).groupBy("__key", "__range").agg(F.max_by(value, known).alias("__last"))
+        .withColumn("__carry", F.last("__last", ignorenulls=True).over(over))
         .drop("__last")
     )
-    within = W.partitionBy(*keys, "__range").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    local = df.withColumn("__local", F.last(value, ignorenulls=True).over(within))
+    found = with_ranges(_keyed(df, keys), order, borders).withColumn("__local", local("__key", "__range"))
     return (
-        local.join(carried, [*keys, "__range"])
+        found.join(carried, ["__key", "__range"])
         .withColumn(out, F.coalesce("__local", "__carry"))
-        .drop("__local", "__carry", "__range")
+        .drop("__local", "__carry", "__range", "__key")
     )
 
 
-def part_latency(df, keys, order, at, start=None, width=RANGE):
+def part_latency(df, keys, order, at, start=None, most=HOT_ROWS):
     """Milliseconds of each step: its time minus the last known earlier time.
 
     Unknown times and steps back in time give null. `start` is the time before step one.
     """
-    steps = last_known_before(df, keys, order, at, "__prev", width)
+    steps = last_known_before(df, keys, order, at, "__prev", most)
     prev = F.col("__prev") if start is None else F.coalesce(F.col("__prev"), F.col(start))
     ms = F.when(F.col(at) >= prev, F.col(at) - prev)
     return steps.withColumn("ms", ms).drop("__prev")

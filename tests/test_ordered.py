@@ -3,6 +3,8 @@
 import bisect
 import random
 
+from pyspark.sql import functions as F
+
 from parapet.operators import ordered as O
 from tests.conftest import by
 
@@ -11,10 +13,35 @@ KEYS = ["hot"] * 6 + ["a", "b", "c"]
 
 
 def test_number_rows(spark):
-    rows = [(rnd.choice(KEYS), t) for t in rnd.sample(range(5000), 900)]
+    rows = [(rnd.choice(KEYS + [None]), t) for t in rnd.sample(range(5000), 900)]
     df = spark.createDataFrame(rows, "k string, t int")
     want = {t: sorted(x for k2, x in rows if k2 == k).index(t) + 1 for k, t in rows}
-    assert by(O.number_rows(df, ["k"], "t", width=50), "t", "n") == want
+    assert by(O.number_rows(df, ["k"], "t", most=50), "t", "n") == want
+
+
+def test_ranges_follow_the_values(spark):
+    """A million microsecond values with a burst: about sqrt(n) ranges, none of them large, in the values' order."""
+    n = 1_000_000
+    at = F.when(F.col("id") % 2 == 0, F.col("id") * 1_000_003).otherwise(F.lit(10**11) + F.col("id")).alias("t")
+    rows = spark.range(n).select(F.struct(F.lit("hot")).alias("__key"), at)
+    cut = O.with_ranges(rows, "t", O.hot_borders(rows, "t")).groupBy("__range").agg(
+        F.count("*").alias("n"), F.min("t").alias("low"), F.max("t").alias("high"))
+    ranges = sorted(map(tuple, cut.collect()))
+    assert 900 <= len(ranges) <= 1100 and sum(r[1] for r in ranges) == n and max(r[1] for r in ranges) <= 5 * 1000
+    assert all(a[3] < b[2] for a, b in zip(ranges, ranges[1:]))
+
+
+def test_pieces_beyond_the_borders(spark, monkeypatch):
+    """With few borders ranges are cut further, ties stay together, null orders come first."""
+    monkeypatch.setattr(O, "BORDERS", 8)
+    rows = [("hot", t) for t in rnd.sample(range(10**15), 900)] + [("hot", None), (None, 3), (None, None)]
+    df = spark.createDataFrame(rows, "k string, t bigint")
+    first = lambda t: -1 if t is None else t
+    want = {(k, t): sorted(first(x) for k2, x in rows if k2 == k).index(first(t)) + 1 for k, t in rows}
+    got = O.number_rows(df, ["k"], "t", most=100).collect()
+    assert {(r.k, r.t): r.n for r in got} == want and len(got) == len(rows)
+    keyed = df.selectExpr("struct(k) as __key", "t")
+    assert 20 < O.with_ranges(keyed, "t", O.hot_borders(keyed, "t", 100)).select("__key", "__range").distinct().count() < 45
 
 
 def test_latency_carries_the_last_known_time(spark):
@@ -26,7 +53,7 @@ def test_latency_carries_the_last_known_time(spark):
         prev = last.get(k)
         want[(k, n)] = t - prev if t is not None and prev is not None and t >= prev else None
         last[k] = t if t is not None else prev
-    got = {(r.k, r.n): r.ms for r in O.part_latency(df, ["k"], "n", "t", width=20).collect()}
+    got = {(r.k, r.n): r.ms for r in O.part_latency(df, ["k"], "n", "t", most=20).collect()}
     assert got == want
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import functions as F
 
-from parapet.llm.common import stored
+from parapet.llm.common import place, stored, uniform
 
 LENGTH = 50
 GRAM = 20
@@ -32,7 +32,7 @@ HOT_SUFFIXES = 1 << 18
 HOT_TIMES = 4
 LEAST_HOT = 1 << 15
 SAMPLED = 64
-TAG = 40  # a position carries in its upper bits which of several rows with one doc_id is meant
+TAG = 32  # a position carries in its upper bits which of several rows with one doc_id is meant
 U = np.uint64
 _ODD = np.random.default_rng(20_240).integers(1, 2**63, 32, dtype=np.uint64) * U(2) + U(1)
 
@@ -499,6 +499,15 @@ def _window_parts(found, buckets):
     return -(-n // max(LEAST_HOT, int(HOT_TIMES * n.mean())))
 
 
+def _numbered_texts(read, repeated):
+    """The rows of repeated ids with the number (from 1) of their text among the different texts of the id."""
+    rows = read.join(repeated, F.col("doc_id") == F.col("__id"), "left_semi").withColumn("__sha", F.sha2("text", 256))
+    texts = stored(rows.select("doc_id", "__sha").distinct().withColumn("__tick", uniform("__sha")))
+    numbers = place(texts, ["doc_id"], "__tick", ["__sha"])
+    numbers = stored(numbers.select("doc_id", "__sha", (F.col("__rank") + 1).cast("int").alias("tag")))
+    return rows.join(numbers, ["doc_id", "__sha"]).select("doc_id", "tag", "text")
+
+
 def remove_repeats(docs, batches=BATCHES, texts=False):
     """Each document without the bytes of LENGTH-byte strings that start in a document with a smaller doc_id.
 
@@ -511,9 +520,11 @@ def remove_repeats(docs, batches=BATCHES, texts=False):
     read = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     repeated = stored(read.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("__id")))
     total = read.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    marked = read.join(repeated, F.col("doc_id") == F.col("__id"), "left")
-    tag = F.when(F.col("__id").isNotNull(), F.crc32("text") % (1 << 22) + 1).otherwise(0).cast("int")
-    marked = marked.select("doc_id", tag.alias("tag"), "text")
+    marked = read.withColumn("tag", F.lit(0))
+    if not repeated.isEmpty():
+        once = marked.join(repeated, F.col("doc_id") == F.col("__id"), "left_anti")
+        marked = once.select("doc_id", "tag", "text").unionByName(_numbered_texts(read, repeated))
+    marked = marked.select("doc_id", "tag", "text")
     quantiles = read.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
     bounds = sorted({int(x) for x in quantiles if abs(x) < 2**62})
     bounds = np.array(bounds, dtype=np.int64)

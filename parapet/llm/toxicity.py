@@ -47,7 +47,8 @@ def held_out(doc_id):
 def labelled_sample(docs, labels, rows=SAMPLE_ROWS):
     """At most `rows` labelled documents (text, toxic), chosen by a hash of their ids, none held out.
 
-    A label that is null does not count; of several labels of a document the largest does.
+    A label that is null does not count; of several labels of a document the largest does,
+    of several texts of an id the one of least hash.
     """
     ids = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -55,7 +56,11 @@ def labelled_sample(docs, labels, rows=SAMPLE_ROWS):
         .orderBy(uniform("__id", seed=3), "__id").limit(rows)
     )
     chosen = docs.select("doc_id", "text").join(F.broadcast(stored(ids)), F.col("doc_id") == F.col("__id"))
-    return stored(chosen.select(F.coalesce("text", F.lit("")).alias("text"), "toxic"))
+    text = F.coalesce("text", F.lit(""))
+    # One row per id; hashes meet before the shuffle, texts of equal hash and length are equal.
+    return stored(chosen.groupBy("__id").agg(
+        F.min_by(text, F.struct(F.xxhash64(text), F.length(text))).alias("text"), F.first("toxic").alias("toxic")
+    ).drop("__id"))
 
 
 def _distinct_words(batches):

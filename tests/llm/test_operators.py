@@ -60,6 +60,28 @@ def test_packing(make, spread):
     assert packing.pack(make([]), vocabulary(), 256).count() == 0
 
 
+def test_packing_in_supersteps(make, spread):
+    """Many cells, whose open sequences meet again in fewer ones; a third of the rows are equal."""
+    docs = [(i, prose(3 + i % 50, i)) for i in range(400)] + [(7, prose(9, 1))] * 200 + [(None, None)] * 30
+    rows = packing.pack(spread(make(docs)), vocabulary(), 512, keep_ids=True, cell=160).collect()
+    assert {len(r.ids) // 4 - r.length for r in rows} == {0}
+    least = -(-sum(r.length for r in rows) // 512)
+    assert check_packing(rows, docs, 512) <= least + 1
+    assert check_packing(packing.pack(spread(make(docs)), vocabulary(), 512).collect(), docs, 512) <= least + 1
+    wide = [(i, prose(60, i)) for i in range(300)]  # no two fit together: every cell keeps its gaps
+    rows = packing.pack(spread(make(wide)), vocabulary(), 500, cell=30).collect()
+    check_packing(rows, wide, 500)
+
+
+def test_sweep_fills_given_gaps():
+    moves = packing.sweep({5: 3, 2: 4}, 10, rooms=np.array([2, 5, 5, 7]))
+    filled = Counter()
+    for size, low, high, first, per, offset in moves:
+        for k in range(high - low):
+            filled[first + k // per] += size
+    assert filled == {0: 2, 1: 5, 2: 5, 3: 7, 4: 4} and max(filled) == 4
+
+
 def test_sweep_is_best_fit():
     counts = Counter(random.Random(1).choices(range(1, 65), k=500))
     gaps, used = [], 0

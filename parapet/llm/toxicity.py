@@ -4,11 +4,13 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parapet.llm.common import stored, uniform
 
 SAMPLE_ROWS = 20_000
+SAMPLE_CHARS = 80_000_000
 WORDS = 2_000
 LEAST_Z = 5.0
 LEAST_DOCS = 3
@@ -44,8 +46,9 @@ def held_out(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 4 == 2
 
 
-def labelled_sample(docs, labels, rows=SAMPLE_ROWS):
-    """At most `rows` labelled documents (text, toxic), chosen by a hash of their ids, none held out.
+def labelled_sample(docs, labels, rows=SAMPLE_ROWS, chars=SAMPLE_CHARS):
+    """At most `rows` labelled documents (text, toxic), chosen by a hash of their ids, none held out,
+    of `chars` code points together at most; no text of more than a hundredth of that is learned from.
 
     A label that is null does not count; of several labels of a document the largest does,
     of several texts of an id the one of least hash.
@@ -58,9 +61,13 @@ def labelled_sample(docs, labels, rows=SAMPLE_ROWS):
     chosen = docs.select("doc_id", "text").join(F.broadcast(stored(ids)), F.col("doc_id") == F.col("__id"))
     text = F.coalesce("text", F.lit(""))
     # One row per id; hashes meet before the shuffle, texts of equal hash and length are equal.
-    return stored(chosen.groupBy("__id").agg(
+    single = stored(chosen.where(F.length(text) <= chars // 100).groupBy("__id").agg(
         F.min_by(text, F.struct(F.xxhash64(text), F.length(text))).alias("text"), F.first("toxic").alias("toxic")
-    ).drop("__id"))
+    ))
+    # Lengths of at most `rows` documents, added up in the order of the hash.
+    upto = W.orderBy(uniform("__id", seed=3), "__id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    within = single.select("__id", F.sum(F.length("text")).over(upto).alias("__upto")).where(F.col("__upto") <= chars)
+    return stored(single.join(F.broadcast(stored(within.select("__id"))), "__id").drop("__id"))
 
 
 def _distinct_words(batches):
@@ -121,8 +128,8 @@ def train(sample):
     """(words, weights, bias) maximising the likelihood of the documents' labels under the noisy-or.
 
     A sentence's score is the logistic of bias and weights of its words; a document is
-    toxic unless every sentence is not. The words' sentences of the bounded sample (at most
-    SAMPLE_ROWS documents) are all that the driver holds. Without labels of both kinds the
+    toxic unless every sentence is not. The words' sentences of the bounded sample (SAMPLE_ROWS
+    documents, SAMPLE_CHARS code points) are all that the driver holds. Without labels of both kinds the
     model is the bias of the labels' rate.
     """
     words = telling_words(sample)
@@ -208,7 +215,11 @@ def _clean(batches, model, threshold, text):
 
 
 def clean_documents(docs, labels, threshold=THRESHOLD):
-    """Documents whose score is below the threshold, all columns kept; the model is trained on their labels."""
+    """Documents whose score is below the threshold, all columns kept; the model is trained on their labels.
+
+    Null texts count as empty, which is clean unless most labelled documents are toxic; an
+    empty table stays empty, repeated rows are judged alike, and without labels none goes.
+    """
     model = train(labelled_sample(docs, labels))
     at = docs.columns.index("text")
     return docs.mapInArrow(lambda it: _clean(it, model, threshold, at), docs.schema)

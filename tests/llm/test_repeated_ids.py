@@ -34,3 +34,13 @@ def test_sample_is_bounded(make, spark):
     assert len(runs[0]) == 11 and runs[0] == runs[1]
     every = toxicity.labelled_sample(make(docs), labels, rows=100).count()
     assert every == len({i for i, _ in docs if zlib.crc32(str(i).encode()) % 4 != 2})
+
+
+def test_sample_is_bounded_in_characters(make, spark):
+    """Ten code points a text, but for one of twenty: 1,500 in all are 150 texts, none above 15."""
+    docs = make([(i, f"{i:010d}" * (2 if i == 5 else 1)) for i in range(400)])
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(400)], "doc_id bigint, toxic int")
+    texts = [r.text for r in toxicity.labelled_sample(docs, labels, chars=1500).collect()]
+    assert len(texts) == 150 and {len(t) for t in texts} == {10}
+    whole = toxicity.labelled_sample(docs, labels).count()
+    assert whole == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(400))

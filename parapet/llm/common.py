@@ -27,9 +27,11 @@ def table(spark, folder, name):
 
 
 def shared_dir(spark):
-    """The cluster's shared folder. Only where none is named (tests) it is a temporary one."""
+    """The cluster's shared folder. Only a local session that names none (tests) gets a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="parapet-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -3,11 +3,13 @@
 import base64
 import functools
 import os
+import re
 
 import numpy as np
 
 END_TEXT = "<|endoftext|>"
 CACHED = 150_000
+BEYOND_LATIN = re.compile("[^\0-ɏ]")
 
 
 class _Spaced(Exception):
@@ -38,9 +40,9 @@ def encoder(path):
 
     `path` is a tokenizer file; its vocabulary as ranks (same name, .tiktoken) is used
     where it lies beside, for Latin text, on which both libraries agree and it is faster.
-    Every space before a non-space starts a new word, so pieces between single spaces are
-    encoded apart and remembered; a text with other white space around a space is encoded
-    whole.
+    Other texts are cut: every space before a non-space starts a new word, so pieces between
+    single spaces are encoded apart and remembered; a text with other white space around a
+    space is encoded whole.
     """
     from tokenizers import Tokenizer
 
@@ -56,16 +58,20 @@ def encoder(path):
         special = {END_TEXT: exact.token_to_id(END_TEXT)}
         fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens=special)
 
+    def latin(text):
+        return fast is not None and (text.isascii() or not BEYOND_LATIN.search(text))
+
+    def by_ranks(text):
+        return fast.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
+
     def encode(text):
-        if fast is not None and (text.isascii() or max(text) < "ɐ"):
-            ids = fast.encode(text, allowed_special="all")
-        else:
-            ids = exact.encode(text, add_special_tokens=False).ids
-        return np.array(ids, dtype="<u4").tobytes()
+        return by_ranks(text) if latin(text) else np.array(exact.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     pieces = _Pieces(encode)
 
     def whole(text):
+        if latin(text):
+            return by_ranks(text)
         first, *rest = text.split(" ")
         try:
             head = pieces.encode(first) if first and not first[-1:].isspace() else b""

@@ -40,8 +40,14 @@ def is_blank(text):
 
 
 def strip(text):
-    """Without leading and trailing white space of any kind."""
-    return F.regexp_replace(text, r"\A[\s\p{Z}\x{FEFF}]++|(?<![\s\p{Z}\x{FEFF}])[\s\p{Z}\x{FEFF}]++\z", "")
+    """Without leading and trailing white space of any kind.
+
+    The text is named more than once: give a column that is there, not a long expression. Most
+    texts have no blank at either end, which two characters show.
+    """
+    ends = F.concat(F.left(text, F.lit(1)), F.right(text, F.lit(1)))
+    stripped = F.regexp_replace(text, r"\A[\s\p{Z}\x{FEFF}]++|(?<![\s\p{Z}\x{FEFF}])[\s\p{Z}\x{FEFF}]++\z", "")
+    return F.when(ends.rlike(r"[\s\p{Z}\x{FEFF}]"), stripped).otherwise(text)
 
 
 def is_strict_base64(data):
@@ -187,17 +193,30 @@ def forwarded_state(n, forwarded):
     return F.when(n.isNull(), "n/a").when(~forwarded, "note only").otherwise("yes")
 
 
+def _trim_lines(text):
+    # The look-behinds start a match only where a blank run starts: linear on long runs.
+    text = F.regexp_replace(text, r"(?<![\s\p{Z}])[\s\p{Z}]*\n[\s\p{Z}]*", "\n")
+    return F.regexp_replace(text, r"\A[\s\p{Z}]++|(?<![\s\p{Z}])[\s\p{Z}]++\z", "")
+
+
 def normalize_lines(text, max_chars=None):
     """Trim lines, squeeze blanks, drop empty lines and non-printable characters."""
     text = F.regexp_replace(text, r"[\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}]", "\n")
-    text = F.regexp_replace(text, r"[ \t\x{A0}]+", " ")
-    # The look-behinds start a match only where a blank run starts: linear on long runs.
-    text = F.regexp_replace(text, r"(?<![\s\p{Z}])[\s\p{Z}]*\n[\s\p{Z}]*", "\n")
-    text = F.regexp_replace(text, r"\A[\s\p{Z}]++|(?<![\s\p{Z}])[\s\p{Z}]++\z", "")
+    # A single blank is no match: it would be put in its own place.
+    text = F.regexp_replace(text, r"[\t\x{A0}][ \t\x{A0}]*+| [ \t\x{A0}]++", " ")
+    text = _trim_lines(text)
     text = F.regexp_replace(text, r"[\p{C}\p{Z}&&[^\n ]]+", "")
     return text if max_chars is None else F.left(text, F.lit(max_chars))
 
 
+def normalize_column(name):
+    """`normalize_lines` of a column that is there. Most texts hold no character and no two blanks
+    that its first, second and last step would change; one look shows it."""
+    text = F.col(name)
+    odd = text.rlike(r"[\p{C}\p{Z}&&[^\n ]]|  ")
+    return F.when(odd, normalize_lines(text)).otherwise(_trim_lines(text))
+
+
 def describe_prompt(chars):
     return F.concat(F.lit("<prompt, "), fmt_thousands(chars), F.lit(" chars>"))
 

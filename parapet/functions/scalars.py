@@ -1,5 +1,7 @@
 """Scalar helpers: Column in, Column out, all of them built-in expressions."""
 
+import string
+
 from pyspark.sql import functions as F
 
 from parapet import settings as S
@@ -73,9 +75,20 @@ def base64_bytes(data):
     return F.floor(F.length(data) * 3 / 4)
 
 
+# fixed value: the characters of a label
+LABEL = string.ascii_letters + string.digits + "_:,.- "
+
+
 def clean_label(value, n=120):
-    """Short printable label for values taken from headers and logs."""
-    return F.left(F.regexp_replace(F.coalesce(value, F.lit("")), r"[^A-Za-z0-9_:,.\- ]+", ""), F.lit(n))
+    """Short printable label for values taken from headers and logs.
+
+    Most values are labels already, which an anchored pattern sees at once. Of others, what is left
+    without the characters of a label is taken out. On short values both are several times cheaper
+    than a search and replace.
+    """
+    value = F.coalesce(value, F.lit(""))
+    cleaned = F.call_function("translate", value, F.translate(value, LABEL, ""), F.lit(""))
+    return F.left(F.when(value.rlike(r"\A[A-Za-z0-9_:,.\- ]*+\z"), value).otherwise(cleaned), F.lit(n))
 
 
 def mask_secret(key):

@@ -35,8 +35,8 @@ def telemetry(header, body, requested_mode):
     )
 
 
-def from_log(entries, fields=schemas.LOG_FIELDS):
-    """Ledger rows from outside log entries (insertId, timestamp, jsonPayload as JSON text)."""
+def from_log(entries, fields=schemas.LOG_FIELDS, keep=()):
+    """Ledger rows from outside log entries (insertId, timestamp, jsonPayload as JSON text), beside the columns to keep."""
     # One parse per entry; a payload that is not an object reads as an empty one.
     payload = ", ".join(f"`{name}` string" for name in fields.values())
     entries = entries.withColumn("__payload", F.from_json("jsonPayload", payload))
@@ -54,6 +54,7 @@ def from_log(entries, fields=schemas.LOG_FIELDS):
         X.int_or_null(get("latency_ms")).cast("int").alias("latency_ms"),
         F.lit(EXTERNAL).alias("source"),
         or_null(X.clean_label(get("request_id"), 80)).alias("request_id"),
+        *keep,
     )
 
 

@@ -9,7 +9,7 @@ from parapet import settings as S
 from parapet.functions import spans as P
 from parapet.operators import ledger as L
 from parapet.operators import rules as R
-from parapet.plans.audit import LOG_SQL, MERGED_COLUMNS_SQL, local_and_log, merged_columns
+from parapet.plans.audit import LOG_SQL, MERGED_COLUMNS_SQL, local_and_log, merged_columns, parsed_events
 from parapet.plans.common import SEEDS, TURNS_SQL, TYPE_SEEDS, conversations, docs_sql, documents, query, quote, screened_sql
 from parapet.sources.readers import new_to_ledger, read_ledger, read_table, spread
 from parapet.sources.writers import append_ledger
@@ -122,9 +122,13 @@ def work_folder(spark):
 
 @query(f"WITH {LOG_SQL} SELECT {MERGED_COLUMNS_SQL} FROM (SELECT * FROM local UNION ALL SELECT * FROM fresh)")
 def ledger_merge(spark, folder):
-    """The ledger stored as a snapshot, the log merged into it by its key buckets, and the stored result read."""
-    local, log = local_and_log(spark, folder)
+    """The ledger stored as a snapshot, the log merged into it by its key buckets, and the stored result read.
+
+    The log is parsed once and stored: the ledger and the merge read the rows.
+    """
     path = work_folder(spark)
+    parsed_events(spark, folder).write.parquet(f"{path}/_log")
+    local, log = local_and_log(spark.read.parquet(f"{path}/_log"))
     append_ledger(local, path, "local")
     append_ledger(new_to_ledger(log, path), path, "log-0")
     return merged_columns(read_ledger(spark, path))

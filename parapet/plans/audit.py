@@ -139,23 +139,30 @@ def _log_entries(spark, folder):
         X.lookup(_EVENT_STATUS, F.col("event_type")).alias("httpStatus"),
         F.concat_ws("-", F.lit("req"), "user_id", k).alias("requestId"),
     ))
-    return events.select(
+    entries = events.select(
         F.when(k != "0", F.concat(F.lit("ev-"), "event_id")).alias("insertId"),
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("timestamp"),
         payload.alias("jsonPayload"),
         "event_type", "event_id",
     )
+    # Written before it is read: inside the reader's expression it would not be compiled.
+    return X.computed_once(entries, "jsonPayload")
 
 
-def local_and_log(spark, folder):
+def parsed_events(spark, folder):
+    """Every event as a ledger row taken from the log, with its own columns beside it."""
+    return L.from_log(_log_entries(spark, folder), keep=("event_type", "event_id"))
+
+
+def local_and_log(parsed):
     """Purchases were recorded by the gateway itself, sign-ups were merged from the log before."""
-    entries = _log_entries(spark, folder)
-    log = L.from_log(entries.select("insertId", "timestamp", "jsonPayload"))
+    log = parsed.drop("event_type", "event_id")
     own = F.col("event_type") == "purchase"
-    local = L.from_log(entries.where("event_type in ('purchase', 'signup')").select(
-        F.when(own, F.concat(F.lit("ui-"), "event_id")).otherwise(F.col("insertId")).alias("insertId"), "timestamp", "jsonPayload"
-    ))
-    return local.withColumn("source", F.when(F.startswith("id", F.lit("ui-")), "ui").otherwise(F.col("source"))), log
+    local = parsed.where("event_type in ('purchase', 'signup')").withColumns({
+        "id": F.when(own, F.concat(F.lit("ui-"), "event_id")).otherwise(F.col("id")),
+        "source": F.when(own, "ui").otherwise(F.col("source")),
+    })
+    return local.select(log.columns), log
 
 
 LOG_SQL = """
@@ -190,7 +197,7 @@ def merged_columns(df):
 @query(f"WITH {LOG_SQL} SELECT {MERGED_COLUMNS_SQL} FROM (SELECT * FROM local UNION ALL SELECT * FROM fresh)")
 def audit_sync_events(spark, folder):
     """The whole log merged into the whole ledger."""
-    return merged_columns(L.merge_log(*local_and_log(spark, folder)))
+    return merged_columns(L.merge_log(*local_and_log(parsed_events(spark, folder))))
 
 
 _PULLED = LOG_SQL.replace(
@@ -206,7 +213,7 @@ SELECT {MERGED_COLUMNS_SQL} FROM kept
 """)
 def audit_sync_newest(spark, folder):
     """A refresh: the newest 30 log entries, then the newest 500 rows kept."""
-    local, log = local_and_log(spark, folder)
+    local, log = local_and_log(parsed_events(spark, folder))
     return merged_columns(L.newest(L.merge_log(local, log, pull=S.LOG_PULL)))
 
 

@@ -18,6 +18,11 @@ BUCKETS = 16
 BITS = 32768
 KEYS_PER_BITMAP = 3000
 SEEDS = (11, 23, 37)
+# Rows of a log whose keys are looked up in the filters. A full filter takes one new key of 72 for a
+# known one, a half full one of 475, so more rows name nearly every bucket whatever their keys are;
+# the buckets of emptier filters are small.
+ASKED_AT_MOST = 20_000
+BITMAPS_PER_FILE = 1024
 KEY = "kind string, key string"
 FILTER = "bucket int, slice int, bits binary"
 
@@ -53,7 +58,7 @@ def write_keys(spark, rows, keys_path, filters_path, buckets=BUCKETS):
     most = stored.groupBy("bucket").count().agg(F.max("count")).first()[0] or 0
     slices = 2 ** max(0, math.ceil(math.log2(max(most, 1) / KEYS_PER_BITMAP)))
     marked = stored.select("bucket", _slice(F.lit(slices)).alias("slice"), F.explode(F.array(*_bits())).alias("bit"))
-    marked.groupBy("bucket", "slice").agg(F.bitmap_construct_agg("bit").alias("bits")).coalesce(1).write.parquet(filters_path)
+    marked.groupBy("bucket", "slice").agg(F.bitmap_construct_agg("bit").alias("bits")).coalesce(max(1, buckets * slices // BITMAPS_PER_FILE)).write.parquet(filters_path)
     return slices
 
 
@@ -90,6 +95,13 @@ def known_keys(spark, path, runs, keys, buckets=BUCKETS):
     return spark.read.schema(KEY).parquet(*[f"{path}/_keys/{folder}/bucket={b}" for folder, b in places])
 
 
+def all_keys(spark, path, runs):
+    """The rows (kind, key) of all buckets."""
+    if not runs:
+        return spark.createDataFrame([], KEY)
+    return spark.read.schema(KEY).option("recursiveFileLookup", "true").parquet(*[f"{path}/_keys/{r['folder']}" for r in runs])
+
+
 def as_local(known):
     """Known keys in the shape of ledger rows, for `ledger.new_entries`."""
     value = lambda kind: F.when(F.col("kind") == kind, F.col("key"))

@@ -85,10 +85,18 @@ def read_ledger(spark, path, without_run=None):
 
 
 def new_to_ledger(log, path, without_run=None):
-    """Rows of a log that the stored ledger does not have, as `ledger.new_entries`, reading only buckets that may know them."""
+    """Rows of a log that the stored ledger does not have, as `ledger.new_entries`, reading only buckets that may know them.
+
+    A log of many rows would name every bucket; its keys are not looked up in the filters, and all
+    buckets are read.
+    """
     spark = log.sparkSession
-    asked = known.keys_of(log.select("id", "request_id", F.lit("asked").alias("source")))
-    local = known.known_keys(spark, path, live_runs(spark, path, without_run), asked)
+    runs = live_runs(spark, path, without_run)
+    if log.select("id").limit(known.ASKED_AT_MOST + 1).count() > known.ASKED_AT_MOST:
+        local = known.all_keys(spark, path, runs)
+    else:
+        asked = known.keys_of(log.select("id", "request_id", F.lit("asked").alias("source")))
+        local = known.known_keys(spark, path, runs, asked)
     return ledger.new_entries(log, known.as_local(local))
 
 
